@@ -493,3 +493,69 @@ add(
     """r AS (SELECT day, CAST(sum(pos) AS DOUBLE) AS pp, CAST(sum(neg) AS DOUBLE) AS nn,
        sum(neg * (tp - pos / 2e0)) AS auc, sum(pos * tp / (tp + fp)) AS ap FROM rn GROUP BY day)""",
 )
+
+# --- encoding -----------------------------------------------------------------------
+
+PART = GAPS + """, part AS (SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(merchant_id AS DOUBLE) AS merchant_id,
+  CASE WHEN transaction_id % 11 <> 0 THEN currency END AS currency, status FROM gaps)"""
+FILLED = """filled AS (SELECT transaction_id, coalesce(amount, (SELECT median(amount) FROM part)) AS a, merchant_id AS m,
+  CASE WHEN amount IS NULL THEN 1e0 ELSE 0e0 END AS f FROM part)"""
+add(
+    "impute_median",
+    """SELECT transaction_id, round(a, 6) AS num__amount, round(m, 6) AS num__merchant_id,
+              f AS num__missingindicator_amount FROM filled""",
+    PART,
+    FILLED,
+)
+add(
+    "scale_numeric",
+    """SELECT transaction_id, round(a / (SELECT stddev_pop(a) FROM filled), 6) AS num__amount,
+              round(m / (SELECT stddev_pop(m) FROM filled), 6) AS num__merchant_id,
+              round(f / (SELECT stddev_pop(f) FROM filled), 6) AS num__missingindicator_amount FROM filled""",
+    PART,
+    FILLED,
+)
+_MODE = "(SELECT currency FROM {} WHERE currency IS NOT NULL GROUP BY currency ORDER BY count(*) DESC, currency LIMIT 1)"
+add(
+    "impute_mode",
+    f"SELECT transaction_id, coalesce(currency, {_MODE.format('part')}) AS currency FROM part",
+    PART,
+)
+_HOT = [f"CASE WHEN c = '{v}' THEN 1e0 ELSE 0e0 END AS cat__currency_{v.lower()}" for v in ("EUR", "GBP", "USD")]
+_HOT += [f"CASE WHEN status = '{v}' THEN 1e0 ELSE 0e0 END AS cat__status_{v}" for v in ("approved", "reversed")]
+add(
+    "one_hot",
+    f"SELECT transaction_id, {', '.join(_HOT)} FROM (SELECT *, coalesce(currency, {_MODE.format('seen')}) AS c FROM part)",
+    PART,
+    "seen AS (SELECT * FROM part WHERE status <> 'declined')",
+)
+
+# --- model choice -------------------------------------------------------------------
+
+add(
+    "best_model",
+    """SELECT arg_min(model, (-value, model)) AS model, 'average_precision' AS metric, round(max(value), 6) AS value
+       FROM (SELECT m AS model, sum(pos / p * tp / (tp + fp)) AS value FROM (
+         SELECT *, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(neg) OVER w AS DOUBLE) AS fp,
+                CAST(sum(pos) OVER (PARTITION BY m) AS DOUBLE) AS p
+         FROM (SELECT m, score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM (
+           SELECT 'rule' AS m, label, score FROM scored UNION ALL SELECT 'amount', fraud, amount FROM txn) GROUP BY m, score)
+         WINDOW w AS (PARTITION BY m ORDER BY score DESC)) GROUP BY m)""",
+    SCORED,
+)
+
+# --- streams ------------------------------------------------------------------------
+
+# all rows arrive in time: the stream must give what the batch job gives
+add(
+    "stream_user_features",
+    _select([RECENCY, ZSCORE, *_user[0], *_merchant[0]], [*USER_NAMED, *_user[1], *_merchant[1]]),
+    TXN,
+)
+# a window is written once the newest time minus one hour has passed its end
+add(
+    "stream_activity",
+    "SELECT * FROM act WHERE window_start + INTERVAL 2 HOURS <= (SELECT max(transaction_date) FROM txn)",
+    TXN,
+    ACTIVITY,
+)

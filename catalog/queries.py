@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swipewatch import ScalePolicy, TxnConfig
+from swipewatch import ScalePolicy, TxnConfig, jobs
 from swipewatch.functions.scalars import binarize, rule_score
-from swipewatch.operators import clean, features, metrics, monitor, profile, quality, series, split, totals
+from swipewatch.operators import (
+    clean,
+    encode,
+    features,
+    metrics,
+    models,
+    monitor,
+    profile,
+    quality,
+    series,
+    split,
+    totals,
+)
 from swipewatch.plans.ranks import quantiles
-from swipewatch.sources import demo, ingest, retrieval
+from swipewatch.sources import demo, ingest, retrieval, stored
 from swipewatch.sources.paths import fresh_path
 from swipewatch.sources.schemas import TRANSACTIONS
+from swipewatch.streaming import jobs as streaming
 
 QUERIES = {}
 
@@ -49,7 +63,7 @@ def _features(spark, folder, families, policy=None, **cfg):
 
 def _as_doubles(made, inputs):
     """Id and features; counts that may be null as doubles."""
-    names = [c for c in made.columns if c not in inputs]
+    names = [c for c in made.columns if c not in inputs and c != "transaction_id"]
     out = made.select("transaction_id", *[F.col(c).cast("double").alias(c) for c in names])
     return rounded(out, exact=[c for c in names if "zscore" not in c])
 
@@ -236,10 +250,8 @@ def drop_columns(spark, folder):
 
 @query
 def label_encode(spark, folder):
-    from swipewatch.operators.encode import encode_labels
-
     t = demo.transactions(spark, folder)
-    return encode_labels(t, "status", "code").select("transaction_id", "status", "code")
+    return encode.encode_labels(t, "status", "code").select("transaction_id", "status", "code")
 
 
 # --- sources and retrieval ----------------------------------------------------------
@@ -575,3 +587,187 @@ def psi_drift(spark, folder):
 def daily_metrics(spark, folder):
     out = monitor.metrics_per_day(_scored(spark, folder))
     return rounded(out.withColumn("day", F.col("day").cast("string")))
+
+
+# --- encoding and models ------------------------------------------------------------
+
+
+def _train_part(spark, folder):
+    t = demo.transactions_with_gaps(spark, folder).withColumn(
+        "currency", F.when(F.col("transaction_id") % 11 != 0, F.col("currency"))
+    )
+    return t.select("transaction_id", "amount", "merchant_id", "currency", "status")
+
+
+@query
+def impute_median(spark, folder):
+    t = _train_part(spark, folder)
+    rules, _ = encode.fit_numeric(t, ["amount", "merchant_id"])
+    made = encode.numeric_expressions(t, rules, impute_only=True)
+    return rounded(t.selectExpr("transaction_id", *[f"{x} AS {n}" for n, x in made]))
+
+
+@query
+def scale_numeric(spark, folder):
+    t = _train_part(spark, folder)
+    rules, _ = encode.fit_numeric(t, ["amount", "merchant_id"])
+    return rounded(t.selectExpr("transaction_id", *[f"{x} AS {n}" for n, x in encode.numeric_expressions(t, rules)]))
+
+
+@query
+def impute_mode(spark, folder):
+    t = _train_part(spark, folder)
+    fill = encode.most_frequent(t, ["currency"])["currency"]
+    return t.select("transaction_id", F.coalesce("currency", F.lit(fill)).alias("currency"))
+
+
+@query
+def one_hot(spark, folder):
+    """Fitted on the approved and reversed rows; the declined status is unseen."""
+    t = _train_part(spark, folder)
+    encoder, names = encode.fit_encoder(t.filter("status <> 'declined'"), ["currency", "status"])
+    slots = vector_to_array(F.col("features"))
+    return encoder.transform(t).select(
+        "transaction_id", *[slots[n].alias(name.lower()) for n, name in enumerate(names)]
+    )
+
+
+def _prepared(spark, folder, **kw):
+    return jobs.preprocess(demo.transactions_with_gaps(spark, folder), **kw)
+
+
+@query
+def preprocess_features(spark, folder):
+    done = _prepared(spark, folder)
+    parts = [done.train.withColumn("part", F.lit("train")), done.test.withColumn("part", F.lit("test"))]
+    both = parts[0].unionByName(parts[1])
+    return both.select("transaction_id", "part", "label", F.size(vector_to_array("features")).alias("width"))
+
+
+@query
+def feature_dataset(spark, folder):
+    path = fresh_path(spark, "dataset")
+    stored.write_features(_prepared(spark, folder, cfg=TxnConfig(windows=("24h",))).train, path)
+    found = stored.read_features(spark, path)
+    return found.groupBy("label").agg(F.count("*").alias("rows"), F.max(F.size(vector_to_array("features"))).alias("width"))
+
+
+@query
+def preprocess_metadata(spark, folder):
+    path = fresh_path(spark, "settings")
+    stored.write_metadata(spark, _prepared(spark, folder, cfg=TxnConfig(windows=("24h",))).settings, path)
+    found = sorted(stored.read_metadata(spark, path).items())
+    return spark.createDataFrame([(k, str(v)) for k, v in found], "setting string, value string")
+
+
+# small models: the queries check the plans, not the quality of the fit
+_SMALL = {
+    "random_forest": {"numTrees": 10, "maxDepth": 5},
+    "boosted_trees": {"maxIter": 5, "maxDepth": 3, "maxBins": 32},
+}
+
+
+def _trained(spark, folder, choice):
+    done = _prepared(spark, folder, cfg=TxnConfig(windows=("24h", "7d")))
+    return done, jobs.train_models(done.train, done.test, choice, _SMALL)
+
+
+@query
+def rf_scores(spark, folder):
+    _, trained = _trained(spark, folder, "rf")
+    return rounded(trained["random_forest"][1].select("transaction_id", "label", "prediction", "score"))
+
+
+@query
+def gbt_scores(spark, folder):
+    _, trained = _trained(spark, folder, "gbt")
+    return rounded(trained["boosted_trees"][1].select("transaction_id", "label", "prediction", "score"))
+
+
+@query
+def feature_importance(spark, folder):
+    done, trained = _trained(spark, folder, "rf")
+    return rounded(models.feature_importance(trained["random_forest"][0], done.names, k=15))
+
+
+@query
+def model_roundtrip(spark, folder):
+    done, trained = _trained(spark, folder, "rf")
+    path = fresh_path(spark, "model")
+    model, scored = trained["random_forest"]
+    stored.save_model(model, path)
+    again = models.score(stored.load_model(spark, path), done.test).select("transaction_id", F.col("score").alias("again"))
+    return scored.join(again, "transaction_id").agg(
+        F.count("*").alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference")
+    )
+
+
+@query
+def training_metrics(spark, folder):
+    root = fresh_path(spark, "training")
+    done = _prepared(spark, folder, cfg=TxnConfig(windows=("24h", "7d")))
+    stored.write_features(done.train, f"{root}/train")
+    stored.write_features(done.test, f"{root}/test")
+    return rounded(jobs.run_training(spark, f"{root}/train", f"{root}/test", f"{root}/out", params=_SMALL))
+
+
+@query
+def best_model(spark, folder):
+    """Two rule scores as two models, compared by ranking quality."""
+    coarse = models.model_metrics(_scored(spark, folder), "rule")
+    fine = models.model_metrics(_scored_fine(spark, folder), "amount")
+    return rounded(models.best_model(coarse.unionByName(fine), "average_precision"))
+
+
+@query
+def param_grid(spark, folder):
+    t = demo.transactions(spark, folder)
+    encoder, _ = encode.fit_encoder(t, ["amount", "merchant_id", "currency", "status"])
+    rows = encoder.transform(t).select(
+        "features", F.col("fraud").alias("label"), split.time_fold(t, 3).alias("fold")
+    )
+    _, found = models.search(
+        rows, models.class_counts(rows), {"max_depth": [2, 4]}, params={"numTrees": 5}, folds=3
+    )
+    return rounded(found)
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+def _event_stream(spark, folder, files_per_batch=None):
+    schema = demo.table(spark, folder, "events").schema
+    return streaming.read_stream(spark, folder, schema, "events.parquet", files_per_batch)
+
+
+@query
+def stream_scores(spark, folder):
+    t = demo.transactions(spark, folder)
+    columns = ["amount", "merchant_id", "currency", "status"]
+    encoder, _ = encode.fit_encoder(t, columns)
+    rows = encoder.transform(t).select("features", F.col("fraud").alias("label"))
+    model = models.train_forest(rows, models.class_counts(rows), _SMALL["random_forest"])
+    out = fresh_path(spark, "scores")
+    stream = demo.transactions_from_events(_event_stream(spark, folder))
+    streaming.score_stream(stream, encoder, model, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
+@query
+def stream_user_features(spark, folder):
+    """The month arrives in four parts, one micro-batch each."""
+    t = demo.transactions(spark, folder)
+    arrivals, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "checkpoint")
+    run = streaming.FeatureStream(spark, fresh_path(spark, "features"))
+    for low, high in ((1, 8), (9, 16), (17, 24), (25, 31)):
+        t.filter(F.dayofmonth("transaction_date").between(low, high)).write.mode("append").parquet(arrivals)
+        run.start(streaming.read_stream(spark, arrivals, t.schema), checkpoint).awaitTermination()
+    return _as_doubles(run.features(), [])
+
+
+@query
+def stream_activity(spark, folder):
+    out = fresh_path(spark, "activity")
+    stream = demo.transactions_from_events(_event_stream(spark, folder))
+    streaming.activity_stream(stream, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out)

@@ -1,10 +1,26 @@
-"""Turning a feature table into vectors, with everything learned on training rows only."""
+"""Turning a feature table into vectors, with everything learned on training rows only.
+
+The fitted encoder is a plain ``PipelineModel`` of built-in stages, so it is saved, loaded
+and applied to batches and streams like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+import logging
+import math
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..config import DEFAULT_POLICY, ScalePolicy
+from ..plans.ranks import quantiles
+from .profile import column_roles
+
+log = logging.getLogger(__name__)
 
 
 def encode_labels(df: DataFrame, column: str, output: str) -> DataFrame:
@@ -13,3 +29,137 @@ def encode_labels(df: DataFrame, column: str, output: str) -> DataFrame:
         inputCol=column, outputCol="__code", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(df)
     return model.transform(df).withColumn(output, F.col("__code").cast("int")).drop("__code")
+
+
+def label_as_int(df: DataFrame, column: str) -> DataFrame:
+    """Labels for training: booleans and 0/1 numbers as whole numbers, text as class codes."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return encode_labels(df.withColumnRenamed(column, "__text"), "__text", column).drop("__text")
+    return df.withColumn(column, F.col(column).cast("int"))
+
+
+def _plain(df: DataFrame, name: str) -> str:
+    """SQL text of a numeric column as double with NaN as null."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return f"cast(cast(`{name}` AS int) AS double)"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return f"nullif(cast(`{name}` AS double), double('NaN'))"
+    return f"cast(`{name}` AS double)"
+
+
+@dataclass(frozen=True)
+class NumericRule:
+    """Per numeric column: fill value and divisor, and the divisor of its missing flag if any."""
+
+    name: str
+    median: float
+    scale: float
+    flag_scale: float | None
+
+
+def fit_numeric(df: DataFrame, columns, policy: ScalePolicy = DEFAULT_POLICY) -> tuple:
+    """Exact medians and population deviations; ``(rules, columns without any value)``."""
+    values = df.selectExpr(*[f"{_plain(df, c)} AS `{c}`" for c in columns])
+    medians = {c: q[0.5] for c, q in quantiles(values, columns, [0.5], policy).items()}
+    empty = [c for c in columns if medians[c] is None]
+    kept = [c for c in columns if c not in empty]
+    aggs = [F.count("*").alias("n")]
+    for n, c in enumerate(columns):
+        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{n}"))
+        if c in kept:
+            aggs.append(F.expr(f"stddev_pop(coalesce(`{c}`, {medians[c]!r}D))").alias(f"s{n}"))
+    row = values.agg(*aggs).first()
+    rules = []
+    for n, c in enumerate(columns):
+        missing = 1.0 - row[f"n{n}"] / row["n"] if row["n"] else 0.0
+        spread = math.sqrt(missing * (1.0 - missing))
+        flag = (spread or 1.0) if row[f"n{n}"] < row["n"] else None
+        if c in kept:
+            rules.append(NumericRule(c, medians[c], row[f"s{n}"] or 1.0, flag))
+        elif flag is not None:
+            rules.append(NumericRule(c, math.nan, math.nan, flag))
+    return rules, empty
+
+
+def most_frequent(df: DataFrame, columns) -> dict:
+    """Most frequent non-null value per column, as text; the smallest on a tie. One pass."""
+    if not columns:
+        return {}
+    pairs = ", ".join(f"'{n}', cast(`{c}` AS string)" for n, c in enumerate(columns))
+    best = (
+        df.selectExpr(f"stack({len(columns)}, {pairs}) AS (c, v)")
+        .filter("v IS NOT NULL")
+        .groupBy("c", "v")
+        .agg(F.count("*").alias("n"))
+        .groupBy("c")
+        .agg(F.expr("min_by(v, struct(-n, v))").alias("v"))
+    )
+    found = {int(r["c"]): r["v"] for r in best.collect()}
+    return {c: found.get(n) for n, c in enumerate(columns)}
+
+
+def numeric_expressions(df: DataFrame, rules, impute_only: bool = False) -> list:
+    """``(name, SQL text)`` of the imputed and scaled columns, then of the missing flags."""
+    out = []
+    for r in rules:
+        if not math.isnan(r.median):
+            scale = "" if impute_only else f" / {r.scale!r}D"
+            out.append((f"num__{r.name}", f"coalesce({_plain(df, r.name)}, {r.median!r}D){scale}"))
+    for r in rules:
+        if r.flag_scale is not None:
+            scale = "" if impute_only else f" / {r.flag_scale!r}D"
+            out.append((f"num__missingindicator_{r.name}", f"cast({_plain(df, r.name)} IS NULL AS double){scale}"))
+    return out
+
+
+def fit_encoder(train: DataFrame, columns, policy: ScalePolicy = DEFAULT_POLICY, output="features") -> tuple:
+    """Fit on ``train``; returns ``(PipelineModel, names of the vector slots)``.
+
+    Numbers: exact median for gaps, a flag per column that had gaps, division by the
+    population deviation. Everything else: most frequent value for gaps, one slot per
+    category in ascending order; categories not seen in training give all zeros.
+    """
+    columns = list(columns)
+    numeric, categorical = column_roles(train.select(*columns)) if columns else ([], [])
+    if not columns:
+        raise ValueError("no feature columns to encode")
+    rules, empty = fit_numeric(train, numeric, policy) if numeric else ([], [])
+    fills = most_frequent(train, categorical)
+    empty += [c for c in categorical if fills[c] is None]
+    if empty:
+        log.warning("columns without any training value are left out: %s", empty)
+    categorical = [c for c in categorical if fills[c] is not None]
+
+    numbers = numeric_expressions(train, rules)
+    texts = [
+        (f"__text_{c}", "coalesce(cast(`{}` AS string), '{}')".format(c, fills[c].replace("\\", "\\\\").replace("'", "\\'")))
+        for c in categorical
+    ]
+    listed = ", ".join(f"{x} AS `{name}`" for name, x in numbers + texts)
+    if not listed:
+        raise ValueError("no feature column has any training value")
+    stages = [SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__")]
+    names = [n for n, _ in numbers]
+    inputs = list(names)
+    if categorical:
+        shaped = stages[0].transform(train)
+        indexer = StringIndexer(
+            inputCols=[n for n, _ in texts],
+            outputCols=[f"__index_{c}" for c in categorical],
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        ).fit(shaped)
+        # "keep" adds a last slot for unseen values; dropLast removes just that one
+        encoder = OneHotEncoder(
+            inputCols=[f"__index_{c}" for c in categorical],
+            outputCols=[f"__hot_{c}" for c in categorical],
+            dropLast=True,
+        ).fit(indexer.transform(shaped))
+        stages += [indexer, encoder]
+        inputs += [f"__hot_{c}" for c in categorical]
+        for c, labels in zip(categorical, indexer.labelsArray):
+            names += [f"cat__{c}_{v}" for v in labels]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
+    return PipelineModel(stages), names

@@ -43,7 +43,7 @@ def _measures(cfg: TxnConfig, family: str, has_label: bool) -> list:
     return [Measure(_C, {"count": f"{family}_txn_count"})]
 
 
-def _family(df, source, cfg, family, policy, total, last, has_label):
+def _family(df, source, cfg, family, policy, total, last, has_label, older):
     key = getattr(cfg, family)
     history = History(_A, "user_amount_zscore", "user_time_since_last_txn") if family == "user" else None
     return roll(
@@ -57,6 +57,7 @@ def _family(df, source, cfg, family, policy, total, last, has_label):
         plan=plan_chunks(source, key, _T, _I, policy, total),
         source=source,
         last=last,
+        older=older if family == "user" else None,
     )
 
 
@@ -83,12 +84,14 @@ def add_features(
     cfg: TxnConfig = TxnConfig(),
     families=("user", "merchant", "currency", "status"),
     policy: ScalePolicy = DEFAULT_POLICY,
+    older: DataFrame | None = None,
 ) -> DataFrame:
     """Input columns plus the features of ``families``; no row sees itself or a later row.
 
     Families run narrowest first, so that the wide ones are not carried through the other
     exchanges; the output is put back in the documented order. Without a time or amount
-    column the input comes back unchanged.
+    column the input comes back unchanged. ``older`` is the summary of user rows that are no
+    longer part of ``df`` (see :func:`summarize_users`).
     """
     if cfg.time not in df.columns or cfg.amount not in df.columns:
         return df
@@ -102,6 +105,34 @@ def add_features(
     total, last = base.agg(F.count("*"), F.max(_T)).first()
     out = base
     for family in present:
-        out = _family(out, base, cfg, family, policy, total, last, has_label)
+        out = _family(out, base, cfg, family, policy, total, last, has_label, older)
     wanted = [n for n in feature_names(columns, cfg) if n in out.columns]
     return out.select(*columns, *wanted)
+
+
+def summarize_users(df: DataFrame, cfg: TxnConfig, by=()) -> DataFrame:
+    """Mergeable history per user: ``k, n, mean, m2, last_t`` (and the columns in ``by``)."""
+    return (
+        prepare(df, cfg)
+        .filter(F.col(cfg.user).isNotNull() & F.col(_T).isNotNull())
+        .groupBy(F.col(cfg.user).alias("k"), *by)
+        .agg(
+            F.count(_A).cast("double").alias("n"),
+            F.avg(_A).alias("mean"),
+            (F.var_pop(_A) * F.count(_A)).alias("m2"),
+            F.max(_T).alias("last_t"),
+        )
+    )
+
+
+def merge_summaries(df: DataFrame) -> DataFrame:
+    """One summary per user out of several, from two aggregations over the small summaries."""
+    means = df.groupBy("k").agg(
+        F.sum("n").alias("n"), F.expr("try_divide(sum(n * mean), sum(n))").alias("mean"), F.max("last_t").alias("last_t")
+    )
+    spread = (
+        df.join(means.selectExpr("k", "mean AS all_mean"), "k")
+        .groupBy("k")
+        .agg(F.expr("sum(m2 + n * (mean - all_mean) * (mean - all_mean))").alias("m2"))
+    )
+    return means.join(spread, "k").select("k", "n", "mean", "m2", "last_t")

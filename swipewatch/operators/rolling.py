@@ -71,6 +71,7 @@ def roll(
     source: DataFrame | None = None,
     policy: ScalePolicy = DEFAULT_POLICY,
     last: int | None = None,
+    older: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with the rolling columns of ``measures`` and, optionally, the history columns.
 
@@ -78,6 +79,7 @@ def roll(
     cheap frame with the same keys, times and measures from which the totals of hot keys are
     taken (default: ``df``); give the stored table when ``df`` already carries other windows.
     ``last`` is the greatest ``t`` if known: later leave events are not made at all.
+    ``older`` (``k, n, mean, m2, last_t`` per key) sums up rows that precede all of ``df``.
     """
     windows = [(window_label(w), window_micros(w)) for w in windows]
     for m in measures:
@@ -108,6 +110,8 @@ def roll(
     if not plan.empty:
         hot = plan.only_hot(_events(source, key, t, i, windows, measures, history, last, payload=False), "__k")
         rows = _add_carry(rows, plan.located(hot, "__t", "__i"), plan, totals, history)
+    if history and older is not None:
+        rows = _add_older(rows, older)
     return _outputs(rows, df.columns, windows, measures, history)
 
 
@@ -196,18 +200,36 @@ def _add_carry(rows, hot, plan, totals, history) -> DataFrame:
     joined = rows.join(F.broadcast(carry), F.expr("__k = __ck AND __chunk = __cc"), "left")
     changed = {n: f"{n} + coalesce({n}_c, 0L)" for n in totals}
     if history:
-        n0, both = "coalesce(__hn_c, 0D)", "coalesce(__hn_c, 0D) > 0 AND __hn > 0"
-        gap = "(__hmean - __hmean_c)"
-        m2 = "coalesce(__hvar * __hn, 0D) + coalesce(__hm2_c, 0D)"
-        merged = f"IF({both}, {gap} * {gap} * {n0} * __hn / ({n0} + __hn), 0D)"
-        changed["__hn"] = f"{n0} + __hn"
-        changed["__hmean"] = f"IF({both}, __hmean_c + {gap} * __hn / ({n0} + __hn), coalesce(__hmean, __hmean_c))"
-        changed["__hvar"] = f"IF({n0} + __hn > 0, ({m2} + {merged}) / ({n0} + __hn), NULL)"
-        changed["__hlast"] = "coalesce(__hlast, __hlast_c)"
+        changed.update(_moment_updates())
     kept = [c for c in rows.columns if c not in changed]
     return joined.selectExpr(*kept, *[f"{x} AS {n}" for n, x in changed.items()])
 
 
+def _moment_updates() -> dict:
+    """The history columns merged with earlier moments ``__hn_c, __hmean_c, __hm2_c, __hlast_c``."""
+    n0, both = "coalesce(__hn_c, 0D)", "coalesce(__hn_c, 0D) > 0 AND __hn > 0"
+    gap = "(__hmean - __hmean_c)"
+    m2 = "coalesce(__hvar * __hn, 0D) + coalesce(__hm2_c, 0D)"
+    merged = f"IF({both}, {gap} * {gap} * {n0} * __hn / ({n0} + __hn), 0D)"
+    return {
+        "__hn": f"{n0} + __hn",
+        "__hmean": f"IF({both}, __hmean_c + {gap} * __hn / ({n0} + __hn), coalesce(__hmean, __hmean_c))",
+        "__hvar": f"IF({n0} + __hn > 0, ({m2} + {merged}) / ({n0} + __hn), NULL)",
+        "__hlast": "coalesce(__hlast, __hlast_c)",
+    }
+
+
+def _add_older(rows, older) -> DataFrame:
+    """Merge moments of rows that are no longer in the frame, one row per key."""
+    named = older.selectExpr(
+        "k AS __ok", "n AS __hn_c", "mean AS __hmean_c", "m2 AS __hm2_c", "last_t AS __hlast_c"
+    )
+    changed = _moment_updates()
+    kept = [c for c in rows.columns if c not in changed]
+    joined = rows.join(named, F.expr("__k = __ok"), "left")
+    return joined.selectExpr(*kept, *[f"{x} AS {n}" for n, x in changed.items()])
+
+
 def _merged_moments() -> list:
     """Count, mean and squared deviations of all earlier chunks, merged in order."""
     parts = (

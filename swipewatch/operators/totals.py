@@ -1,4 +1,4 @@
-"""Grouped totals, class counts, named-feature averages, most frequent values."""
+"""Grouped totals, class counts, named-feature averages."""
 
 from __future__ import annotations
 
@@ -65,17 +65,3 @@ def average_features(df: DataFrame, features: str, by: str | None = None) -> Dat
         *keys, f"coalesce(transform_values(m, (k, v) -> v / records), {empty}) AS averages"
     )
 
-
-def most_frequent(df: DataFrame, columns) -> dict:
-    """Most frequent non-null value per column; the smallest on a tie."""
-    out = {}
-    for c in columns:
-        best = (
-            df.filter(F.col(c).isNotNull())
-            .groupBy(c)
-            .agg(F.count("*").alias("n"))
-            .agg(F.min_by(F.col(c), F.struct(-F.col("n"), F.col(c))).alias("v"))
-            .first()
-        )
-        out[c] = best["v"]
-    return out
