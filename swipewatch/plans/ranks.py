@@ -10,6 +10,7 @@ rows inside a bracket are then counted per value. Only the brackets travel to th
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +26,18 @@ def quantiles(df: DataFrame, columns, probs, policy: ScalePolicy = DEFAULT_POLIC
     columns, probs = list(columns), list(probs)
     if not columns:
         return {}
-    if df.count() <= policy.exact_sort_rows:
+    if len(columns) <= 3 and df.count() <= policy.exact_sort_rows:
         listed = ", ".join(repr(float(p)) + "D" for p in probs)
         row = df.selectExpr(*[f"percentile(`{c}`, array({listed})) AS q{n}" for n, c in enumerate(columns)]).first()
         return {
             c: dict(zip(probs, row[f"q{n}"] if row[f"q{n}"] is not None else [None] * len(probs)))
             for n, c in enumerate(columns)
         }
+    # many columns: count per (column, value) in parallel instead of one buffer per column in one task
+    row = df.selectExpr(*[f"count(`{c}`) AS n{n}" for n, c in enumerate(columns)]).first()
+    counts = {n: row[f"n{n}"] for n in range(len(columns)) if row[f"n{n}"]}
     stacked = ", ".join(f"{n}, cast(`{c}` AS double)" for n, c in enumerate(columns))
     frame = df.selectExpr(f"stack({len(columns)}, {stacked}) AS (g, v)").filter("v IS NOT NULL")
-    counts = {r["g"]: r["n"] for r in frame.groupBy("g").agg(F.count("*").alias("n")).collect()}
     wanted = {}
     for g, n in counts.items():
         spots = [p * (n - 1) for p in probs]
@@ -53,33 +56,47 @@ def quantiles(df: DataFrame, columns, probs, policy: ScalePolicy = DEFAULT_POLIC
     return out
 
 
+@dataclass(frozen=True)
+class Bracket:
+    """Values ``lo..hi`` (None: open end) of a group hold ``rows`` rows, after ``below`` smaller ones."""
+
+    g: object
+    lo: object
+    hi: object
+    below: int
+    rows: int
+
+
 def order_statistics(frame: DataFrame, counts: dict, wanted: dict, policy: ScalePolicy = DEFAULT_POLICY) -> dict:
     """``{(g, rank): value}`` for 0-based ranks of ``v`` within ``g``.
 
     ``frame`` has columns ``g, v`` without nulls; there are few groups, each of any size.
     """
-    open_, done = [], {}
+    done, open_ = {}, {}
     for g, ranks in wanted.items():
-        for rank in ranks:
-            if not 0 <= rank < counts[g]:
-                raise ValueError(f"rank {rank} outside a group of {counts[g]} rows")
-            open_.append({"g": g, "rank": rank, "lo": None, "hi": None, "below": 0, "rows": counts[g]})
+        if any(not 0 <= rank < counts[g] for rank in ranks):
+            raise ValueError(f"ranks {ranks} outside a group of {counts[g]} rows")
+        if ranks:
+            open_[Bracket(g, None, None, 0, counts[g])] = list(ranks)
     while open_:
-        small = [b for b in open_ if b["rows"] <= policy.exact_sort_rows]
-        large = [b for b in open_ if b["rows"] > policy.exact_sort_rows]
+        small = {b: ranks for b, ranks in open_.items() if b.rows <= policy.exact_sort_rows}
+        large = {b: ranks for b, ranks in open_.items() if b.rows > policy.exact_sort_rows}
         if small:
             done.update(_pick(frame, small))
-        open_ = []
-        for b in _narrow(frame, large) if large else []:
-            if b["lo"] is not None and b["lo"] == b["hi"]:
-                done[(b["g"], b["rank"])] = b["lo"]
+        open_ = {}
+        for b, ranks in (_narrow(frame, large) if large else {}).items():
+            if b.lo is not None and b.lo == b.hi:
+                done.update({(b.g, rank): b.lo for rank in ranks})
             else:
-                open_.append(b)
+                open_[b] = ranks
     return done
 
 
 def _inside(frame: DataFrame, brackets) -> DataFrame:
     """Rows of ``frame`` with the number ``b`` of each bracket they fall in."""
+    if all(b.lo is None and b.hi is None for b in brackets) and len(brackets) == 1:
+        only = F.lit(brackets[0].g).cast(frame.schema["g"].dataType)
+        return frame.filter(F.col("g").eqNullSafe(only)).withColumn("b", F.lit(0))
     kinds = {f.name: f.dataType for f in frame.schema.fields}
     schema = T.StructType(
         [
@@ -89,65 +106,61 @@ def _inside(frame: DataFrame, brackets) -> DataFrame:
             T.StructField("hi", kinds["v"]),
         ]
     )
-    rows = [(n, b["g"], b["lo"], b["hi"]) for n, b in enumerate(brackets)]
+    rows = [(n, b.g, b.lo, b.hi) for n, b in enumerate(brackets)]
     listed = F.broadcast(frame.sparkSession.createDataFrame(rows, schema))
     return frame.join(listed, F.expr("g <=> bg AND (lo IS NULL OR v >= lo) AND (hi IS NULL OR v <= hi)"))
 
 
-def _narrow(frame, brackets) -> list:
+def _narrow(frame, open_) -> dict:
+    """Smaller brackets for the same ranks: proposed by sketches, confirmed by exact counts."""
+    old = list(open_)
     probs = [j / GRID for j in range(GRID + 1)]
     sketches = {
         r["b"]: r["q"]
-        for r in _inside(frame, brackets)
-        .groupBy("b")
-        .agg(F.percentile_approx("v", probs, 20 * GRID).alias("q"))
-        .collect()
-    }
-    proposed = []
-    for n, b in enumerate(brackets):
-        spot = (b["rank"] - b["below"]) / b["rows"] * GRID
-        lo = sketches[n][max(0, math.floor(spot) - 1)]
-        hi = sketches[n][min(GRID, math.ceil(spot) + 1)]
-        proposed.append({**b, "lo": lo, "hi": hi})
-    # exact counts: of the old bracket, what lies below and inside the proposed one
-    table = {
-        r["b"]: r
-        for r in _inside(frame, brackets)
-        .groupBy("b")
-        .agg(*[F.expr(x) for x in _count_below_and_inside(proposed)])
-        .collect()
+        for r in _inside(frame, old).groupBy("b").agg(F.percentile_approx("v", probs, 20 * GRID).alias("q")).collect()
     }
-    out = []
-    for n, (old, new) in enumerate(zip(brackets, proposed)):
-        below, inside = table[n][f"below_{n}"], table[n][f"inside_{n}"]
-        if old["below"] + below <= new["rank"] < old["below"] + below + inside and inside < old["rows"]:
-            out.append({**new, "below": old["below"] + below, "rows": inside})
-        elif new["lo"] == new["hi"] and old["below"] + below <= new["rank"] < old["below"] + below + inside:
-            out.append({**new, "below": old["below"] + below, "rows": inside})
-        else:  # the sketch was of no help: settle this one by counting its distinct values
-            out.append({**old, "rows": 0})
+    proposed = []  # (number of the old bracket, lo, hi, ranks)
+    for n, b in enumerate(old):
+        found = {}
+        for rank in open_[b]:
+            spot = (rank - b.below) / b.rows * GRID
+            ends = sketches[n][max(0, math.floor(spot) - 1)], sketches[n][min(GRID, math.ceil(spot) + 1)]
+            found.setdefault(ends, []).append(rank)
+        proposed += [(n, lo, hi, ranks) for (lo, hi), ranks in found.items()]
+    counts = []
+    for m, (n, lo, hi, _) in enumerate(proposed):
+        counts.append(F.expr(f"count_if(b = {n} AND v < {_text(lo)})").alias(f"below_{m}"))
+        counts.append(F.expr(f"count_if(b = {n} AND v BETWEEN {_text(lo)} AND {_text(hi)})").alias(f"inside_{m}"))
+    row = _inside(frame, old).agg(*counts).first()
+    out = {}
+    for m, (n, lo, hi, ranks) in enumerate(proposed):
+        b, below, inside = old[n], old[n].below + row[f"below_{m}"], row[f"inside_{m}"]
+        held = [r for r in ranks if below <= r < below + inside and (inside < b.rows or lo == hi)]
+        if held:
+            out.setdefault(Bracket(b.g, lo, hi, below, inside), []).extend(held)
+        # where a sketch is of no help the ranks are settled by counting distinct values
+        rest = [r for r in ranks if r not in held]
+        if rest:
+            out.setdefault(Bracket(b.g, b.lo, b.hi, b.below, 0), []).extend(rest)
     return out
 
 
-def _count_below_and_inside(proposed) -> list:
-    def text(v):
-        return f"{v}L" if isinstance(v, int) else f"{v!r}D"
-
-    found = []
-    for n, b in enumerate(proposed):
-        found.append(f"count_if(b = {n} AND v < {text(b['lo'])}) AS below_{n}")
-        found.append(f"count_if(b = {n} AND v BETWEEN {text(b['lo'])} AND {text(b['hi'])}) AS inside_{n}")
-    return found
+def _text(v) -> str:
+    return f"{v}L" if isinstance(v, int) else f"{v!r}D"
 
 
-def _pick(frame, brackets) -> dict:
+def _pick(frame, open_) -> dict:
     """Read the wanted ranks off the counts per distinct value of small brackets."""
+    brackets = list(open_)
     per_value = _inside(frame, brackets).groupBy("b", "v").agg(F.count("*").alias("n"))
     running = per_value.selectExpr("b", "v", "n", "sum(n) OVER (PARTITION BY b ORDER BY v) AS upto")
-    offsets = [(n, b["rank"] - b["below"]) for n, b in enumerate(brackets)]
+    offsets = [(n, rank - b.below) for n, b in enumerate(brackets) for rank in open_[b]]
     wanted = F.broadcast(frame.sparkSession.createDataFrame(offsets, "wb int, offset long"))
     hits = running.join(wanted, F.expr("b = wb AND offset < upto AND offset >= upto - n"))
-    return {(brackets[r["b"]]["g"], brackets[r["b"]]["rank"]): r["v"] for r in hits.select("b", "v").collect()}
+    return {
+        (brackets[r["b"]].g, brackets[r["b"]].below + r["offset"]): r["v"]
+        for r in hits.select("b", "offset", "v").collect()
+    }
 
 
 def lexicographic_cuts(
@@ -161,12 +174,20 @@ def lexicographic_cuts(
         T.StructType([T.StructField("cg", frame.schema["g"].dataType), T.StructField("cv", frame.schema["v"].dataType)]),
     )
     joined = frame.join(F.broadcast(cuts), F.expr("g <=> cg"))
-    below = {
-        r["g"]: (r["lt"], r["eq"])
-        for r in joined.groupBy("g").agg(F.expr("count_if(v < cv)").alias("lt"), F.expr("count_if(v = cv)").alias("eq")).collect()
+    at = {
+        r["g"]: r
+        for r in joined.groupBy("g")
+        .agg(
+            F.expr("count_if(v < cv)").alias("lt"),
+            F.expr("count_if(v = cv)").alias("eq"),
+            F.expr("min(IF(v = cv, w, NULL))").alias("w"),
+        )
+        .collect()
     }
-    ties = joined.filter("v = cv").selectExpr("g", "w AS v")
-    tails = order_statistics(
-        ties, {g: below[g][1] for g in wanted}, {g: [k - below[g][0]] for g, k in wanted.items()}, policy
-    )
-    return {g: (heads[(g, k)], tails[(g, k - below[g][0])]) for g, k in wanted.items()}
+    out = {g: (heads[(g, k)], at[g]["w"]) for g, k in wanted.items() if at[g]["eq"] == 1}
+    tied = {g: k - at[g]["lt"] for g, k in wanted.items() if g not in out}
+    if tied:
+        ties = joined.filter("v = cv").selectExpr("g", "w AS v")
+        tails = order_statistics(ties, {g: at[g]["eq"] for g in tied}, {g: [k] for g, k in tied.items()}, policy)
+        out.update({g: (heads[(g, wanted[g])], tails[(g, k)]) for g, k in tied.items()})
+    return out
