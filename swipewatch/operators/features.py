@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_POLICY, ScalePolicy, TxnConfig
 from ..functions.scalars import as_timestamp, cents, micros, number, window_micros
-from ..plans.chunks import plan_chunks, tie_key
+from ..plans.chunks import plan_chunks_for, tie_key
 from .rolling import History, Measure, roll
 
 _T, _I, _C, _L, _A = "__time_us", "__tie", "__cents", "__label", "__amount"
@@ -43,7 +43,7 @@ def _measures(cfg: TxnConfig, family: str, has_label: bool) -> list:
     return [Measure(_C, {"count": f"{family}_txn_count"})]
 
 
-def _family(df, source, cfg, family, policy, total, last, has_label, older):
+def _family(df, source, cfg, family, plan, last, has_label, older):
     key = getattr(cfg, family)
     history = History(_A, "user_amount_zscore", "user_time_since_last_txn") if family == "user" else None
     return roll(
@@ -54,7 +54,7 @@ def _family(df, source, cfg, family, policy, total, last, has_label, older):
         cfg.windows,
         _measures(cfg, family, has_label),
         history,
-        plan=plan_chunks(source, key, _T, _I, policy, total),
+        plan=plan,
         source=source,
         last=last,
         older=older if family == "user" else None,
@@ -103,9 +103,10 @@ def add_features(
         return base.select(*columns)
     # one narrow pass: the size decides the plan, the last instant trims useless events
     total, last = base.agg(F.count("*"), F.max(_T)).first()
+    plans = plan_chunks_for(base, [getattr(cfg, f) for f in present], _T, _I, policy, total)
     out = base
     for family in present:
-        out = _family(out, base, cfg, family, policy, total, last, has_label, older)
+        out = _family(out, base, cfg, family, plans[getattr(cfg, family)], last, has_label, older)
     wanted = [n for n in feature_names(columns, cfg) if n in out.columns]
     return out.select(*columns, *wanted)
 

@@ -132,21 +132,41 @@ def plan_chunks(
     again (columns ``key, t, i`` only) when there are hot keys. Tables that fit one group
     are not scanned at all.
     """
-    spark = df.sparkSession
-    key_type, t_type = df.schema[key].dataType, df.schema[t].dataType
+    return plan_chunks_for(df, [key], t, i, policy, total)[key]
+
+
+def plan_chunks_for(
+    df: DataFrame, keys, t: str, i: str, policy: ScalePolicy = DEFAULT_POLICY, total: int | None = None
+) -> dict:
+    """A plan per key column; the rows per value of all of them are counted in one pass."""
     total = df.count() if total is None else total
     limit = policy.chunk_limit(total)
-    nothing = ChunkPlan(spark, key_type, t_type, {}, total)
+    spark, t_type = df.sparkSession, df.schema[t].dataType
+    plans = {k: ChunkPlan(spark, df.schema[k].dataType, t_type, {}, total) for k in keys}
     if total <= limit:
-        return nothing
-
+        return plans
+    # at most total / limit values per key column come back
+    timed = df.filter(F.col(t).isNotNull())
+    counted = (
+        timed.groupBy(*keys) if len(keys) == 1 else timed.groupingSets([[k] for k in keys], *keys)
+    ).agg(F.count("*").alias("__n"), *([F.grouping_id().alias("__set")] if len(keys) > 1 else []))
+    found = counted.filter(F.col("__n") > limit).collect()
+    for position, k in enumerate(keys):
+        # a column is grouped by where its bit of the grouping id is 0
+        bit = 1 << (len(keys) - 1 - position)
+        hot = {
+            r[k]: r["__n"] for r in found if r[k] is not None and (len(keys) == 1 or not r["__set"] & bit)
+        }
+        if hot:
+            plans[k].points.update(_cut_points(df, k, t, i, hot, limit))
+    return plans
+
+
+def _cut_points(df, key, t, i, hot, limit) -> dict:
+    spark, key_type, t_type = df.sparkSession, df.schema[key].dataType, df.schema[t].dataType
     rows = df.filter(F.col(key).isNotNull() & F.col(t).isNotNull()).select(
         F.col(key).alias("k"), F.col(t).alias("t"), F.col(i).alias("i")
     )
-    # at most total / limit rows come back
-    hot = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()}
-    if not hot:
-        return nothing
     cuts = _cut_times(spark, rows, hot, key_type, limit)
     instants = {
         (k, v): times.count(v) + 1 for k, times in cuts.items() for v in set(times) if times.count(v) > 1
@@ -161,7 +181,7 @@ def plan_chunks(
                 found.update((v, n) for n in by_id.get((k, v), ()))
                 found.add((v, LONG_MAX))
         points[k] = sorted(found)
-    return ChunkPlan(spark, key_type, t_type, points, total)
+    return points
 
 
 def _cut_times(spark, rows, hot, key_type, limit) -> dict:
