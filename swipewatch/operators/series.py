@@ -10,7 +10,9 @@ that is computed from one aggregated number per block.
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,16 +145,18 @@ def relative_strength(
 
 def _recur(rows: DataFrame, s: _Series, columns, alpha: float, start: int) -> DataFrame:
     """Replace each column by its exponential recurrence along ``__pos`` from ``start`` on."""
-    if not s.plan.empty:
-        rows = _with_carry(rows, s, columns, alpha, start)
-    part = "__chunk" if s.plan.empty else "__block"
-    kept = [*s.columns, "__k", part, "__pos", *columns]
-    narrow = rows.select(*kept)
-    if not s.plan.empty:
-        narrow = narrow.repartition("__k", part)
-    # without hot keys the window behind __pos has already put each key into one task
-    ordered = narrow.sortWithinPartitions("__k", part, "__pos")
-    return ordered.mapInPandas(_smoother(part, columns, alpha), ordered.schema)
+    if s.plan.empty:
+        # the window behind __pos has already put each key into one task, in this order
+        first = f"__pos = {start}"
+        order = ["__k", "__t", "__i"]
+    else:
+        rows = _with_carry(rows, s, columns, alpha, start).repartition("__k", "__block")
+        first = f"__pos = {start} OR __pos % {s.block} = 0"
+        order = ["__k", "__block", "__pos"]
+    ordered = rows.selectExpr(
+        *[f"`{c}`" for c in s.columns], *order, f"{first} AS __first", *columns
+    ).sortWithinPartitions(*order)
+    return ordered.mapInArrow(_smoother(columns, alpha), ordered.schema)
 
 
 def _with_carry(rows, s, columns, alpha, start) -> DataFrame:
@@ -190,28 +194,29 @@ def _with_carry(rows, s, columns, alpha, start) -> DataFrame:
     return joined.selectExpr(*[f"`{c}`" for c in rows.columns if c not in columns], *changed)
 
 
-def _smoother(part, columns, alpha):
-    """Partition-wise recurrence over sorted batches; only the last value is kept in between."""
-    keys = ["__k", part]
+def _smoother(columns, alpha):
+    """Recurrence over sorted Arrow batches; only the last value is kept in between.
+
+    The other columns of a batch pass through untouched.
+    """
 
     def run(batches):
-        last_key, last = None, None
-        for pdf in batches:
-            if pdf.empty:
+        last = {}
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            head = tuple(pdf.loc[0, keys])
-            if head == last_key:
-                for c in columns:
-                    pdf.loc[0, c] = alpha * pdf.loc[0, c] + (1.0 - alpha) * last[c]
-            grouped = pdf.groupby(keys, sort=False)[columns]
-            if alpha > 0.0:
-                pdf[columns] = grouped.ewm(alpha=alpha, adjust=False).mean().reset_index(drop=True)
-            else:
-                pdf[columns] = grouped.transform("first")
-            tail = len(pdf) - 1
-            last_key, last = tuple(pdf.loc[tail, keys]), {c: pdf.loc[tail, c] for c in columns}
-            yield pdf
+            first = batch.column("__first").to_numpy(zero_copy_only=False)
+            segment = np.cumsum(first)
+            arrays = dict(zip(batch.schema.names, batch.columns))
+            for c in columns:
+                y = batch.column(c).to_numpy(zero_copy_only=False).astype("float64")
+                if not first[0]:  # goes on from the batch before
+                    y[0] = alpha * y[0] + (1.0 - alpha) * last[c]
+                grouped = pd.Series(y).groupby(segment, sort=False)
+                smooth = grouped.ewm(alpha=alpha, adjust=False).mean() if alpha > 0.0 else grouped.transform("first")
+                y = smooth.to_numpy()
+                last[c], arrays[c] = y[-1], pa.array(y)
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=batch.schema.names)
 
     return run
 

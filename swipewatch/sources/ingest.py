@@ -91,8 +91,8 @@ def ingest(
     """Scan a CSV once and write it as a table, optionally with one partition per day."""
     df = read_csv(spark, csv_path, schema)
     if partition_by_day:
-        df = df.withColumn("day", F.to_date(time))
-        # rows of one day may go to several tasks: a busy day is not gathered in one
+        # rebalance: few files per day, while a busy day is still split over several tasks
+        df = df.withColumn("day", F.to_date(time)).hint("rebalance", "day")
         return write_table(df, table_path, if_exists, ["day"])
     return write_table(df, table_path, if_exists)
 

@@ -70,8 +70,17 @@ def _rsi(values, n):
     return out
 
 
+@pytest.fixture(params=[10_000, 16], ids=["one batch", "many batches"])
+def arrow_batch(spark, request):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("limit", [10_000, 40, 7])
-def test_long_series_in_blocks_equal_the_sequential_result(spark, limit):
+def test_long_series_in_blocks_equal_the_sequential_result(spark, limit, arrow_batch):
     rng = random.Random(5)
     series = {"a": [round(rng.uniform(1, 100), 2) for _ in range(300)], "b": [1.0, 2.0], "c": [5.0] * 30}
     rows = [(k, n, v) for k, vs in series.items() for n, v in enumerate(vs)]
