@@ -46,8 +46,8 @@ class ScalePolicy:
         state holds every distinct value; beyond it, bracket refinement.
     """
 
-    max_group_rows: int = 5_000_000
-    max_chunks: int = 10_000
+    max_group_rows: int = 1_000_000
+    max_chunks: int = 50_000
     exact_sort_rows: int = 2_000_000
 
     def chunk_limit(self, total: int) -> int:

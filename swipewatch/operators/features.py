@@ -43,7 +43,7 @@ def _measures(cfg: TxnConfig, family: str, has_label: bool) -> list:
     return [Measure(_C, {"count": f"{family}_txn_count"})]
 
 
-def _family(df, source, cfg, family, plan, last, has_label, older):
+def _family(df, source, cfg, family, plan, last, has_label, older, keep):
     key = getattr(cfg, family)
     history = History(_A, "user_amount_zscore", "user_time_since_last_txn") if family == "user" else None
     return roll(
@@ -58,6 +58,7 @@ def _family(df, source, cfg, family, plan, last, has_label, older):
         source=source,
         last=last,
         older=older if family == "user" else None,
+        keep=keep,
     )
 
 
@@ -106,7 +107,9 @@ def add_features(
     plans = plan_chunks_for(base, [getattr(cfg, f) for f in present], _T, _I, policy, total)
     out = base
     for family in present:
-        out = _family(out, base, cfg, family, plans[getattr(cfg, family)], last, has_label, older)
+        # the last family has no further use for the helper columns
+        keep = [c for c in out.columns if family != present[-1] or c not in _HELPERS]
+        out = _family(out, base, cfg, family, plans[getattr(cfg, family)], last, has_label, older, keep)
     wanted = [n for n in feature_names(columns, cfg) if n in out.columns]
     return out.select(*columns, *wanted)
 

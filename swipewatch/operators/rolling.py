@@ -72,6 +72,7 @@ def roll(
     policy: ScalePolicy = DEFAULT_POLICY,
     last: int | None = None,
     older: DataFrame | None = None,
+    keep=None,
 ) -> DataFrame:
     """``df`` with the rolling columns of ``measures`` and, optionally, the history columns.
 
@@ -80,16 +81,18 @@ def roll(
     taken (default: ``df``); give the stored table when ``df`` already carries other windows.
     ``last`` is the greatest ``t`` if known: later leave events are not made at all.
     ``older`` (``k, n, mean, m2, last_t`` per key) sums up rows that precede all of ``df``.
+    ``keep`` names the columns to carry along (default: all). They travel as one struct, which
+    is a single empty slot in leave events, as long as all of them are read afterwards.
     """
     windows = [(window_label(w), window_micros(w)) for w in windows]
     for m in measures:
         unknown = set(m.outputs) - set(AGGREGATES)
         if unknown:
             raise ValueError(f"unknown rolling aggregates {sorted(unknown)}; use {AGGREGATES}")
-    source = df if source is None else source
+    source, keep = df if source is None else source, list(keep or df.columns)
     plan = plan_chunks(source, key, t, i, policy) if plan is None else plan
 
-    events = _events(df, key, t, i, windows, measures, history, last, payload=True)
+    events = _events(df, key, t, i, windows, measures, history, last, payload=keep)
     events = plan.attach(events, "__k", "__t", "__i", where=_VALID)
 
     totals = _running_totals(windows, measures)
@@ -108,11 +111,11 @@ def roll(
         )
     rows = events.filter("__kind = 0")
     if not plan.empty:
-        hot = plan.only_hot(_events(source, key, t, i, windows, measures, history, last, payload=False), "__k")
+        hot = plan.only_hot(_events(source, key, t, i, windows, measures, history, last, payload=None), "__k")
         rows = _add_carry(rows, plan.located(hot, "__t", "__i"), plan, totals, history)
     if history and older is not None:
         rows = _add_older(rows, older)
-    return _outputs(rows, df.columns, windows, measures, history)
+    return _outputs(rows, keep, windows, measures, history)
 
 
 def _events(df, key, t, i, windows, measures, history, last, payload) -> DataFrame:
@@ -140,7 +143,7 @@ def _events(df, key, t, i, windows, measures, history, last, payload) -> DataFra
         first.append(f"{quoted(history.value)} AS __h0")
         second.append("IF(__e.kind = 0, __h0, NULL) AS __h")
     if payload:
-        first.append("struct(" + ", ".join(quoted(c) for c in df.columns) + ") AS __row0")
+        first.append("struct(" + ", ".join(quoted(c) for c in payload) + ") AS __row0")
         second.append("IF(__e.kind = 0, __row0, NULL) AS __row")
     return df.selectExpr(*first).selectExpr(*second)
 

@@ -56,11 +56,16 @@ class ChunkPlan:
         return sum(len(p) + 1 for p in self.points.values())
 
     def _points_frame(self) -> DataFrame:
-        point = T.StructType([T.StructField("t", self.t_type), T.StructField("i", T.LongType())])
+        """One row per hot key; two flat arrays, because comparing numbers is cheaper than structs."""
         schema = T.StructType(
-            [T.StructField("__hot", self.key_type), T.StructField("__points", T.ArrayType(point))]
+            [
+                T.StructField("__hot", self.key_type),
+                T.StructField("__pt", T.ArrayType(self.t_type)),
+                T.StructField("__pi", T.ArrayType(T.LongType())),
+            ]
         )
-        return self.spark.createDataFrame([(k, p) for k, p in self.points.items()], schema)
+        rows = [(k, [t for t, _ in p], [i for _, i in p]) for k, p in self.points.items()]
+        return self.spark.createDataFrame(rows, schema)
 
     def gates(self) -> DataFrame:
         """Every (key, chunk) with its gate: the first chunk that holds the same instant.
@@ -98,24 +103,22 @@ class ChunkPlan:
         chunk = "0"
         if not self.empty:
             df = df.join(F.broadcast(self._points_frame()), F.col(key) == F.col("__hot"), "left")
-            chunk = f"IF(__points IS NULL, 0, {self._locate(t, i)})"
+            chunk = f"IF(__pt IS NULL, 0, {self._locate(t, i)})"
         if where:
             chunk = f"IF({where}, {chunk}, cast(-1 - pmod(xxhash64({i}), {SPREAD}) AS int))"
-        return df.withColumn("__chunk", F.expr(chunk)).drop("__hot", "__points")
+        return df.withColumn("__chunk", F.expr(chunk)).drop("__hot", "__pt", "__pi")
 
     def located(self, df: DataFrame, t: str, i: str) -> DataFrame:
         """Add ``__chunk`` to the rows of :meth:`only_hot`."""
         return df.withColumn("__chunk", F.expr(self._locate(t, i)))
 
     def _locate(self, t: str, i: str) -> str:
-        """Number of cut points at or before ``(t, i)``, by bisection over ``__points``."""
+        """Number of cut points at or before ``(t, i)``, by bisection."""
         longest = max(len(p) for p in self.points.values())
         steps = ", ".join(str(1 << b) for b in reversed(range(longest.bit_length())))
-        here = f"struct({t} AS t, {i} AS i)"
-        return (
-            f"aggregate(array({steps}), 0, (pos, step) ->"
-            f" IF(get(__points, pos + step - 1) <= {here}, pos + step, pos))"
-        )
+        at = "pos + step - 1"
+        before = f"get(__pt, {at}) < {t} OR (get(__pt, {at}) = {t} AND get(__pi, {at}) <= {i})"
+        return f"aggregate(array({steps}), 0, (pos, step) -> IF({before}, pos + step, pos))"
 
 
 def plan_chunks(
