@@ -205,6 +205,14 @@ add(
     "p AS (SELECT quantile_cont(amount, 0.9) AS p90 FROM txn)",
 )
 add("drop_columns", "SELECT transaction_id, round(amount, 6) AS amount, currency, status, fraud FROM txn", TXN)
+add(
+    "parse_times",
+    """SELECT transaction_id, CASE WHEN transaction_id % 13 = 0 THEN -1
+              WHEN transaction_id % 7 = 0 THEN CAST(epoch(date_trunc('second', transaction_date)) AS BIGINT) - 7200
+              WHEN transaction_id % 5 = 0 THEN CAST(epoch(date_trunc('minute', transaction_date)) AS BIGINT)
+              ELSE CAST(epoch(date_trunc('second', transaction_date)) AS BIGINT) END AS seconds FROM txn""",
+    TXN,
+)
 add(
     "label_encode",
     "SELECT transaction_id, status, CAST(dense_rank() OVER (ORDER BY status) - 1 AS INTEGER) AS code FROM txn",
@@ -308,6 +316,15 @@ add(
     ),
     GAPS,
 )
+add(
+    "schema_roles",
+    "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{'categorical' if c in ('transaction_date', 'currency', 'status') else 'numeric'}'"
+        f" AS role, count(*) - count({c}) AS missing FROM gaps"
+        for c in _COLUMNS
+    ),
+    GAPS,
+)
 
 
 def _describe(c):
@@ -559,3 +576,28 @@ add(
     TXN,
     ACTIVITY,
 )
+
+# --- preprocessing ------------------------------------------------------------------
+
+CLEAN = """st AS (SELECT avg(amount) AS mean, stddev_samp(amount) AS sd FROM gaps),
+med AS (SELECT median(amount) AS mid FROM gaps, st WHERE abs(amount - mean) <= 4 * sd),
+clean AS (SELECT transaction_id, fraud,
+  CASE WHEN amount IS NULL OR abs(amount - mean) / sd > 4 THEN mid ELSE amount END AS a,
+  row_number() OVER (ORDER BY transaction_date, transaction_id)
+    <= greatest(1, CAST(floor((SELECT count(*) FROM txn) * (1 - 0.2e0)) AS BIGINT)) AS is_train FROM gaps, st, med)"""
+# widths: amount and the features, a missing flag per feature, three currencies and three statuses
+add(
+    "preprocess_features",
+    """SELECT transaction_id, CASE WHEN is_train THEN 'train' ELSE 'test' END AS part, fraud AS label,
+              1 + 34 + 34 + 6 AS width,
+              round(a / (SELECT stddev_pop(a) FROM clean WHERE is_train), 6) AS amount FROM clean""",
+    GAPS,
+    CLEAN,
+)
+add(
+    "feature_dataset",
+    "SELECT fraud AS label, count(*) AS rows, 1 + 10 + 10 + 6 AS width FROM clean WHERE is_train GROUP BY fraud",
+    GAPS,
+    CLEAN,
+)
+add("model_roundtrip", "SELECT count(*) AS rows, 0e0 AS difference FROM clean WHERE NOT is_train", GAPS, CLEAN)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swipewatch import ScalePolicy, TxnConfig, jobs
-from swipewatch.functions.scalars import binarize, rule_score
+from swipewatch.functions.scalars import as_timestamp, binarize, rule_score
 from swipewatch.operators import (
     clean,
     encode,
@@ -248,6 +248,22 @@ def drop_columns(spark, folder):
     return rounded(demo.transactions(spark, folder).drop("user_id", "merchant_id", "transaction_date", "no_such"))
 
 
+@query
+def parse_times(spark, folder):
+    """ISO text with and without offset, another format, and text that is no time."""
+    t = demo.transactions(spark, folder)
+    iso = F.date_format("transaction_date", "yyyy-MM-dd HH:mm:ss")
+    text = (
+        F.when(F.col("transaction_id") % 13 == 0, "no time")
+        .when(F.col("transaction_id") % 7 == 0, F.concat(iso, F.lit("+02:00")))
+        .when(F.col("transaction_id") % 5 == 0, F.date_format("transaction_date", "dd.MM.yyyy HH:mm"))
+        .otherwise(iso)
+    )
+    t = t.select("transaction_id", text.alias("text"))
+    parsed = as_timestamp(t, "text", "null", ("dd.MM.yyyy HH:mm",))
+    return t.select("transaction_id", F.coalesce(F.unix_seconds(parsed), F.lit(-1)).alias("seconds"))
+
+
 @query
 def label_encode(spark, folder):
     t = demo.transactions(spark, folder)
@@ -406,7 +422,7 @@ def profile_nulls(spark, folder):
 
 @query
 def schema_roles(spark, folder):
-    return profile.schema_roles(demo.transactions(spark, folder))
+    return profile.null_profile(demo.transactions_with_gaps(spark, folder)).select("column", "role", "missing")
 
 
 @query
@@ -638,10 +654,19 @@ def _prepared(spark, folder, **kw):
 
 @query
 def preprocess_features(spark, folder):
+    """The encoded rows of both parts: vector width and the cleaned and scaled amount."""
     done = _prepared(spark, folder)
-    parts = [done.train.withColumn("part", F.lit("train")), done.test.withColumn("part", F.lit("test"))]
-    both = parts[0].unionByName(parts[1])
-    return both.select("transaction_id", "part", "label", F.size(vector_to_array("features")).alias("width"))
+    both = done.train.withColumn("part", F.lit("train")).unionByName(done.test.withColumn("part", F.lit("test")))
+    slots = vector_to_array(F.col("features"))
+    return rounded(
+        both.select(
+            "transaction_id",
+            "part",
+            "label",
+            F.size(slots).alias("width"),
+            slots[done.names.index("num__amount")].alias("amount"),
+        )
+    )
 
 
 @query

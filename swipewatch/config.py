@@ -25,6 +25,7 @@ class TxnConfig:
     label: str = "fraud"
     windows: tuple = DEFAULT_WINDOWS
     on_bad_time: str = "fail"  # "fail" or "null"
+    time_formats: tuple = ()  # tried after ISO text, e.g. ("dd.MM.yyyy HH:mm",)
     label_delay: str | None = None  # e.g. "7d": labels become visible that much later
 
     def with_(self, **changes) -> "TxnConfig":

@@ -16,7 +16,7 @@ _HELPERS = (_T, _I, _C, _L, _A)
 
 def prepare(df: DataFrame, cfg: TxnConfig) -> DataFrame:
     """Parse the time column and add the helper columns the rolling operators read."""
-    df = df.withColumn(cfg.time, as_timestamp(df, cfg.time, cfg.on_bad_time))
+    df = df.withColumn(cfg.time, as_timestamp(df, cfg.time, cfg.on_bad_time, cfg.time_formats))
     amount = number(df, cfg.amount)
     label = number(df, cfg.label).cast("bigint") if cfg.label in df.columns else F.lit(None).cast("bigint")
     return df.withColumns(

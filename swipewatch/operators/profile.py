@@ -21,25 +21,20 @@ def column_roles(df: DataFrame) -> tuple:
     return numeric, [c for c in df.columns if c not in numeric]
 
 
-def schema_roles(df: DataFrame) -> DataFrame:
-    numeric, _ = column_roles(df)
-    rows = [(n, f.name, f.dataType.simpleString(), "numeric" if f.name in numeric else "categorical")
-            for n, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, role string")
-
-
 def _stack(wide: DataFrame, pairs, names) -> DataFrame:
     return wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) AS ({', '.join(names)})")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, rows and missing values, in one pass over the data."""
+    """Per column: type, role, rows and missing values, in one pass over the data."""
+    numeric, _ = column_roles(df)
     aggs = [F.count("*").alias("rows")]
     aggs += [F.count_if(is_missing(df, c)).alias(f"m{n}") for n, c in enumerate(df.columns)]
-    pairs = [
-        f"'{f.name}', '{f.dataType.simpleString()}', rows, m{n}" for n, f in enumerate(df.schema.fields)
-    ]
-    return _stack(df.agg(*aggs), pairs, ["column", "dtype", "rows", "missing"])
+    pairs = []
+    for n, f in enumerate(df.schema.fields):
+        role = "numeric" if f.name in numeric else "categorical"
+        pairs.append(f"'{f.name}', '{f.dataType.simpleString()}', '{role}', rows, m{n}")
+    return _stack(df.agg(*aggs), pairs, ["column", "dtype", "role", "rows", "missing"])
 
 
 def describe(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:

@@ -37,7 +37,7 @@ def time_split(
     Ties are ordered by id; rows without a time come last.
     """
     _check_size(test_size)
-    t = F.coalesce(micros(as_timestamp(df, cfg.time, cfg.on_bad_time)), F.lit(NEVER))
+    t = F.coalesce(micros(as_timestamp(df, cfg.time, cfg.on_bad_time, cfg.time_formats)), F.lit(NEVER))
     keyed = df.withColumns({"__g": F.lit(0), "__t": t, "__i": tie_key(df, cfg.id)})
     n = keyed.count()
     if n == 0:
@@ -100,7 +100,7 @@ def time_fold(df: DataFrame, folds: int, cfg: TxnConfig = TxnConfig(), policy: S
     """Fold number by time, for cross-validation over consecutive periods of equal size."""
     from ..plans.ranks import quantiles
 
-    t = micros(as_timestamp(df, cfg.time, cfg.on_bad_time))
+    t = micros(as_timestamp(df, cfg.time, cfg.on_bad_time, cfg.time_formats))
     cuts = quantiles(df.select(t.alias("t")), ["t"], [j / folds for j in range(1, folds)], policy)["t"]
     fold = F.lit(0)
     for cut in cuts.values():
