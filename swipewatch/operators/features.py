@@ -115,7 +115,7 @@ def add_features(
 
 
 def summarize_users(df: DataFrame, cfg: TxnConfig, by=()) -> DataFrame:
-    """Mergeable history per user: ``k, n, mean, m2, last_t`` (and the columns in ``by``)."""
+    """Mergeable history per user: ``k, n, mean, m2, last_t, lo, hi`` (and the columns in ``by``)."""
     return (
         prepare(df, cfg)
         .filter(F.col(cfg.user).isNotNull() & F.col(_T).isNotNull())
@@ -125,6 +125,8 @@ def summarize_users(df: DataFrame, cfg: TxnConfig, by=()) -> DataFrame:
             F.avg(_A).alias("mean"),
             (F.var_pop(_A) * F.count(_A)).alias("m2"),
             F.max(_T).alias("last_t"),
+            F.min(_A).alias("lo"),
+            F.max(_A).alias("hi"),
         )
     )
 
@@ -132,11 +134,15 @@ def summarize_users(df: DataFrame, cfg: TxnConfig, by=()) -> DataFrame:
 def merge_summaries(df: DataFrame) -> DataFrame:
     """One summary per user out of several, from two aggregations over the small summaries."""
     means = df.groupBy("k").agg(
-        F.sum("n").alias("n"), F.expr("try_divide(sum(n * mean), sum(n))").alias("mean"), F.max("last_t").alias("last_t")
+        F.sum("n").alias("n"),
+        F.expr("try_divide(sum(n * mean), sum(n))").alias("mean"),
+        F.max("last_t").alias("last_t"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
     spread = (
         df.join(means.selectExpr("k", "mean AS all_mean"), "k")
         .groupBy("k")
         .agg(F.expr("sum(m2 + n * (mean - all_mean) * (mean - all_mean))").alias("m2"))
     )
-    return means.join(spread, "k").select("k", "n", "mean", "m2", "last_t")
+    return means.join(spread, "k").select("k", "n", "mean", "m2", "last_t", "lo", "hi")

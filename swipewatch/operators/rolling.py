@@ -80,7 +80,7 @@ def roll(
     cheap frame with the same keys, times and measures from which the totals of hot keys are
     taken (default: ``df``); give the stored table when ``df`` already carries other windows.
     ``last`` is the greatest ``t`` if known: later leave events are not made at all.
-    ``older`` (``k, n, mean, m2, last_t`` per key) sums up rows that precede all of ``df``.
+    ``older`` (``k, n, mean, m2, last_t, lo, hi`` per key) sums up rows that precede all of ``df``.
     ``keep`` names the columns to carry along (default: all). They travel as one struct, which
     is a single empty slot in leave events, as long as all of them are read afterwards.
     """
@@ -104,6 +104,9 @@ def roll(
             f"avg(__h) OVER {_BEFORE} AS __hmean",
             f"var_pop(__h) OVER {_BEFORE} AS __hvar",
             f"last(IF(__kind = 0, __t, NULL), true) OVER {_BEFORE} AS __hlast",
+            # all earlier values are equal just when these two are; a rounded deviation cannot tell
+            f"min(__h) OVER {_BEFORE} AS __hlo",
+            f"max(__h) OVER {_BEFORE} AS __hhi",
         )
     if totals:
         events = events.selectExpr(
@@ -183,9 +186,14 @@ def _add_carry(rows, hot, plan, totals, history) -> DataFrame:
             F.expr("avg(__h)").alias("__hmean"),
             F.expr("var_pop(__h)").alias("__hvar"),
             F.expr("max(IF(__kind = 0, __t, NULL))").alias("__hlast"),
+            F.expr("min(__h)").alias("__hlo"),
+            F.expr("max(__h)").alias("__hhi"),
         ]
     sums = hot.groupBy("__hot", "__chunk").agg(*(aggs or [F.expr("count(*)").alias("__rows")]))
     carry = plan.gates().join(sums, ["__hot", "__chunk"], "left")
+    if history:
+        whole = "(PARTITION BY __hot ORDER BY __chunk ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        carry = carry.selectExpr("*", f"first(__hmean, true) OVER {whole} AS __origin")
     carry = carry.selectExpr(
         "__hot",
         "__chunk",
@@ -193,7 +201,7 @@ def _add_carry(rows, hot, plan, totals, history) -> DataFrame:
         *[f"coalesce(sum({name}) OVER {_CHUNKS_BEFORE}, 0L) AS {name}_c" for name in totals],
         *(_merged_moments() if history else []),
     )
-    own = ["__hn_c", "__hmean_c", "__hm2_c", "__hlast_c"] if history else []
+    own = ["__hn_c", "__hmean_c", "__hm2_c", "__hlast_c", "__hlo_c", "__hhi_c"] if history else []
     gated = carry.selectExpr("__hot AS __gk", "__chunk AS __gc", *[f"{n}_c" for n in totals])
     carry = (
         carry.drop(*[f"{n}_c" for n in totals])
@@ -209,7 +217,7 @@ def _add_carry(rows, hot, plan, totals, history) -> DataFrame:
 
 
 def _moment_updates() -> dict:
-    """The history columns merged with earlier moments ``__hn_c, __hmean_c, __hm2_c, __hlast_c``."""
+    """The history columns merged with those of earlier rows (suffix ``_c``)."""
     n0, both = "coalesce(__hn_c, 0D)", "coalesce(__hn_c, 0D) > 0 AND __hn > 0"
     gap = "(__hmean - __hmean_c)"
     m2 = "coalesce(__hvar * __hn, 0D) + coalesce(__hm2_c, 0D)"
@@ -219,13 +227,21 @@ def _moment_updates() -> dict:
         "__hmean": f"IF({both}, __hmean_c + {gap} * __hn / ({n0} + __hn), coalesce(__hmean, __hmean_c))",
         "__hvar": f"IF({n0} + __hn > 0, ({m2} + {merged}) / ({n0} + __hn), NULL)",
         "__hlast": "coalesce(__hlast, __hlast_c)",
+        "__hlo": "least(__hlo, __hlo_c)",
+        "__hhi": "greatest(__hhi, __hhi_c)",
     }
 
 
 def _add_older(rows, older) -> DataFrame:
     """Merge moments of rows that are no longer in the frame, one row per key."""
     named = older.selectExpr(
-        "k AS __ok", "n AS __hn_c", "mean AS __hmean_c", "m2 AS __hm2_c", "last_t AS __hlast_c"
+        "k AS __ok",
+        "n AS __hn_c",
+        "mean AS __hmean_c",
+        "m2 AS __hm2_c",
+        "last_t AS __hlast_c",
+        "lo AS __hlo_c",
+        "hi AS __hhi_c",
     )
     changed = _moment_updates()
     kept = [c for c in rows.columns if c not in changed]
@@ -234,22 +250,22 @@ def _add_older(rows, older) -> DataFrame:
 
 
 def _merged_moments() -> list:
-    """Count, mean and squared deviations of all earlier chunks, merged in order."""
-    parts = (
-        "collect_list(IF(__hn > 0, struct(__hn AS n, __hmean AS mean, __hvar * __hn AS m2), NULL))"
-        f" OVER {_CHUNKS_BEFORE}"
-    )
-    gap = "(x.mean - acc.mean)"
-    merged = (
-        f"aggregate({parts}, struct(0D AS n, 0D AS mean, 0D AS m2), (acc, x) -> struct("
-        f"acc.n + x.n AS n, acc.mean + {gap} * x.n / (acc.n + x.n) AS mean,"
-        f" acc.m2 + x.m2 + {gap} * {gap} * acc.n * x.n / (acc.n + x.n) AS m2))"
-    )
+    """Count, mean and squared deviations of all earlier chunks, from running sums.
+
+    Means are taken relative to the first one of the key (``__origin``), which keeps the sums
+    small and little affected by rounding.
+    """
+    d = "(__hmean - __origin)"
+    n = f"sum(__hn) OVER {_CHUNKS_BEFORE}"
+    s1 = f"sum(__hn * {d}) OVER {_CHUNKS_BEFORE}"
+    s2 = f"sum(__hn * (__hvar + {d} * {d})) OVER {_CHUNKS_BEFORE}"
     return [
-        f"{merged}.n AS __hn_c",
-        f"{merged}.mean AS __hmean_c",
-        f"{merged}.m2 AS __hm2_c",
+        f"coalesce({n}, 0D) AS __hn_c",
+        f"__origin + try_divide({s1}, {n}) AS __hmean_c",
+        f"greatest({s2} - try_divide({s1} * {s1}, {n}), 0D) AS __hm2_c",
         f"max(__hlast) OVER {_CHUNKS_BEFORE} AS __hlast_c",
+        f"min(__hlo) OVER {_CHUNKS_BEFORE} AS __hlo_c",
+        f"max(__hhi) OVER {_CHUNKS_BEFORE} AS __hhi_c",
     ]
 
 
@@ -259,7 +275,7 @@ def _outputs(rows, columns, windows, measures, history) -> DataFrame:
         sd = "sqrt(__hvar * __hn / (__hn - 1))"
         out.append(f"IF({_VALID}, (__t - __hlast) / 1e6D, NULL) AS {quoted(history.recency)}")
         out.append(
-            f"IF({_VALID} AND __hn > 1 AND __hvar > 0, (__h - __hmean) / {sd}, NULL) AS {quoted(history.zscore)}"
+            f"IF({_VALID} AND __hlo < __hhi AND __hvar > 0, (__h - __hmean) / {sd}, NULL) AS {quoted(history.zscore)}"
         )
     for w, (label, length) in enumerate(windows, start=1):
         for n, m in enumerate(measures):

@@ -68,6 +68,14 @@ def test_constant_amounts_have_no_zscore(spark):
     assert by_id(add_features(df, HOUR, ("user",)), "user_amount_zscore") == [None] * 4
 
 
+def test_constant_amounts_of_a_hot_key_have_no_zscore(spark):
+    rows = [(n, 1, 1, f"2024-01-01 {n // 60:02d}:{n % 60:02d}:00", 0.1, "USD", "approved", 0) for n in range(300)]
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    out = add_features(df, HOUR, ("user",), ScalePolicy(max_group_rows=20))
+    assert by_id(out, "user_amount_zscore") == [None] * 300
+    assert by_id(out, "user_txn_count_1h")[-1] == 60
+
+
 def test_null_key_and_null_time_keep_their_rows(spark):
     rows = [
         (1, None, 10, "2024-01-01 00:00:00", 1.0, "USD", "approved", 0),
