@@ -29,3 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
     return found is not None and len(found) > 0
+
+
+def folders(spark: SparkSession, path: str) -> list:
+    """Names of the folders directly under ``path``; none if it does not exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory())

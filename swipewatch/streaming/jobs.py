@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,10 @@ from ..functions.scalars import micros, window_micros
 from ..operators.features import add_features, merge_summaries, summarize_users
 from ..operators.models import score
 from ..operators.monitor import window_activity
-from ..sources.paths import exists
+from ..sources.paths import exists, folders
+
+EPOCH = dt.date(1970, 1, 1)
+DAY_MICROS = 86_400_000_000
 
 
 def read_stream(
@@ -57,12 +62,13 @@ def activity_stream(
 class FeatureStream:
     """User and merchant features of a transaction stream, equal to those of the batch job.
 
-    The state is three tables under ``path``, written per micro-batch and day so that a
+    The state is kept in tables under ``path``. Every write names its micro-batch, so that a
     repeated micro-batch overwrites itself:
 
-    ``rows``       what has arrived; the look-back of a batch reads only the days it needs
+    ``rows``       what has arrived, by day; a batch lists and reads only the days it looks back to
     ``summaries``  mergeable history per user and day, which stands in for older days
     ``late``       rows older than the newest seen time minus ``late``; kept, not scored
+    ``progress``   the newest time seen
 
     Per batch the batch operator runs on the batch and the look-back rows of the keys that
     occur in it. So a hot key is cut into chunks here as well, and no key's history has to
@@ -92,15 +98,28 @@ class FeatureStream:
     def features(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/features").drop("batch")
 
-    def _write(self, df: DataFrame, table: str, batch: int, by=()) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/batch={batch}")
+    def _write(self, df: DataFrame, table: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+
+    def _write_days(self, df: DataFrame, table: str, batch: int) -> None:
+        """Write ``day=/batch=`` folders, replacing just those of this batch."""
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("day", "batch").parquet(f"{self.path}/{table}")
 
     def _read(self, table: str, before: int) -> DataFrame | None:
+        """What earlier batches wrote; a repeated batch does not see itself."""
         if not exists(self.spark, f"{self.path}/{table}/batch=*"):
             return None
-        # partition discovery: only batches before this one count, also when it is repeated
-        found = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}/batch=*")
-        return found.filter(F.col("batch") < before)
+        return self.spark.read.parquet(f"{self.path}/{table}").filter(F.col("batch") < before)
+
+    def _read_days(self, table: str, before: int, wanted) -> DataFrame | None:
+        """The same for ``day=/batch=`` folders, listing only days that ``wanted`` accepts."""
+        root = f"{self.path}/{table}"
+        days = [f"{root}/{d}" for d in folders(self.spark, root) if d.startswith("day=") and wanted(d[4:])]
+        if not days:
+            return None
+        return self.spark.read.option("basePath", root).parquet(*days).filter(F.col("batch") < before)
 
     def process(self, rows: DataFrame, batch: int) -> None:
         cfg = self.cfg
@@ -108,38 +127,35 @@ class FeatureStream:
         progress = self._read("progress", batch)
         newest = progress.agg(F.max("newest")).first()[0] if progress is not None else None
         in_time = F.lit(True) if newest is None else t >= newest - self.late
-        self._write(rows.filter(~F.coalesce(in_time, F.lit(True))), "late", batch)
-        self._write(
-            rows.filter(F.coalesce(in_time, F.lit(True))).withColumn("day", F.to_date(cfg.time)), "rows", batch, ["day"]
-        )
-        stored = self.spark.read.parquet(f"{self.path}/rows/batch={batch}") if self._any_day(batch) else None
-        if stored is None:
+        in_time = F.coalesce(in_time, F.lit(True))
+        self._write(rows.filter(~in_time), "late", batch)
+        self._write_days(rows.filter(in_time).withColumn("day", F.to_date(cfg.time)), "rows", batch)
+        mine = f"{self.path}/rows/day=*/batch={batch}"
+        if not exists(self.spark, mine):
             return
+        stored = self.spark.read.option("basePath", f"{self.path}/rows").parquet(mine).drop("batch")
         span = stored.agg(F.min(t).alias("first"), F.max(t).alias("last")).first()
-        low = (span["first"] or 0) - max([window_micros(w) for w in cfg.windows], default=0)
-        first_day = F.to_date(F.timestamp_micros(F.lit(low)))
-
-        past = self._read("rows", batch)
-        sums = self._read("summaries", batch)
+        if span["first"] is None:
+            return
+        look_back = max([window_micros(w) for w in cfg.windows], default=0)
+        first_day = str(EPOCH + dt.timedelta(days=(span["first"] - look_back) // DAY_MICROS))
+        past = self._read_days("rows", batch, lambda day: day >= first_day)
+        sums = self._read_days("summaries", batch, lambda day: day < first_day)
         out = None
         for family in self.families:
             key = getattr(cfg, family)
             frame, older = stored.withColumn("__here", F.lit(True)), None
             keys = stored.select(key).distinct()
             if past is not None:
-                back = past.filter(F.col("day") >= first_day).drop("batch").join(keys, key, "left_semi")
+                back = past.drop("batch").join(keys, key, "left_semi")
                 frame = frame.unionByName(back.withColumn("__here", F.lit(False)), allowMissingColumns=True)
             if family == "user" and sums is not None:
-                gone = sums.filter(F.col("day") < first_day).join(keys.withColumnRenamed(key, "k"), "k", "left_semi")
-                older = merge_summaries(gone)
+                older = merge_summaries(sums.join(keys.withColumnRenamed(key, "k"), "k", "left_semi"))
             made = add_features(frame.drop("day"), cfg, (family,), self.policy, older=older).filter("__here")
             names = [c for c in made.columns if c not in stored.columns and c != "__here"]
             part = made.select(cfg.id, *names)
             out = part if out is None else out.join(part, cfg.id)
         self._write(out, "features", batch)
-        self._write(summarize_users(stored, cfg, ["day"]), "summaries", batch, ["day"])
+        self._write_days(summarize_users(stored, cfg, ["day"]), "summaries", batch)
         done = self.spark.createDataFrame([(span["last"],)], "newest long")
         self._write(done, "progress", batch)
-
-    def _any_day(self, batch: int) -> bool:
-        return exists(self.spark, f"{self.path}/rows/batch={batch}/day=*")
