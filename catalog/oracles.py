@@ -253,9 +253,8 @@ add(
 add(
     "orphan_txns",
     """SELECT transaction_id, user_id FROM txn
-       WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = txn.user_id AND u.user_id % 10 <> 0)""",
+       WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = txn.user_id AND c_acctbal >= 0)""",
     TXN,
-    USERS,
 )
 add(
     "pk_violations",
