@@ -30,6 +30,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS = 4
 SEGMENT_BITS = 64 // SEGMENTS
 DISTANCE = 2
+NODES_PER_TASK = 20_000
 _STEP = 1 << 14  # shingles counted at a time
 
 
@@ -79,10 +80,15 @@ def ball(column: str) -> F.Column:
     return F.array(*[F.col(column).bitwiseXOR(F.lit(m).cast("long")) for m in masks])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b, at most two bits apart, whose components are those of all such pairs of ``print``."""
+def links(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """(a, b) with a < b, at most two bits apart, whose components are those of all such pairs of ``print``.
+
+    ``rows``, if known, is the most rows that ``nodes`` may have. Each makes 65, so they are dealt
+    over more tasks than their own size would suggest.
+    """
+    spread = nodes if rows is None else nodes.repartition(rows // NODES_PER_TASK + 1, "print")
     met = (
-        nodes.select("print", F.explode(ball("print")).alias("key"))
+        spread.select("print", F.explode(ball("print")).alias("key"))
         .groupBy("key")
         .agg(F.min("print").alias("a"), F.max("print").alias("z"), F.collect_list("print").alias("all"))
         .where("a < z")
@@ -124,7 +130,7 @@ def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text", width:
     """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``."""
     prints = stored(with_fingerprints(docs, id_, text, width), "fingerprints")
     nodes = prints.groupBy("print").agg(F.min("id").alias("low"))
-    roots = components(links(nodes))
+    roots = components(links(nodes, prints.count()))
     rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "low", F.coalesce("root", "print").alias("root")
     )
