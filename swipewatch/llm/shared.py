@@ -16,12 +16,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     Cuts lineage: a lost executor costs only the running stage. The files go when the session ends.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    kept = spark._jvm.org.apache.hadoop.fs.Path(path)
-    kept.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(kept)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
