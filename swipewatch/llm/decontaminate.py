@@ -71,8 +71,12 @@ def _union(parts: list) -> DataFrame:
     return whole
 
 
-def _document_shingles(tokens: DataFrame, sizes: list, keep: list) -> DataFrame:
-    """One row per shingle: ``keep``, ``at`` (from 0), ``print``; generated inside one code span."""
+def _document_shingles(tokens: DataFrame, sizes: list, keep: list) -> list:
+    """Per size one row per shingle: ``keep``, ``at`` (from 0), ``print``.
+
+    What follows on each frame is generated into the same code span, where a kept word array is
+    only looked at; a union in between would copy the array for every shingle.
+    """
     out = []
     for size in sizes:
         shifted = [F.col("w").alias("s0")] + [
@@ -83,7 +87,7 @@ def _document_shingles(tokens: DataFrame, sizes: list, keep: list) -> DataFrame:
         parts = [F.col("s")[f"s{k}"] for k in range(size)]
         each = each.where(parts[-1].isNotNull()) if size > 1 else each
         out.append(each.select(*keep, "at", _hash(parts).alias("print")))
-    return _union(out)
+    return out
 
 
 def hits(
@@ -102,7 +106,7 @@ def hits(
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     # rarity: how often each shingle of the windows is in the documents
-    stream = _document_shingles(tokens, sizes, [])
+    stream = _union([each.select("print") for each in _document_shingles(tokens, sizes, [])])
     counted = stream.join(F.broadcast(wanted) if few else wanted, "print", "left_semi").groupBy("print").count()
     order = F.struct(F.coalesce("count", F.lit(0)).alias("rarity"), F.col("at"), F.col("print"))
     prefix = (
@@ -114,22 +118,21 @@ def hits(
     )
     prefix = stored(prefix, "prefix")
 
-    begin = F.col("at") - F.col("shift")
-    if prefix.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        near = _document_shingles(tokens, sizes, ["id", "mark", "w"]).join(F.broadcast(prefix), "print")
-        bounded = near.where((begin >= 0) & (begin + F.col("n") <= F.size("w")))
-        same = F.slice("w", begin + 1, F.col("n")) == F.col("words")
-    else:
-        # the words around each shingle travel with it: ``base`` is the place of the first of them
-        base = F.greatest(F.col("at") - window + 1, F.lit(0))
-        near = _document_shingles(tokens, sizes, ["id", "mark", "w"]).select(
-            "id", "mark", "at", "print", base.alias("base"), F.slice("w", base + 1, 2 * window).alias("w")
-        )
-        bounded = near.join(prefix, "print").where(
-            (begin >= 0) & (begin - F.col("base") + F.col("n") <= F.size("w"))
-        )
-        same = F.slice("w", begin - F.col("base") + 1, F.col("n")) == F.col("words")
-    found = bounded.where(same).select("id", "mark", begin.alias("begin"), "n", "words").distinct()
+    begin, n = F.col("at") - F.col("shift"), F.col("n")
+    few = prefix.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    parts = []
+    for each in _document_shingles(tokens, sizes, ["id", "mark", "w"]):
+        if few:
+            near, base = each.join(F.broadcast(prefix), "print"), F.lit(0)
+        else:
+            # the words around each shingle travel with it: ``base`` is the place of the first of them
+            base = F.greatest(F.col("at") - window + 1, F.lit(0))
+            around = F.slice("w", base + 1, 2 * window)
+            near, base = each.select("id", "mark", "at", "print", base.alias("base"), around.alias("w")).join(prefix, "print"), F.col("base")
+        bounded = near.where((begin >= 0) & (begin - base + n <= F.size("w")))
+        same = F.slice("w", begin - base + 1, n) == F.col("words")
+        parts.append(bounded.where(same).select("id", "mark", begin.alias("begin"), "n", "words"))
+    found = _union(parts).distinct()
     found = stored(found, "found")
 
     # words covered: intervals in order, each adding what lies beyond the ones before it

@@ -78,7 +78,7 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang", p: Langu
         for language, n in counts.items():
             cell = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * len(cell)), pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["lang", "cell", "n"]
+                [pa.array([language] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["lang", "cell", "n"]
             )
 
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"))
@@ -194,7 +194,7 @@ def identified(
                 [
                     b.column(0),
                     pa.array([names[i] for i in best], pa.string()),
-                    pa.array(made.max(1) if len(made) else []),
+                    pa.array(made.max(1) if len(made) else [], pa.float64()),
                     pa.array([names[i] for i in by_text], pa.string()),
                     pa.array([d or None for d in declared], pa.string()),
                     b.column(2),

@@ -47,8 +47,11 @@ WIDE = {
 }
 GENERATORS = [(k, True, BASE[k]) for k in KINDS] + [(k, False, WIDE[k]) for k in KINDS]
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-# Words before a span that tell what it is.
-TELLING = r"(?i)(?:mail|write|contact|call|phone|tel|fax|mobile|card|visa|account|pay|ip|host|server|addr)[^\s]{0,8}\s{0,3}$"
+# Words before a span, or before its international prefix, that tell what it is.
+TELLING = (
+    r"(?i)(?:mail|write|contact|call|phone|tel|fax|mobile|card|visa|account|pay|ip|host|server|addr)[^\s]{0,8}"
+    r"\s{0,3}(?:\+[0-9]{1,3}[\s.-]?)?$"
+)
 AROUND = 24  # characters of context on either side
 
 
@@ -58,6 +61,7 @@ class PiiPolicy:
     precision: float = 0.98
     rounds: int = 12
     depth: int = 3
+    leaf_rows: int = 10  # candidates in a leaf at least: single odd ones teach nothing
 
 
 def _matches(text: Column, number: int) -> Column:
@@ -124,8 +128,7 @@ def candidates(found: DataFrame) -> DataFrame:
         "phone": n.between(10, 15),
     }
     spans = spans.withColumn("base", F.col("strict") & _picked(rules, False))
-    same = Window.partitionBy("row", "kind").orderBy("start", "end")
-    spans = spans.withColumn("over_base", _touches_base(same))
+    spans = spans.withColumn("over_base", _touches_base("row", "kind"))
     label = F.when(F.col("strict"), F.col("base")).otherwise(F.col("over_base")).cast("double")
     h = F.col("hit")
     features = {
@@ -161,10 +164,15 @@ FEATURES = (
 ).split()
 
 
-def _touches_base(order) -> Column:
-    """Whether a base span that holds overlaps the row's span; ``order`` is by start."""
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+def _touches_base(*keys) -> Column:
+    """Whether a base span that holds overlaps the row's span, among rows with the same ``keys``.
+
+    Spans that begin earlier are seen in one direction, later ones in the other; both are running
+    values, so a text with very many spans costs in proportion to them.
+    """
+    order = [F.col("start"), F.col("end"), F.col("base")]
+    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.when(F.col("base"), F.col("end"))).over(earlier)
     first = F.min(F.when(F.col("base"), F.col("start"))).over(later)
     return F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(first < F.col("end"), F.lit(False))
@@ -178,8 +186,9 @@ def fitted(spans: DataFrame, p: PiiPolicy):
         return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(
-        labelCol="label", maxIter=p.rounds, maxDepth=p.depth, stepSize=0.3, seed=7, checkpointInterval=-1, maxBins=32
-    ).fit(assembler.transform(teach))
+        labelCol="label", maxIter=p.rounds, maxDepth=p.depth, stepSize=0.3, seed=7,
+        minInstancesPerNode=p.leaf_rows, checkpointInterval=-1, maxBins=32,
+    ).fit(assembler.transform(teach))
 
     def score(df: DataFrame) -> DataFrame:
         made = trees.transform(assembler.transform(df))
@@ -217,7 +226,7 @@ def all_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text", p: PiiPo
         wide = wide.where(F.col("score") >= _picked({k: F.lit(v) for k, v in limits.items()}, 2.0))
         both = base.union(wide.select("row", "kind", "start", "end", "base"))
         by_start = Window.partitionBy("row").orderBy("start", "end", "kind")
-        free = both.withColumn("touches", _touches_base(by_start)).where("base OR NOT touches")
+        free = both.withColumn("touches", _touches_base("row")).where("base OR NOT touches")
         reach = F.max(F.when(~F.col("base"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
         kept = free.withColumn("reach", reach).where("base OR reach IS NULL OR reach <= start").drop("touches", "reach")
     order = F.struct(

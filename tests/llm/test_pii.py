@@ -72,7 +72,7 @@ def test_documents(spark, folder):
 
 
 def test_long_runs_take_linear_time(spark):
-    texts = [(1, "a" * 300_000), (2, "1" * 300_000), (3, "1-" * 150_000), (4, "1." * 150_000), (5, "+" * 100_000 + "1" + "(" * 100_000)]
+    texts = [(1, "a" * 300_000), (2, "1" * 300_000), (3, "1-" * 150_000), (4, "999." * 75_000), (5, "+" * 100_000 + "1" + "(" * 100_000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert all(not r["spans"] for r in pii.all_spans(docs).collect())
 
