@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm.shared import stored, whole_text
+from swipewatch.llm.shared import stored, text_batches, whole_text
 
 CELLS = 1 << 14
 
@@ -81,7 +81,7 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang", p: Langu
                 [pa.array([language] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["lang", "cell", "n"]
             )
 
-    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"))
+    rows = text_batches(docs).where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"))
     cells = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     cells = stored(cells, "trigrams")
     names = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(p.max_languages + 1).collect()]
@@ -151,7 +151,7 @@ def identified(
                 ["id", "declared", "host", "domain", "suffix", "own", "vote"],
             )
 
-    narrow = pages.select(F.col(id_).alias("id"), F.col(url).alias("url"), whole_text(html).alias("html"))
+    narrow = text_batches(pages).select(F.col(id_).alias("id"), F.col(url).alias("url"), whole_text(html).alias("html"))
     kind = narrow.schema["id"].dataType.simpleString()
     rows = narrow.mapInArrow(
         read, f"id {kind}, declared string, host string, domain string, suffix string, own array<double>, vote array<double>"

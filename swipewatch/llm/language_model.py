@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm.shared import id_bucket, stored, whole_text
+from swipewatch.llm.shared import id_bucket, stored, text_batches, whole_text
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"\xff\xfe"  # the end token among words; never part of UTF-8
@@ -116,7 +116,7 @@ _CHUNK = ["chunk", "role", "ids", "codes", "words", "n_tokens", "n_words"]
 def chunks(docs: DataFrame, id_: str, text: str, held_out, p: LmPolicy) -> DataFrame:
     """Texts as packed chunks; one row each."""
     dev = F.pmod(F.xxhash64(F.lit("dev"), F.col("id").cast("string")), F.lit(p.dev_parts)) == 0
-    narrow = docs.select(F.col(id_).alias("id"), held_out.alias("out"), whole_text(text).alias("text")).select(
+    narrow = text_batches(docs).select(F.col(id_).alias("id"), held_out.alias("out"), whole_text(text).alias("text")).select(
         "id", F.when(F.col("out"), SCORED).when(dev, DEV).otherwise(COUNTED).alias("role"), "text"
     )
     kind = narrow.schema["id"].dataType.simpleString()

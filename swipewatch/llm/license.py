@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm.shared import whole_text
+from swipewatch.llm.shared import text_batches, whole_text
 
 # License statements and notices, as published with the licenses.
 TEMPLATES = {
@@ -215,7 +215,7 @@ def scanned(
             found = [[dict(zip(names, f)) for f in known.find(t)] for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind_of)], ["id", "found"])
 
-    narrow = docs.select(F.col(id_).alias("id"), whole_text(text).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_).alias("id"), whole_text(text).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, found array<struct<license:string,coverage:double,first:bigint,end:bigint>>"
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_)

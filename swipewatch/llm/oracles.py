@@ -44,3 +44,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+# payloads as DuckDB sees them; URL keys and the order of histories are tested by themselves
+ORACLES["op6_warc"] = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+    FROM pages
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+           (CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) % 32
+           AS BIGINT), 1) for k in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""

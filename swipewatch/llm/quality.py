@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm.shared import id_bucket, stored, whole_text
+from swipewatch.llm.shared import id_bucket, stored, text_batches, whole_text
 
 STATISTICS = (
     "log_bytes",
@@ -113,7 +113,7 @@ def with_statistics(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(ends, flat)], ["id", "held_out", "x"]
             )
 
-    narrow = docs.select(F.col(id_).alias("id"), (id_bucket(id_, 4) == 2).alias("held_out"), whole_text(text).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_).alias("id"), (id_bucket(id_, 4) == 2).alias("held_out"), whole_text(text).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"id {kind}, held_out boolean, x array<double>")
 
@@ -269,7 +269,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str
     def good(texts):
         import pandas as pd
 
-        x = np.array([statistics(t.encode()) for t in texts]).reshape(-1, len(STATISTICS))
+        x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
         return pd.Series(model.score(x) >= cut)
 
-    return docs.where(good(whole_text(text)))
+    return text_batches(docs).where(good(whole_text(text).cast("binary")))

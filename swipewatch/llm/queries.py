@@ -84,9 +84,6 @@ def op6_warc(spark, folder):
         F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers").alias("refers_to"),
-        "url_key",
-        "part",
-        "place",
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are about to go to Python: batches hold few megabytes, however long the texts.
+
+    Workers live as long as the session and keep what they once needed, so the setting is the
+    session's; a smaller one stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)b?", conf.get(key, "") or "")
+    if not found or int(found[1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm.shared import fresh_name, small, stored, whole_text
+from swipewatch.llm.shared import fresh_name, small, stored, text_batches, whole_text
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS = 4
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, id_: str = "doc_id", text: str = "text",
             prints = np.fromiter((fingerprint(t, width) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["id", "print"])
 
-    narrow = docs.select(F.col(id_).alias("id"), whole_text(text).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_).alias("id"), whole_text(text).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"id {kind}, `print` long")
 

@@ -35,10 +35,10 @@ def _found(rows):
 
 def test_pages(spark, folder):
     pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
-    rows = queries.op6_warc(spark, folder).collect()
-    assert _found(rows) == _plain(pages)
+    assert _found(queries.op6_warc(spark, folder).collect()) == _plain(pages)
+    rows = warc.capture_histories(spark.read.parquet(f"{folder}/pages.parquet")).collect()
     in_order = sorted(rows, key=lambda r: (r["part"], r["place"]))
-    keys = [(r["url_key"], r["page_id"]) for r in in_order]
+    keys = [(r["url_key"], r["page"]) for r in in_order]
     assert keys == sorted(keys) and len({(r["part"], r["place"]) for r in rows}) == len(rows)
 
 
