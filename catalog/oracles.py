@@ -267,6 +267,18 @@ add(
     TXN,
 )
 
+add(
+    "merge_versions",
+    """SELECT transaction_id, transaction_date, amount FROM txn WHERE transaction_id % 7 <> 0 OR transaction_id % 5 = 0
+       UNION ALL
+       SELECT transaction_id, transaction_date + INTERVAL 3 HOURS, round(amount + 3000e0, 6) FROM txn
+       WHERE transaction_id % 7 = 0 AND transaction_id % 5 <> 0
+       UNION ALL
+       SELECT NULL, transaction_date + to_hours(s), round(amount + 1000e0 * s, 6) FROM txn, range(1, 4) r(s)
+       WHERE transaction_id % 35 = 0""",
+    TXN,
+)
+
 # --- totals and profiles ------------------------------------------------------------
 
 _MONEY = "count(*) AS txns, round(CAST(sum(cents) AS DOUBLE) / 100, 6) AS amount"
@@ -307,6 +319,15 @@ add(
     TXN,
     _NAMED,
 )
+add(
+    "aggregate_features_null_key",
+    """SELECT p.part AS part, 'in_' || currency AS name, round(count(*) / any_value(n), 6) AS average
+       FROM (SELECT CASE WHEN user_id % 3 <> 0 THEN user_id % 5 END AS part, currency FROM txn) p
+       JOIN (SELECT CASE WHEN user_id % 3 <> 0 THEN user_id % 5 END AS part, count(*) AS n FROM txn GROUP BY 1) c
+         ON p.part IS NOT DISTINCT FROM c.part
+       GROUP BY ALL""",
+    TXN,
+)
 _COLUMNS = ("transaction_id", "user_id", "merchant_id", "transaction_date", "amount", "currency", "status", "fraud")
 add(
     "profile_nulls",
@@ -347,10 +368,33 @@ add(
 )
 add(
     "histogram_amount",
-    """SELECT CAST(b AS INTEGER) AS bin, b * 10e0 AS bin_start, count(amount) AS n
-       FROM range(20) r(b) LEFT JOIN txn ON amount BETWEEN 0 AND 200 AND least(floor(amount / 10), 19) = b GROUP BY b""",
+    """SELECT CAST(b AS INTEGER) AS bin, round(lo + b * (hi - lo) / 20, 6) AS bin_start, count(amount) AS n
+       FROM range(20) r(b) CROSS JOIN (SELECT min(amount) AS lo, max(amount) AS hi FROM gaps) e
+       LEFT JOIN gaps ON least(floor((amount - lo) / ((hi - lo) / 20)), 19) = b GROUP BY b, lo, hi""",
+    GAPS,
+)
+add(
+    "histogram_amount_bounds",
+    """SELECT CAST(b AS INTEGER) AS bin, CASE WHEN b >= 0 THEN 50e0 + b * 10e0 END AS bin_start, count(amount) AS n
+       FROM range(-1, 11) r(b) LEFT JOIN txn
+         ON b = CASE WHEN amount < 50 THEN -1 WHEN amount > 150 THEN 10 ELSE least(floor((amount - 50) / 10), 9) END
+       GROUP BY b""",
     TXN,
 )
+_PROBS = "(0e0), (0.3e0), (0.599e0), (0.61e0), (0.65e0), (0.699e0), (0.7e0), (0.9e0), (1e0)"
+_RANKED = """(SELECT *, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () - 1 AS m FROM (SELECT * FROM v))"""
+add(
+    "quantiles_inflated",
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", p, round(max({c}) FILTER (r = floor(p * m)) + (max({c}) FILTER (r = ceil(p * m))
+            - max({c}) FILTER (r = floor(p * m))) * (p * any_value(m) - floor(p * any_value(m))), 6) AS value
+            FROM {_RANKED.format(c=c)}, (VALUES {_PROBS}) q(p) GROUP BY p"""
+        for c in ("x", "amount")
+    ),
+    TXN,
+    """v AS (SELECT amount, CASE WHEN transaction_id % 10 < 6 THEN 0e0 WHEN transaction_id % 10 < 9 THEN 1e0
+                 ELSE amount / 1000 END AS x FROM txn)""",
+)
 
 
 def _box(c):
@@ -387,6 +431,16 @@ add(
     ORDERS,
     _CUT.format(size=0.3),
 )
+add(
+    "time_split_repeated",
+    """SELECT 'time' AS kind, is_train, CASE WHEN is_train THEN k ELSE n - k END AS rows
+       FROM (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * (1 - 0.25e0)) AS BIGINT)) AS k FROM lineitem),
+            (VALUES (true), (false)) t(is_train)
+       UNION ALL
+       SELECT 'random', is_train, CASE WHEN is_train THEN n - k ELSE k END
+       FROM (SELECT count(*) AS n, CAST(ceil(count(*) * 0.2e0) AS BIGINT) AS k FROM lineitem),
+            (VALUES (true), (false)) t(is_train)""",
+)
 add(
     "time_split_summary",
     """SELECT is_train, count(*) AS rows, CAST(sum(fraud) AS BIGINT) AS frauds,
@@ -447,7 +501,8 @@ add("average_precision", f"SELECT round({AP}, 6) AS average_precision", FINE, ST
 add("ranking_split", f"SELECT round({AUC}, 6) AS roc_auc, round({AP}, 6) AS average_precision", FINE, STEPS)
 add(
     "roc_curve",
-    "SELECT round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, round(score, 6) AS threshold FROM runs",
+    """SELECT round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, round(score, 6) AS threshold FROM runs
+       UNION ALL SELECT 0e0, 0e0, NULL""",
     SCORED,
     STEPS,
 )
@@ -459,6 +514,20 @@ add(
     SCORED,
     _GRID,
 )
+_KINDS = """kinds AS (SELECT CASE WHEN transaction_id % 11 <> 0 THEN merchant_id % 3 END AS label,
+  CASE WHEN transaction_id % 13 <> 0 THEN transaction_id % 4 END AS prediction FROM txn)"""
+_OF_KINDS = """(SELECT l.c AS label, p.c AS prediction, count(k.one) AS n
+  FROM (SELECT NULL AS c UNION ALL SELECT * FROM range(4)) l CROSS JOIN (SELECT NULL AS c UNION ALL SELECT * FROM range(4)) p
+  LEFT JOIN (SELECT *, 1 AS one FROM kinds) k
+    ON k.label IS NOT DISTINCT FROM l.c AND k.prediction IS NOT DISTINCT FROM p.c GROUP BY l.c, p.c)"""
+add("confusion_matrix_classes", f"SELECT label, prediction, n FROM {_OF_KINDS}", TXN, _KINDS)
+add(
+    "confusion_matrix_classes_norm",
+    f"""SELECT label, prediction, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY label), 0), 0), 6) AS share
+        FROM {_OF_KINDS}""",
+    TXN,
+    _KINDS,
+)
 add(
     "confusion_matrix_norm",
     """SELECT CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction,
@@ -568,6 +637,18 @@ add(
     _select([RECENCY, ZSCORE, *_user[0], *_merchant[0]], [*USER_NAMED, *_user[1], *_merchant[1]]),
     TXN,
 )
+_two = {"24h": SECONDS["24h"], "7d": SECONDS["7d"]}
+_late_user = _rolling("user_id", "user", ("count", "sum", "mean"), _two)
+_late_merchant = _rolling("merchant_id", "merchant", ("count", "mean", "fraud"), _two)
+add(
+    "stream_out_of_order",
+    _select(
+        [RECENCY, ZSCORE, *_late_user[0], *_late_merchant[0]], [*USER_NAMED, *_late_user[1], *_late_merchant[1]], "twice"
+    ),
+    TXN,
+    """loose AS (SELECT * REPLACE (CASE WHEN transaction_id % 23 <> 0 THEN transaction_id END AS transaction_id) FROM txn)""",
+    "twice AS (SELECT * FROM loose UNION ALL SELECT * FROM loose WHERE transaction_id % 19 = 0)",
+)
 # a window is written once the newest time minus one hour has passed its end
 add(
     "stream_activity",
@@ -584,19 +665,94 @@ clean AS (SELECT transaction_id, fraud,
   CASE WHEN amount IS NULL OR abs(amount - mean) / sd > 4 THEN mid ELSE amount END AS a,
   row_number() OVER (ORDER BY transaction_date, transaction_id)
     <= greatest(1, CAST(floor((SELECT count(*) FROM txn) * (1 - 0.2e0)) AS BIGINT)) AS is_train FROM gaps, st, med)"""
-# widths: amount and the features, a missing flag per feature, three currencies and three statuses
+# every feature on the rows with gaps, unrounded
+FEATURES = GAPS + """, holes AS (
+  SELECT * REPLACE (CASE WHEN transaction_id % 17 <> 0 THEN amount END AS amount,
+                    CASE WHEN transaction_id % 17 <> 0 THEN cents END AS cents) FROM txn), feats AS (
+""" + _select(
+    [
+        "currency, status", RECENCY,
+        "CASE WHEN stddev_samp(amount) OVER user_past > 0 THEN (amount - avg(amount) OVER user_past)"
+        " / stddev_samp(amount) OVER user_past END AS user_amount_zscore",
+        *_user[0], *_merchant[0], *_currency[0], *_status[0],
+    ],
+    [*USER_NAMED, *_user[1], *_merchant[1], *_currency[1], *_status[1]],
+    "holes",
+) + ")"
+NAMES = ["user_time_since_last_txn", "user_amount_zscore"] + [
+    f"{family}_{x}_{w}"
+    for family, kinds in (
+        ("user", ("txn_count", "amount_sum", "amount_mean")),
+        ("merchant", ("txn_count", "amount_mean", "fraud_rate")),
+        ("currency", ("txn_count",)),
+        ("status", ("txn_count",)),
+    )
+    for x in kinds
+    for w in SECONDS
+]
+HOT = [("currency", c) for c in ("EUR", "GBP", "USD")] + [("status", c) for c in ("approved", "declined", "reversed")]
 add(
     "preprocess_features",
-    """SELECT transaction_id, CASE WHEN is_train THEN 'train' ELSE 'test' END AS part, fraud AS label,
-              1 + 34 + 34 + 6 AS width,
-              round(a / (SELECT stddev_pop(a) FROM clean WHERE is_train), 6) AS amount FROM clean""",
-    GAPS,
+    f"""SELECT transaction_id, CASE WHEN is_train THEN 'train' ELSE 'test' END AS part, fraud AS label,
+          round(a / (SELECT stddev_pop(a) FROM clean WHERE is_train), 5) AS num__amount,
+          {", ".join(f"round(coalesce({n}, m_{n}) / coalesce(nullif(s_{n}, 0), 1), 5) AS num__{n}" for n in NAMES)},
+          {", ".join(f"round(CASE WHEN {n} IS NULL THEN 1 / sqrt(g_{n} * (1 - g_{n})) ELSE 0 END, 5) AS num__missingindicator_{n}" for n in NAMES)},
+          {", ".join(f"CASE WHEN {c} = '{v}' THEN 1e0 ELSE 0e0 END AS cat__{c}_{v.lower()}" for c, v in HOT)}
+        FROM joined, med_of, sd_of""",
+    FEATURES,
     CLEAN,
+    "joined AS (SELECT feats.*, fraud, a, is_train FROM feats JOIN clean USING (transaction_id))",
+    f"med_of AS (SELECT {', '.join(f'median({n}) AS m_{n}' for n in NAMES)} FROM joined WHERE is_train)",
+    f"""sd_of AS (SELECT {', '.join(f'stddev_pop(coalesce({n}, m_{n})) AS s_{n}, 1 - count({n}) / count(*) AS g_{n}' for n in NAMES)}
+        FROM joined, med_of WHERE is_train)""",
 )
+WIDTH = 1 + 2 * len(NAMES) + len(HOT)
 add(
     "feature_dataset",
-    "SELECT fraud AS label, count(*) AS rows, 1 + 10 + 10 + 6 AS width FROM clean WHERE is_train GROUP BY fraud",
+    f"""SELECT transaction_id, fraud AS label, {WIDTH} AS width,
+               round(a / (SELECT stddev_pop(a) FROM clean WHERE is_train), 6) AS amount FROM clean WHERE is_train""",
     GAPS,
     CLEAN,
 )
+add(
+    "preprocess_metadata",
+    f"""SELECT * FROM (VALUES
+          ('amount_rule', '4.0'), ('clean_scope', 'all'), ('drop_columns', '[]'), ('feature_names', '{WIDTH}'),
+          ('id_columns', '[''transaction_id'', ''user_id'', ''merchant_id'']'), ('label_classes', 'None'),
+          ('roles', 'amount,currency,fail,fraud,merchant_id,status,transaction_date,transaction_id,user_id'),
+          ('seed', '42'), ('test_size', '0.2'), ('time_based_split', 'True'),
+          ('windows', '[''1h'', ''24h'', ''7d'', ''30d'']')) v(setting, value)""",
+)
+
+# --- models -------------------------------------------------------------------------
+
+# scores themselves are a model's; whose they are, that they are chances, and what follows from them is determined
+_TEST = "SELECT transaction_id, fraud AS label, true AS is_chance, true AS follows FROM clean WHERE NOT is_train"
+add("rf_scores", _TEST, GAPS, CLEAN)
+add("gbt_scores", _TEST, GAPS, CLEAN)
+add(
+    "stream_scores",
+    "SELECT transaction_id, fraud AS label, true AS is_chance, true AS follows FROM txn",
+    TXN,
+)
+_SLOTS = ["num__amount", *(f"num__{n}" for n in NAMES), *(f"num__missingindicator_{n}" for n in NAMES)]
+_SLOTS += [f"cat__{c}_{v.lower()}" for c, v in HOT]
+add(
+    "feature_importance",
+    f"""SELECT feature, true AS is_share, 1e0 AS total FROM (VALUES {", ".join(f"('{n}')" for n in _SLOTS)}) v(feature)""",
+)
 add("model_roundtrip", "SELECT count(*) AS rows, 0e0 AS difference FROM clean WHERE NOT is_train", GAPS, CLEAN)
+add(
+    "training_metrics",
+    """SELECT model, metric, true AS is_share
+       FROM (VALUES ('random_forest'), ('boosted_trees')) m(model),
+            (VALUES ('accuracy'), ('precision'), ('recall'), ('f1_score'), ('roc_auc'), ('average_precision')) n(metric)""",
+)
+add("param_grid", "SELECT 'maxDepth=' || d AS params, true AS is_share FROM (VALUES (2), (4)) v(d)")
+add(
+    "train_text_label",
+    "SELECT transaction_id, CASE WHEN fraud = 1 THEN 'yes' ELSE 'no' END AS label FROM clean WHERE NOT is_train",
+    GAPS,
+    CLEAN,
+)
+add("score_new_table", "SELECT transaction_id + 1000000 AS transaction_id, true AS is_chance FROM txn", TXN)

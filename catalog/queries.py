@@ -369,6 +369,21 @@ def dedupe_append(spark, folder):
     return rounded(quality.merge_append(t, late).select("transaction_id", "status", "amount"))
 
 
+@query
+def merge_versions(spark, folder):
+    """Three versions of every seventh transaction arrive out of order, some rows have no id, and all of it twice."""
+    t = demo.transactions(spark, folder).select("transaction_id", "transaction_date", "amount")
+    some = t.filter("transaction_id % 7 = 0")
+    steps = F.explode(F.array(F.lit(2), F.lit(3), F.lit(1))).alias("step")
+    late = some.select("*", steps).select(
+        F.when(F.col("transaction_id") % 5 != 0, F.col("transaction_id")).alias("transaction_id"),
+        (F.col("transaction_date") + F.make_dt_interval(hours="step")).alias("transaction_date"),
+        (F.col("amount") + 1000.0 * F.col("step")).alias("amount"),
+    )
+    once = quality.merge_append(t, late)
+    return rounded(quality.merge_append(once, late))
+
+
 # --- totals and profiles ------------------------------------------------------------
 
 
@@ -406,6 +421,17 @@ def aggregate_features(spark, folder):
     return out.select("user_id", F.explode("averages").alias("name", "average"))
 
 
+@query
+def aggregate_features_null_key(spark, folder):
+    """Transactions without user have averages of their own."""
+    t = demo.transactions(spark, folder).select(
+        F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5).alias("part"),
+        F.create_map(F.concat(F.lit("in_"), "currency"), F.lit(1.0)).alias("features"),
+    )
+    out = totals.average_features(t, "features", by="part")
+    return rounded(out.select("part", F.explode("averages").alias("name", "average")))
+
+
 @query
 def aggregate_features_all(spark, folder):
     t = demo.transactions(spark, folder).withColumn(
@@ -447,7 +473,30 @@ def corr_matrix(spark, folder):
 
 @query
 def histogram_amount(spark, folder):
-    return rounded(profile.histogram(demo.transactions(spark, folder), "amount", 20, 0.0, 200.0))
+    """Bounds from the data; the counts sum to all rows with an amount."""
+    out = profile.histogram(demo.transactions_with_gaps(spark, folder), "amount", 20)
+    return rounded(out.filter("bin BETWEEN 0 AND 19"))
+
+
+@query
+def histogram_amount_bounds(spark, folder):
+    """Given bounds; what lies outside them has bins of its own."""
+    out = profile.histogram(demo.transactions(spark, folder), "amount", 10, 50.0, 150.0)
+    return rounded(out.select("bin", F.when(F.col("bin") >= 0, F.col("bin_start")).alias("bin_start"), "n"))
+
+
+@query
+def quantiles_inflated(spark, folder):
+    """Two values hold most rows, with a continuous middle; few rows are settled by counting."""
+    t = demo.transactions(spark, folder)
+    x = F.when(F.col("transaction_id") % 10 < 6, 0.0).when(F.col("transaction_id") % 10 < 9, 1.0)
+    t = t.select(x.alias("x"), F.col("amount"), F.col("transaction_id").alias("n")).withColumn(
+        "x", F.coalesce("x", F.col("amount") / 1000.0)
+    )
+    probs = [0.0, 0.3, 0.599, 0.61, 0.65, 0.699, 0.7, 0.9, 1.0]
+    found = quantiles(t, ["x", "amount"], probs, ScalePolicy(exact_sort_rows=50))
+    rows = [(c, p, float(v)) for c, of in found.items() for p, v in of.items()]
+    return rounded(spark.createDataFrame(rows, "column string, p double, value double"))
 
 
 @query
@@ -484,6 +533,19 @@ def time_split_refined(spark, folder):
     return split.time_split(orders, 0.3, policy=ScalePolicy(exact_sort_rows=200))
 
 
+@query
+def time_split_repeated(spark, folder):
+    """Order lines as transactions: ids repeat, times tie; sizes are exact all the same."""
+    lines = demo.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("transaction_id"),
+        F.col("l_linenumber").alias("line"),
+        F.date_trunc("year", F.col("l_shipdate").cast("timestamp")).alias("transaction_date"),
+    )
+    by_time = split.time_split(lines, 0.25).groupBy("is_train").agg(F.count("*").alias("rows"))
+    at_random = split.random_split(lines, 0.2).groupBy("is_train").agg(F.count("*").alias("rows"))
+    return by_time.withColumn("kind", F.lit("time")).unionByName(at_random.withColumn("kind", F.lit("random")))
+
+
 @query
 def time_split_summary(spark, folder):
     cut = split.time_split(demo.transactions(spark, folder))
@@ -568,7 +630,9 @@ def ranking_split(spark, folder):
 
 @query
 def roc_curve(spark, folder):
-    return rounded(metrics.roc_curve(_scored(spark, folder)).filter("threshold < double('infinity')"))
+    """The origin has no threshold here: infinity is no SQL literal everywhere."""
+    out = metrics.roc_curve(_scored(spark, folder))
+    return rounded(out.withColumn("threshold", F.when(F.abs("threshold") < float("inf"), F.col("threshold"))))
 
 
 @query
@@ -576,6 +640,25 @@ def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(_scored(spark, folder))
 
 
+def _scored_kinds(spark, folder):
+    """Three classes and rows without label or prediction."""
+    t = demo.transactions(spark, folder)
+    return t.select(
+        F.when(F.col("transaction_id") % 11 != 0, F.col("merchant_id") % 3).alias("label"),
+        F.when(F.col("transaction_id") % 13 != 0, F.col("transaction_id") % 4).alias("prediction"),
+    )
+
+
+@query
+def confusion_matrix_classes(spark, folder):
+    return metrics.confusion_matrix(_scored_kinds(spark, folder))
+
+
+@query
+def confusion_matrix_classes_norm(spark, folder):
+    return rounded(metrics.confusion_matrix(_scored_kinds(spark, folder), normalize=True))
+
+
 @query
 def confusion_matrix_norm(spark, folder):
     return rounded(metrics.confusion_matrix(_scored(spark, folder), normalize=True))
@@ -656,86 +739,141 @@ def _prepared(spark, folder, **kw):
 
 @query
 def preprocess_features(spark, folder):
-    """The encoded rows of both parts: vector width and the cleaned and scaled amount."""
+    """The encoded rows of both parts, every slot of the vector as a column."""
     done = _prepared(spark, folder)
     both = done.train.withColumn("part", F.lit("train")).unionByName(done.test.withColumn("part", F.lit("test")))
     slots = vector_to_array(F.col("features"))
-    return rounded(
-        both.select(
-            "transaction_id",
-            "part",
-            "label",
-            F.size(slots).alias("width"),
-            slots[done.names.index("num__amount")].alias("amount"),
-        )
-    )
+    named = [slots[n].alias(name.lower()) for n, name in enumerate(done.names)]
+    return rounded(both.select("transaction_id", "part", "label", *named), 5)
 
 
 @query
 def feature_dataset(spark, folder):
+    """The stored feature set of the training rows, read back."""
     path = fresh_path(spark, "dataset")
-    stored.write_features(_prepared(spark, folder, cfg=TxnConfig(windows=("24h",))).train, path)
+    done = _prepared(spark, folder)
+    stored.write_features(done.train, path)
+    slots = vector_to_array(F.col("features"))
+    amount = slots[done.names.index("num__amount")]
     found = stored.read_features(spark, path)
-    return found.groupBy("label").agg(F.count("*").alias("rows"), F.max(F.size(vector_to_array("features"))).alias("width"))
+    return rounded(found.select("transaction_id", "label", F.size(slots).alias("width"), amount.alias("amount")))
 
 
 @query
 def preprocess_metadata(spark, folder):
+    """The stored settings; of the learned amount rule its threshold, of the names their number."""
     path = fresh_path(spark, "settings")
-    stored.write_metadata(spark, _prepared(spark, folder, cfg=TxnConfig(windows=("24h",))).settings, path)
-    found = sorted(stored.read_metadata(spark, path).items())
-    return spark.createDataFrame([(k, str(v)) for k, v in found], "setting string, value string")
+    stored.write_metadata(spark, _prepared(spark, folder).settings, path)
+    found = stored.read_metadata(spark, path)
+    found["amount_rule"] = found["amount_rule"]["threshold"]
+    found["feature_names"] = len(found["feature_names"])
+    found["roles"] = ",".join(sorted(str(v) for v in found["roles"].values() if isinstance(v, str)))
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(found.items())], "setting string, value string")
 
 
-# small models: the queries check the plans, not the quality of the fit
-_SMALL = {
-    "random_forest": {"numTrees": 10, "maxDepth": 5},
-    "boosted_trees": {"maxIter": 5, "maxDepth": 3, "maxBins": 32},
-}
+# models are fitted on at most so many labelled rows, so that the queries end in minutes; every
+# other setting is the package's, and all test rows are scored
+FIT_ROWS = 2_000
+_FITTED = {}
 
 
 def _trained(spark, folder, choice):
-    done = _prepared(spark, folder, cfg=TxnConfig(windows=("24h", "7d")))
-    return done, jobs.train_models(done.train, done.test, choice, _SMALL)
+    """Prepared rows and the model of one kind with its scores: fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FITTED:
+        _FITTED[key] = (_prepared(spark, folder), {})
+    done, made = _FITTED[key]
+    if choice not in made:
+        for name, (model, scores) in jobs.train_models(done.train, done.test, choice, max_fit_rows=FIT_ROWS).items():
+            path = fresh_path(spark, "scores")
+            scores.write.parquet(path)
+            made[choice] = (name, model, spark.read.parquet(path))
+    return done, made[choice]
+
+
+def _judged(scores):
+    """What is determined about scores: whose they are, that they are chances, and what follows from them."""
+    return scores.select(
+        "transaction_id",
+        F.col("label").cast("int").alias("label"),
+        F.col("score").between(0, 1).alias("is_chance"),
+        ((F.col("score") > 0.5) == (F.col("prediction") == 1)).alias("follows"),
+    )
 
 
 @query
 def rf_scores(spark, folder):
-    _, trained = _trained(spark, folder, "rf")
-    return rounded(trained["random_forest"][1].select("transaction_id", "label", "prediction", "score"))
+    return _judged(_trained(spark, folder, "rf")[1][2])
 
 
 @query
 def gbt_scores(spark, folder):
-    _, trained = _trained(spark, folder, "gbt")
-    return rounded(trained["boosted_trees"][1].select("transaction_id", "label", "prediction", "score"))
+    return _judged(_trained(spark, folder, "gbt")[1][2])
 
 
 @query
 def feature_importance(spark, folder):
-    done, trained = _trained(spark, folder, "rf")
-    return rounded(models.feature_importance(trained["random_forest"][0], done.names, k=15))
+    """Every slot by name, and that the importances are shares of one."""
+    done, (_, model, _) = _trained(spark, folder, "rf")
+    listed = models.feature_importance(model, done.names)
+    total = round(float(model.featureImportances.toArray().sum()), 6)
+    return listed.select(
+        F.lower("feature").alias("feature"), F.col("importance").between(0, 1).alias("is_share"), F.lit(total).alias("total")
+    )
 
 
 @query
 def model_roundtrip(spark, folder):
-    done, trained = _trained(spark, folder, "rf")
+    done, (_, model, scores) = _trained(spark, folder, "rf")
     path = fresh_path(spark, "model")
-    model, scored = trained["random_forest"]
     stored.save_model(model, path)
     again = models.score(stored.load_model(spark, path), done.test).select("transaction_id", F.col("score").alias("again"))
-    return scored.join(again, "transaction_id").agg(
+    return scores.join(again, "transaction_id").agg(
         F.count("*").alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference")
     )
 
 
 @query
 def training_metrics(spark, folder):
-    root = fresh_path(spark, "training")
-    done = _prepared(spark, folder, cfg=TxnConfig(windows=("24h", "7d")))
-    stored.write_features(done.train, f"{root}/train")
-    stored.write_features(done.test, f"{root}/test")
-    return rounded(jobs.run_training(spark, f"{root}/train", f"{root}/test", f"{root}/out", params=_SMALL))
+    """Metrics of both models from their stored scores, written under one run name twice."""
+    path, rows = fresh_path(spark, "metrics"), None
+    for choice in ("rf", "gbt"):
+        name, _, scores = _trained(spark, folder, choice)[1]
+        found = models.model_metrics(scores, name)
+        rows = found if rows is None else rows.unionByName(found)
+    for _ in range(2):
+        stored.write_metrics(rows, path, "run")
+    return stored.read_metrics(spark, path, "run").select("model", "metric", F.col("value").between(0, 1).alias("is_share"))
+
+
+@query
+def train_text_label(spark, folder):
+    """A text label: classes are learned on the training rows, stored, and used for the new table."""
+    t = demo.transactions_with_gaps(spark, folder)
+    t = t.withColumn("fraud", F.when(F.col("fraud") == 1, "yes").otherwise("no")).drop("merchant_id")
+    root = fresh_path(spark, "text")
+    t.write.parquet(f"{root}/table")
+    jobs.run_preprocess(spark, f"{root}/table", f"{root}/prepared", cfg=TxnConfig(windows=("24h",)))
+    settings = stored.read_metadata(spark, f"{root}/prepared/settings")
+    test = stored.read_features(spark, f"{root}/prepared/test")
+    return test.select("transaction_id", F.element_at(
+        F.array(*[F.lit(c) for c in settings["label_classes"]]), F.col("label") + 1
+    ).alias("label"))
+
+
+@query
+def score_new_table(spark, folder):
+    """A model is trained on the month's table; another table without labels is scored with what was stored."""
+    t = demo.transactions(spark, folder)
+    root = fresh_path(spark, "scoring")
+    t.write.parquet(f"{root}/table")
+    jobs.run_preprocess(spark, f"{root}/table", f"{root}/prepared", cfg=TxnConfig(windows=("24h",)))
+    train = stored.read_features(spark, f"{root}/prepared/train")
+    model = jobs.train_models(train, train.limit(0), "rf", max_fit_rows=FIT_ROWS)["random_forest"][0]
+    stored.save_model(model, f"{root}/model")
+    new = t.withColumn("transaction_id", F.col("transaction_id") + 1_000_000).drop("fraud")
+    out = jobs.score_table(new, f"{root}/prepared", f"{root}/model")
+    return out.select("transaction_id", F.col("score").between(0, 1).alias("is_chance"))
 
 
 @query
@@ -753,10 +891,9 @@ def param_grid(spark, folder):
     rows = encoder.transform(t).select(
         "features", F.col("fraud").alias("label"), split.time_fold(t, 3).alias("fold")
     )
-    _, found = models.search(
-        rows, models.class_counts(rows), {"max_depth": [2, 4]}, params={"numTrees": 5}, folds=3
-    )
-    return rounded(found)
+    rows = models.fit_rows(rows, FIT_ROWS)
+    _, found = models.search(rows, models.class_counts(rows), {"max_depth": [2, 4]}, folds=3)
+    return found.select("params", F.col("value").between(0, 1).alias("is_share"))
 
 
 # --- streams ------------------------------------------------------------------------
@@ -773,11 +910,12 @@ def stream_scores(spark, folder):
     columns = ["amount", "merchant_id", "currency", "status"]
     encoder, _ = encode.fit_encoder(t, columns)
     rows = encoder.transform(t).select("features", F.col("fraud").alias("label"))
-    model = models.train_forest(rows, models.class_counts(rows), _SMALL["random_forest"])
+    model = models.train_forest(models.fit_rows(rows, FIT_ROWS), models.class_counts(rows))
     out = fresh_path(spark, "scores")
     stream = demo.transactions_from_events(_event_stream(spark, folder))
-    streaming.score_stream(stream, encoder, model, out, fresh_path(spark, "checkpoint")).awaitTermination()
-    return rounded(spark.read.parquet(out))
+    keep = ("transaction_id", F.col("fraud").alias("label"))
+    streaming.score_stream(stream, encoder, model, out, fresh_path(spark, "checkpoint"), keep).awaitTermination()
+    return _judged(spark.read.parquet(out))
 
 
 @query
@@ -789,6 +927,26 @@ def stream_user_features(spark, folder):
     for low, high in ((1, 8), (9, 16), (17, 24), (25, 31)):
         t.filter(F.dayofmonth("transaction_date").between(low, high)).write.mode("append").parquet(arrivals)
         run.start(streaming.read_stream(spark, arrivals, t.schema), checkpoint).awaitTermination()
+    run.finish()
+    return _as_doubles(run.features(), [])
+
+
+@query
+def stream_out_of_order(spark, folder):
+    """Rows arrive up to three hours late; every 19th row comes twice and every 23rd has no id."""
+    t = demo.transactions(spark, folder)
+    t = t.withColumn("transaction_id", F.when(F.col("transaction_id") % 23 != 0, F.col("transaction_id")))
+    t = t.unionByName(t.filter("transaction_id % 19 = 0"))
+    delay = F.pmod(F.xxhash64("transaction_id", "user_id", "transaction_date"), F.lit(10_000))
+    arrival = F.unix_micros("transaction_date") + delay * 1_000_000
+    first, last = t.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.floor((arrival - first) / F.lit((last - first) // 4 + 1))
+    arrivals, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "checkpoint")
+    run = streaming.FeatureStream(spark, fresh_path(spark, "features"), TxnConfig(windows=("24h", "7d")), late="3h")
+    for n in range(4):
+        t.filter(part == n).write.mode("append").parquet(arrivals)
+        run.start(streaming.read_stream(spark, arrivals, t.schema), checkpoint).awaitTermination()
+    run.finish()
     return _as_doubles(run.features(), [])
 
 

@@ -69,11 +69,6 @@ def micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    """Difference of two microsecond counts, in seconds."""
-    return (later - earlier) / F.lit(float(MICROS))
-
-
 def number(df: DataFrame, name: str) -> Column:
     """The column as double with NaN turned into null; a text column is a schema error."""
     kind = df.schema[name].dataType
@@ -99,12 +94,6 @@ def cents(col: Column) -> Column:
     return F.rint(col * 100).cast("bigint")
 
 
-def ratio(top: Column, bottom: Column, otherwise=None) -> Column:
-    """``top / bottom``; where the divisor is zero or null, ``otherwise``."""
-    fallback = F.lit(otherwise).cast("double")
-    return F.when(bottom != 0, top / bottom).otherwise(fallback)
-
-
 def binarize(col: Column, threshold: float = 0.5) -> Column:
     return F.when(col > threshold, 1).otherwise(0)
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT_POLICY, ScalePolicy, TxnConfig
 from .functions.scalars import window_label
-from .operators.clean import fit_amount_rule
-from .operators.encode import fit_encoder, label_as_int
+from .operators.clean import AmountRule, fit_amount_rule
+from .operators.encode import apply_classes, fit_encoder, label_as_int, label_classes
 from .operators.features import add_features
 from .operators.metrics import confusion_matrix, report
-from .operators.models import CHOICES, TRAINERS, class_counts, model_metrics, score
+from .operators.models import CHOICES, TRAINERS, class_counts, fit_rows, model_metrics, score
 from .operators.split import has_times, random_split, stratify_by, time_split
 from .sources import stored
 from .sources.ingest import ingest, save_snapshot
@@ -60,13 +60,19 @@ def preprocess(
     else:
         label = stratify_by(df, cfg.label) if stratify else None
         marked = random_split(df, test_size, seed, label, cfg.id, policy)
+    # a text label becomes its class number on the narrow input, before any feature is made of it
+    classes = label_classes(marked.filter("is_train"), cfg.label)
+    if classes is not None:
+        marked = apply_classes(marked, cfg.label, classes)
     ids = list(dict.fromkeys([cfg.id, cfg.user, cfg.merchant] if id_columns is None else id_columns))
     dropped = {cfg.label, cfg.time, *drop, *ids}
 
     made = add_features(marked, cfg, policy=policy) if by_time else marked
+    rule = None
     if cfg.amount in df.columns:  # learned from the raw amounts, applied after the features
         scope = marked.filter("is_train") if clean_scope == "train" else marked
-        made = fit_amount_rule(scope, cfg.amount, policy=policy).apply(made, cfg.amount)
+        rule = fit_amount_rule(scope, cfg.amount, policy=policy)
+        made = rule.apply(made, cfg.amount)
     made = label_as_int(made, cfg.label)
     path = work_path or fresh_path(df.sparkSession, "features")
     made.withColumn("is_train", F.col("is_train").cast("int")).write.mode("overwrite").partitionBy("is_train").parquet(path)
@@ -90,6 +96,8 @@ def preprocess(
         "test_size": test_size,
         "seed": seed,
         "clean_scope": clean_scope,
+        "label_classes": classes,
+        "amount_rule": None if rule is None else asdict(rule),
     }
     return Prepared(encoded(train), encoded(test), encoder, names, settings)
 
@@ -104,17 +112,54 @@ def run_preprocess(spark: SparkSession, table_path: str, out_path: str, **option
     return done
 
 
+def score_table(df: DataFrame, prepared_path: str, model_path: str, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+    """Predictions for a new transaction table with the stored settings, encoder and model.
+
+    Features come from ``df`` alone, so it should hold the look-back of the rows of interest. A
+    label is not needed; where there is one (text as in training), it is used for the fraud rates.
+    """
+    spark = df.sparkSession
+    settings = stored.read_metadata(spark, f"{prepared_path}/settings")
+    roles = {k: tuple(v) if isinstance(v, list) else v for k, v in settings["roles"].items()}
+    cfg = TxnConfig(**roles, windows=tuple(settings["windows"]))
+    if cfg.label not in df.columns:
+        df = df.withColumn(cfg.label, F.lit(None).cast("int"))
+    elif settings["label_classes"] is not None:
+        df = apply_classes(df, cfg.label, settings["label_classes"])
+    made = add_features(df, cfg, policy=policy) if settings["time_based_split"] else df
+    if settings["amount_rule"] is not None:
+        made = AmountRule(**settings["amount_rule"]).apply(made, cfg.amount)
+    encoder = stored.load_model(spark, f"{prepared_path}/encoder")
+    kept = [c for c in settings["id_columns"] if c in df.columns]
+    encoded = encoder.transform(made).select(*kept, "features")
+    return score(stored.load_model(spark, model_path), encoded).drop("features")
+
+
 def train_models(
-    train: DataFrame, test: DataFrame | None, choice="both", params: dict | None = None, test_size=0.2, seed=42
+    train: DataFrame,
+    test: DataFrame | None,
+    choice="both",
+    params: dict | None = None,
+    test_size=0.2,
+    seed=42,
+    id_: str = TxnConfig.id,
+    max_fit_rows: int | None = None,
 ) -> dict:
-    """``{name: (model, scored test rows)}``; without a test set a part of ``train`` is held out."""
+    """``{name: (model, scored test rows)}``; without a test set a part of ``train`` is held out.
+
+    ``max_fit_rows`` bounds the rows the models are fitted on (see ``models.fit_rows``); all
+    test rows are scored in any case.
+    """
     if choice not in CHOICES:
         raise ValueError(f"model must be one of {sorted(CHOICES)}")
     params = params or {}
     if test is None:
-        id_ = next((c for c in train.columns if c not in ("features", "label")), None)
-        marked = random_split(train, test_size, seed, stratify_by(train, "label"), id_)
+        marked = random_split(
+            train, test_size, seed, stratify_by(train, "label"), id_ if id_ in train.columns else None
+        )
         train, test = marked.filter("is_train").drop("is_train"), marked.filter("NOT is_train").drop("is_train")
+    if max_fit_rows is not None:
+        train = fit_rows(train, max_fit_rows, id_=id_ if id_ in train.columns else None)
     counts = class_counts(train)
     out = {}
     for name in CHOICES[choice]:
@@ -126,7 +171,7 @@ def train_models(
 def run_training(
     spark: SparkSession, train_path: str, test_path: str | None, out_path: str, choice="both", params=None, run="run", **kw
 ) -> DataFrame:
-    """Train, store models and scores, and append the metrics; returns ``(model, metric, value)``.
+    """Train, store models and scores, and the metrics under the run's name; returns ``(model, metric, value)``.
 
     Each model predicts the test rows once; all metrics read the stored scores.
     """
@@ -138,8 +183,8 @@ def run_training(
         scored.drop("features").write.mode("overwrite").parquet(f"{out_path}/scores/{name}")
         rows = model_metrics(spark.read.parquet(f"{out_path}/scores/{name}"), name)
         results = rows if results is None else results.unionByName(rows)
-    stored.append_metrics(results, f"{out_path}/metrics", run)
-    return spark.read.parquet(f"{out_path}/metrics").filter(F.col("run") == run).drop("run")
+    stored.write_metrics(results, f"{out_path}/metrics", run)
+    return stored.read_metrics(spark, f"{out_path}/metrics", run)
 
 
 def run_evaluation(

@@ -19,23 +19,42 @@ from pyspark.sql import types as T
 from ..config import DEFAULT_POLICY, ScalePolicy
 from ..plans.ranks import quantiles
 from .profile import column_roles
+from .split import MAX_CLASSES
 
 log = logging.getLogger(__name__)
 
 
+MAX_CATEGORIES = 10_000
+
+
+def label_classes(df: DataFrame, column: str) -> list | None:
+    """Classes of a text label in ascending order, to be learned from training rows; None for a number."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return None
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {column}")
+    return sorted(r[0] for r in found)
+
+
+def apply_classes(df: DataFrame, column: str, classes: list, output: str | None = None) -> DataFrame:
+    """Text label to the number of its class; a class that was not learned ends the job, null stays null."""
+    text = F.col(column)
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), text) - 1
+    unseen = F.raise_error(F.concat(F.lit(f"unseen class in {column}: "), text)).cast("int")
+    code = F.when(text.isNull(), F.lit(None).cast("int")).when(place >= 0, place.cast("int")).otherwise(unseen)
+    return df.withColumn(output or column, code)
+
+
 def encode_labels(df: DataFrame, column: str, output: str) -> DataFrame:
-    """Text label to a whole-number code; classes in ascending order, unseen ones an error."""
-    model = StringIndexer(
-        inputCol=column, outputCol="__code", stringOrderType="alphabetAsc", handleInvalid="error"
-    ).fit(df)
-    return model.transform(df).withColumn(output, F.col("__code").cast("int")).drop("__code")
+    """Text label to a whole-number code; classes in ascending order."""
+    return apply_classes(df, column, label_classes(df, column), output)
 
 
-def label_as_int(df: DataFrame, column: str) -> DataFrame:
+def label_as_int(df: DataFrame, column: str, classes: list | None = None) -> DataFrame:
     """Labels for training: booleans and 0/1 numbers as whole numbers, text as class codes."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return encode_labels(df.withColumnRenamed(column, "__text"), "__text", column).drop("__text")
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return apply_classes(df, column, label_classes(df, column) if classes is None else classes)
     return df.withColumn(column, F.col(column).cast("int"))
 
 
@@ -69,7 +88,7 @@ def fit_numeric(df: DataFrame, columns, policy: ScalePolicy = DEFAULT_POLICY) ->
     for n, c in enumerate(columns):
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{n}"))
         if c in kept:
-            aggs.append(F.expr(f"stddev_pop(coalesce(`{c}`, {medians[c]!r}D))").alias(f"s{n}"))
+            aggs.append(F.stddev_pop(F.coalesce(F.col(f"`{c}`"), F.lit(medians[c]))).alias(f"s{n}"))
     row = values.agg(*aggs).first()
     rules = []
     for n, c in enumerate(columns):
@@ -100,20 +119,38 @@ def most_frequent(df: DataFrame, columns) -> dict:
     return {c: found.get(n) for n, c in enumerate(columns)}
 
 
+def _text_of(value: float) -> str:
+    """SQL text of a double, infinite ones included (the fitted encoder is made of SQL text)."""
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+
+
 def numeric_expressions(df: DataFrame, rules, impute_only: bool = False) -> list:
     """``(name, SQL text)`` of the imputed and scaled columns, then of the missing flags."""
     out = []
     for r in rules:
         if not math.isnan(r.median):
-            scale = "" if impute_only else f" / {r.scale!r}D"
-            out.append((f"num__{r.name}", f"coalesce({_plain(df, r.name)}, {r.median!r}D){scale}"))
+            scale = "" if impute_only else f" / {_text_of(r.scale)}"
+            out.append((f"num__{r.name}", f"coalesce({_plain(df, r.name)}, {_text_of(r.median)}){scale}"))
     for r in rules:
         if r.flag_scale is not None:
-            scale = "" if impute_only else f" / {r.flag_scale!r}D"
+            scale = "" if impute_only else f" / {_text_of(r.flag_scale)}"
             out.append((f"num__missingindicator_{r.name}", f"cast({_plain(df, r.name)} IS NULL AS double){scale}"))
     return out
 
 
+def _check_categories(df: DataFrame, columns) -> None:
+    """Refuse text columns with so many values that a vector slot for each makes no sense.
+
+    Their values are kept on the driver and in the model, so their number has to be bounded.
+    """
+    if not columns:
+        return
+    row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"n{n}") for n, c in enumerate(columns)]).first()
+    wide = [c for n, c in enumerate(columns) if row[n] > MAX_CATEGORIES]
+    if wide:
+        raise ValueError(f"more than about {MAX_CATEGORIES} categories in {wide}; drop or group them")
+
+
 def fit_encoder(train: DataFrame, columns, policy: ScalePolicy = DEFAULT_POLICY, output="features") -> tuple:
     """Fit on ``train``; returns ``(PipelineModel, names of the vector slots)``.
 
@@ -125,6 +162,7 @@ def fit_encoder(train: DataFrame, columns, policy: ScalePolicy = DEFAULT_POLICY,
     numeric, categorical = column_roles(train.select(*columns)) if columns else ([], [])
     if not columns:
         raise ValueError("no feature columns to encode")
+    _check_categories(train, categorical)
     rules, empty = fit_numeric(train, numeric, policy) if numeric else ([], [])
     fills = most_frequent(train, categorical)
     empty += [c for c in categorical if fills[c] is None]

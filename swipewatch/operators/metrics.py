@@ -22,14 +22,18 @@ def _share(top: str, bottom: str) -> str:
 
 
 def threshold_metrics(df: DataFrame, label="label", prediction="prediction", by=()) -> DataFrame:
-    """Accuracy, precision, recall and F1 of class 1 in one pass; an empty divisor gives 0."""
+    """Accuracy, precision, recall and F1 of class 1 in one pass; an empty divisor gives 0.
+
+    Rows without label or prediction are not judged.
+    """
     cells = {
         "tp": f"{label} = 1 AND {prediction} = 1",
         "fp": f"{label} <> 1 AND {prediction} = 1",
         "fn": f"{label} = 1 AND {prediction} <> 1",
         "hit": f"{label} = {prediction}",
     }
-    aggs = [F.expr(f"count_if({x})").alias(f"__{n}") for n, x in cells.items()] + [F.count("*").alias("__n")]
+    cells["n"] = f"{label} IS NOT NULL AND {prediction} IS NOT NULL"
+    aggs = [F.expr(f"count_if({x})").alias(f"__{n}") for n, x in cells.items()]
     counted = df.groupBy(*by).agg(*aggs)
     return counted.selectExpr(
         *by,
@@ -102,7 +106,12 @@ def evaluate(
     score: str | None = "score",
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """``(metric, value)`` rows; the ranking metrics only when there is a score."""
+    """``(metric, value)`` rows; the ranking metrics only when there is a score.
+
+    All metrics are of the same rows: those with label, prediction and score (if there is one).
+    """
+    for needed in (label, prediction, *([score] if score else [])):
+        df = df.filter(F.col(needed).isNotNull())
     names = ["accuracy", "precision", "recall", "f1_score"]
     out = _to_rows(threshold_metrics(df, label, prediction), names)
     if score is None:
@@ -126,12 +135,34 @@ def _to_rows(wide: DataFrame, names) -> DataFrame:
     return wide.selectExpr(f"stack({len(names)}, {pairs}) AS (metric, value)")
 
 
-def confusion_matrix(df: DataFrame, label="label", prediction="prediction", normalize: bool = False) -> DataFrame:
-    """Counts on the full 2 x 2 grid, or shares of each label's rows (0 for an empty row)."""
-    cells = [(a, b) for a in (0, 1) for b in (0, 1)]
-    wide = df.agg(*[F.expr(f"count_if({label} = {a} AND {prediction} = {b})").alias(f"c{a}{b}") for a, b in cells])
-    values = {
-        (a, b): _share(f"c{a}{b}", f"(c{a}0 + c{a}1)") if normalize else f"c{a}{b}" for a, b in cells
-    }
-    listed = ", ".join(f"{a}, {b}, {values[(a, b)]}" for a, b in cells)
-    return wide.selectExpr(f"stack(4, {listed}) AS (label, prediction, {'share' if normalize else 'n'})")
+def confusion_matrix(
+    df: DataFrame, label="label", prediction="prediction", normalize: bool = False, classes=(0, 1)
+) -> DataFrame:
+    """Counts for every pair of the classes that occur, or shares of each label's rows.
+
+    ``classes`` have their rows and columns in any case. Rows without label or prediction form a
+    class of their own, null. A label without rows has shares 0.
+    """
+    pairs = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    counted = pairs.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    kind = pairs.schema["label"].dataType.simpleString()
+    named = F.array(*[F.lit(c) for c in classes]).cast(f"array<{kind}>")
+    # a row per class and side; the grid of all pairs is the result's form
+    every = counted.agg(
+        F.array_distinct(
+            F.concat(F.collect_set("label"), F.collect_set(F.col("prediction").cast(kind)), named)
+        ).alias("known"),
+        (F.count_if(F.col("label").isNull() | F.col("prediction").isNull()) > 0).alias("gaps"),
+    ).select(
+        F.when(F.col("gaps"), F.concat("known", F.array(F.lit(None).cast(kind)))).otherwise(F.col("known")).alias("all")
+    )
+    grid = every.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("p"))
+    same = F.col("l").eqNullSafe(F.col("label")) & F.col("p").eqNullSafe(F.col("prediction").cast(kind))
+    cells = grid.join(counted, same, "left").select(
+        F.col("l").alias("label"), F.col("p").alias("prediction"), F.coalesce("n", F.lit(0)).alias("n")
+    )
+    if not normalize:
+        return cells
+    of_label = counted.groupBy(F.col("label").alias("__l")).agg(F.sum("n").alias("__n"))
+    joined = cells.join(of_label, F.col("label").eqNullSafe(F.col("__l")), "left")
+    return joined.select("label", "prediction", F.coalesce(F.col("n") / F.col("__n"), F.lit(0.0)).alias("share"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import evaluate
+from .split import MAX_CLASSES
 
-# Default settings of the two models.
-FOREST_DEFAULTS = {"numTrees": 300, "maxDepth": 10, "seed": 42}
+# Default settings of the two models. Trees of the forest grow until their leaves
+# are pure; 30 is the deepest that Spark allows.
+FOREST_DEFAULTS = {"numTrees": 300, "maxDepth": 30, "seed": 42}
 BOOSTED_DEFAULTS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.3, "maxBins": 256, "seed": 42}
 
 # Settings by their usual names in other libraries.
@@ -38,7 +40,24 @@ def _settings(defaults, names, params) -> dict:
 
 
 def class_counts(df: DataFrame, label="label") -> dict:
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    """Rows per class; refused where there are more values than a label has."""
+    found = df.groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} label values; is this the label column?")
+    return {r[label]: r["n"] for r in found}
+
+
+def fit_rows(df: DataFrame, most: int, label="label", id_: str | None = None) -> DataFrame:
+    """At most about ``most`` rows to fit a model on: those with the smallest hashes, each class its share.
+
+    The bound is a parameter of the caller's choice; scoring always covers all rows.
+    """
+    counts = class_counts(df, label)
+    total = sum(counts.values())
+    if total <= most:
+        return df
+    hashed = F.pmod(F.xxhash64(id_ or label, *([] if id_ else df.columns)), F.lit(1_000_000))
+    return df.filter(hashed < int(1_000_000 * most / total))
 
 
 def positive_weight(counts: dict) -> float:
@@ -106,9 +125,11 @@ def feature_importance(model, names, k: int | None = None) -> DataFrame:
 def search(
     train: DataFrame, counts: dict, grid: dict, kind="rf", folds=3, fold_col="fold", metric="areaUnderROC", params=None
 ) -> tuple:
-    """Cross-validated grid search; ``fold_col`` holds fold numbers, e.g. from ``time_fold``.
+    """Grid search over consecutive periods; ``fold_col`` holds their numbers, e.g. from ``time_fold``.
 
-    Returns the best model and ``(params, value)`` rows.
+    A setting is judged on each period but the first by a model fitted on all periods before it,
+    so nothing is judged by what came later. Returns the best model, fitted on all rows, and
+    ``(params, value)`` rows, the value being the mean over the periods.
     """
     if kind == "rf":
         settings = _settings(FOREST_DEFAULTS, FOREST_NAMES, params)
@@ -116,20 +137,22 @@ def search(
     else:
         settings = _settings(BOOSTED_DEFAULTS, BOOSTED_NAMES, params)
         model, names = GBTClassifier(weightCol="weight", **settings), BOOSTED_NAMES
+    if folds < 2:
+        raise ValueError("at least two periods are needed")
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(names.get(name, name)), list(values))
     maps = builder.build()
-    validator = CrossValidator(
-        estimator=model,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(metricName=metric, weightCol="weight"),
-        numFolds=folds,
-        foldCol=fold_col,
-        parallelism=2,
-    ).fit(balanced(train, counts))
-    rows = [
+    judge = BinaryClassificationEvaluator(metricName=metric, weightCol="weight")
+    rows = balanced(train, counts)
+    values = [0.0] * len(maps)
+    for fold in range(1, folds):
+        before, now = rows.filter(F.col(fold_col) < fold), rows.filter(F.col(fold_col) == fold)
+        for n, fitted in model.fitMultiple(before, maps):
+            values[n] += judge.evaluate(fitted.transform(now)) / (folds - 1)
+    best = max(range(len(maps)), key=lambda n: (values[n] if judge.isLargerBetter() else -values[n], -n))
+    shown = [
         (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(value))
-        for m, value in zip(maps, validator.avgMetrics)
+        for m, value in zip(maps, values)
     ]
-    return validator.bestModel, train.sparkSession.createDataFrame(rows, "params string, value double")
+    return model.fit(rows, maps[best]), train.sparkSession.createDataFrame(shown, "params string, value double")

@@ -51,13 +51,14 @@ def stability_index(
     probs = [j / bins for j in range(1, bins)]
     cuts = quantiles(values.filter("NOT __now").select(*features), features, probs, policy)
     # number of cuts at or below the value; the cuts are constants, so this is a chain of comparisons
-    pairs = []
+    binned = []
     for f in features:
-        steps = " + ".join(f"IF(`{f}` > {c!r}D, 1, 0)" for c in cuts[f].values() if c is not None and not math.isnan(c))
-        pairs.append(f"'{f}', IF(`{f}` IS NULL, NULL, {steps or '0'})")
-    long = values.selectExpr("__now", f"stack({len(features)}, {', '.join(pairs)}) AS (feature, bin)").filter(
-        "bin IS NOT NULL"
-    )
+        step = F.lit(0)
+        for c in cuts[f].values():
+            if c is not None and not math.isnan(c):
+                step = step + F.when(F.col(f) > F.lit(c), 1).otherwise(0)
+        binned.append(F.struct(F.lit(f).alias("feature"), F.when(F.col(f).isNotNull(), step).alias("bin")))
+    long = values.select("__now", F.inline(F.array(*binned))).filter("bin IS NOT NULL")
     counted = long.groupBy("feature", "bin").agg(
         F.count_if(~F.col("__now")).alias("base"), F.count_if("__now").alias("now")
     )
@@ -74,6 +75,7 @@ def metrics_per_day(
 ) -> DataFrame:
     """Threshold and ranking metrics per day of scored rows."""
     dated = df.withColumn("day", F.to_date(time))
-    return threshold_metrics(dated, label, prediction, ["day"]).join(
-        ranking_metrics(dated, label, score, by="day", policy=policy), "day", "left"
-    )
+    at = threshold_metrics(dated, label, prediction, ["day"])
+    ranked = ranking_metrics(dated, label, score, by="day", policy=policy).withColumnRenamed("day", "__day")
+    # rows without a time have a day of their own: null
+    return at.join(ranked, F.col("day").eqNullSafe(F.col("__day")), "left").drop("__day")

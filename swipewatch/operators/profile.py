@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,11 @@ def null_profile(df: DataFrame) -> DataFrame:
     return _stack(df.agg(*aggs), pairs, ["column", "dtype", "role", "rows", "missing"])
 
 
+def _constant(value) -> Column:
+    """A learned number as an aggregate over all rows; infinity and null included."""
+    return F.first(F.lit(value).cast("double"))
+
+
 def describe(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
     columns = list(columns or column_roles(df)[0])
@@ -46,10 +53,8 @@ def describe(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY)
     for n, c in enumerate(columns):
         aggs += [F.count(c).alias(f"n{n}"), F.avg(c).alias(f"a{n}"), F.stddev_samp(c).alias(f"s{n}"),
                  F.min(c).alias(f"l{n}"), F.max(c).alias(f"h{n}")]
-    pairs = []
-    for n, c in enumerate(columns):
-        q = [f"cast({'NULL' if v is None else repr(float(v))} AS double)" for v in cuts[c].values()]
-        pairs.append(f"'{c}', n{n}, a{n}, s{n}, l{n}, {', '.join(q)}, h{n}")
+        aggs += [_constant(v).alias(f"q{n}_{k}") for k, v in enumerate(cuts[c].values())]
+    pairs = [f"'{c}', n{n}, a{n}, s{n}, l{n}, q{n}_0, q{n}_1, q{n}_2, h{n}" for n, c in enumerate(columns)]
     return _stack(values.agg(*aggs), pairs, ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
@@ -67,21 +72,33 @@ def correlation(df: DataFrame, columns=None) -> DataFrame:
     return _stack(wide, listed, ["x", "y", "corr"])
 
 
-def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
     """Counts in ``bins`` equal steps of ``[low, high]``; the last includes ``high``.
 
-    Every bin has a row; values outside the range are not counted.
+    Without bounds these are the smallest and the greatest value; then the counts sum to all rows
+    with a value. With a bound given, bin -1 counts what lies below and bin ``bins`` what lies
+    above. Every bin has a row. A single value makes one step of width one; infinite values lie
+    beyond any bounds; without finite values there are no rows.
     """
+    x = number(df, column)
+    finite = F.abs(x) < float("inf")
+    if low is None or high is None:
+        ends = df.agg(F.min(F.when(finite, x)), F.max(F.when(finite, x))).first()
+        if ends[0] is None:
+            return df.sparkSession.createDataFrame([], "bin int, bin_start double, n long")
+        low = ends[0] if low is None else low
+        high = ends[1] if high is None else high
+        high = high if high > low else low + 1.0
     if bins < 1 or not low < high:
         raise ValueError("need at least one bin and low < high")
     width = (high - low) / bins
-    x = number(df, column)
-    bin_ = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counted = df.filter(x.between(low, high)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(F.broadcast(counted), "bin", "left").select(
-        "bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    inner = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    bin_ = F.when(x < low, -1).when(x > high, bins).otherwise(inner)
+    counted = df.filter(x.isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(-1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    joined = every.join(F.broadcast(counted), "bin", "left")  # at most one row per bin
+    start = F.when(F.col("bin") < 0, F.lit(float("-inf"))).otherwise(F.lit(low) + F.col("bin") * F.lit(width))
+    return joined.select("bin", start.alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def box_stats(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
@@ -92,16 +109,16 @@ def box_stats(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY)
     aggs, pairs = [], []
     for n, c in enumerate(columns):
         q1, q2, q3 = cuts[c].values()
-        if q1 is None:
-            pairs.append(f"'{c}', " + ", ".join(["cast(NULL AS double)"] * 5) + ", 0L")
-            continue
-        lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        inside = F.col(c).between(lower, upper)
-        aggs += [F.min(F.when(inside, F.col(c))).alias(f"l{n}"), F.max(F.when(inside, F.col(c))).alias(f"h{n}"),
+        # without a finite spread (all null, or an infinite quartile) nothing is an outlier
+        spread = 0.0 if q1 is None else q3 - q1
+        fenced = q1 is not None and math.isfinite(spread)
+        x = F.col(c)
+        inside = x.between(q1 - 1.5 * spread, q3 + 1.5 * spread) if fenced else x.isNotNull()
+        aggs += [F.min(F.when(inside, x)).alias(f"l{n}"), F.max(F.when(inside, x)).alias(f"h{n}"),
                  F.count_if(~inside).alias(f"o{n}")]
-        pairs.append(f"'{c}', {q1!r}D, {q2!r}D, {q3!r}D, l{n}, h{n}, o{n}")
-    wide = values.agg(*(aggs or [F.count("*")]))
-    return _stack(wide, pairs, ["column", "q25", "q50", "q75", "whisker_low", "whisker_high", "outliers"])
+        aggs += [_constant(v).alias(f"q{n}_{k}") for k, v in enumerate((q1, q2, q3))]
+        pairs.append(f"'{c}', q{n}_0, q{n}_1, q{n}_2, l{n}, h{n}, o{n}")
+    return _stack(values.agg(*aggs), pairs, ["column", "q25", "q50", "q75", "whisker_low", "whisker_high", "outliers"])
 
 
 def by_label(df: DataFrame, label: str, columns=None) -> DataFrame:

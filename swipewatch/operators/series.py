@@ -76,7 +76,10 @@ def moving_average(
     output: str = "moving_average",
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Mean of the last ``n`` values. The first ``n - 1`` rows of a key have none and are left out."""
+    """Mean of the last ``n`` values. The first ``n - 1`` rows of a key have none and are left out.
+
+    Rows without key, time or value are no points of a series and are left out.
+    """
     _check_window(n, 1)
     s = _Series(df, key, time, value, id_, policy, at_least=n)
     _check_length(df, key, n, s.plan.total)
@@ -101,7 +104,10 @@ def exponential_average(
     output: str = "ema",
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """``e0 = x0, e = alpha*x + (1 - alpha)*e'`` along each series."""
+    """``e0 = x0, e = alpha*x + (1 - alpha)*e'`` along each series.
+
+    Rows without key, time or value are no points of a series and are left out.
+    """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError(f"alpha must lie in [0, 1], got {alpha}")
     s = _Series(df, key, time, value, id_, policy, at_least=1)
@@ -123,6 +129,7 @@ def relative_strength(
 
     The first ``n - 1`` differences, summed and divided by ``n``, seed the average gain and
     loss. Without any loss the index is 100.
+    Rows without key, time or value are no points of a series and are left out.
     """
     _check_window(n, 2)
     s = _Series(df, key, time, value, id_, policy, at_least=n)

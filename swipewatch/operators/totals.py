@@ -53,15 +53,15 @@ def average_features(df: DataFrame, features: str, by: str | None = None) -> Dat
     ``features`` is a ``map<string,double>`` column; the result has one map, or one per key.
     """
     keys = [by] if by else []
-    sums = df.selectExpr(*keys, f"explode({features}) AS (name, x)").groupBy(*keys, "name").agg(F.sum("x").alias("x"))
-    records = df.groupBy(*keys).agg(F.count("*").alias("records"))
-    maps = sums.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "x")))).alias("m"))
-    if by:
-        joined = records.join(maps, by, "left")
-    else:  # one row on each side, joined on a constant
-        joined = records.withColumn("__one", F.lit(1)).join(maps.withColumn("__one", F.lit(1)), "__one", "left")
-    empty = "map_from_arrays(cast(array() AS array<string>), cast(array() AS array<double>))"
-    return joined.selectExpr(
-        *keys, f"coalesce(transform_values(m, (k, v) -> v / records), {empty}) AS averages"
+    # a group's number of records travels as one more name, which no feature has: null
+    named = df.select(*keys, F.explode(features).alias("name", "x"))
+    counted = df.select(*keys, F.lit(None).cast("string").alias("name"), F.lit(1.0).alias("x"))
+    sums = named.unionByName(counted).groupBy(*keys, "name").agg(F.sum("x").alias("x"))
+    # one map per key is the result's form, so its names meet in one row
+    grouped = sums.groupBy(*keys).agg(
+        F.max(F.when(F.col("name").isNull(), F.col("x"))).alias("records"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "x"))))
+        ).alias("m"),
     )
-
+    return grouped.select(*keys, F.transform_values("m", lambda k, v: v / F.col("records")).alias("averages"))

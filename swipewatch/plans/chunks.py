@@ -187,48 +187,66 @@ def _cut_points(df, key, t, i, hot, limit) -> dict:
     return points
 
 
+def _sketched(joined: DataFrame, keys, value: str, sizes) -> DataFrame:
+    """Per key the ``parts - 1`` approximate quantiles ``q`` that cut ``value`` into ``parts`` pieces.
+
+    ``size`` is the power of two that holds ``parts``; a key is sketched with the grid of its own
+    size, so that a key of few parts does not carry the grid of the largest one.
+    """
+    aggs = []
+    for size in sizes:
+        probs = [j / (1 << size) for j in range(1, 1 << size)]
+        mine = F.when(F.col("size") == size, F.col(value))
+        aggs.append(F.percentile_approx(mine, probs, max(10_000, 10 << size)).alias(f"q{size}"))
+    made = joined.groupBy(*keys, "parts", "size").agg(*aggs)
+    made = made.withColumn("q", F.coalesce(*[F.col(f"q{size}") for size in sizes]))
+    grid = F.expr("shiftleft(1, size)")
+    # only these travel to the driver
+    picked = F.transform(
+        F.sequence(F.lit(1), F.col("parts") - 1),
+        lambda j: F.get("q", F.greatest(F.floor(j * grid / F.col("parts")).cast("int") - 1, F.lit(0))),
+    )
+    return made.select(*keys, picked.alias("q"))
+
+
+def _size(parts: int) -> int:
+    return max(1, (parts - 1).bit_length())
+
+
 def _cut_times(spark, rows, hot, key_type, limit) -> dict:
     """Approximate time quantiles of each hot key: as many as it needs chunks."""
-    grid = max(-(-n // limit) for n in hot.values())
+    parts = {k: -(-n // limit) for k, n in hot.items()}
     wanted = spark.createDataFrame(
-        [(k, -(-n // limit)) for k, n in hot.items()],
-        T.StructType([T.StructField("hk", key_type), T.StructField("parts", T.IntegerType())]),
-    )
-    probs = [j / grid for j in range(1, grid)]
-    sketched = (
-        rows.join(F.broadcast(wanted), F.col("k") == F.col("hk"))
-        .groupBy("k", "parts")
-        .agg(F.percentile_approx("t", probs, max(10_000, 10 * grid)).alias("q"))
-    )
-    # keep only parts - 1 of the grid values per key before they travel to the driver
-    picked = F.transform(
-        F.sequence(F.lit(1), F.col("parts") - 1),
-        lambda j: F.get("q", F.floor(j * F.lit(grid) / F.col("parts")).cast("int") - 1),
+        [(k, n, _size(n)) for k, n in parts.items()],
+        T.StructType(
+            [
+                T.StructField("hk", key_type),
+                T.StructField("parts", T.IntegerType()),
+                T.StructField("size", T.IntegerType()),
+            ]
+        ),
     )
-    return {r["k"]: sorted(r["q"]) for r in sketched.select("k", picked.alias("q")).collect()}
+    joined = rows.join(F.broadcast(wanted), F.col("k") == F.col("hk"))
+    found = _sketched(joined, ["k"], "t", sorted({_size(n) for n in parts.values()}))
+    return {r["k"]: sorted(r["q"]) for r in found.collect()}
 
 
 def _cut_ids(spark, rows, instants, key_type, t_type) -> dict:
-    """Cut one overfull instant of a key by id."""
-    grid = max(instants.values())
+    """Cut overfull instants of a key by id."""
     wanted = spark.createDataFrame(
-        [(k, v) for k, v in instants],
-        T.StructType([T.StructField("hk", key_type), T.StructField("ht", t_type)]),
-    )
-    probs = [j / grid for j in range(1, grid)]
-    found = (
-        rows.join(F.broadcast(wanted), (F.col("k") == F.col("hk")) & (F.col("t") == F.col("ht")))
-        .groupBy("k", "t")
-        .agg(F.percentile_approx("i", probs, max(10_000, 10 * grid)).alias("q"))
-        .collect()
+        [(k, v, n, _size(n)) for (k, v), n in instants.items()],
+        T.StructType(
+            [
+                T.StructField("hk", key_type),
+                T.StructField("ht", t_type),
+                T.StructField("parts", T.IntegerType()),
+                T.StructField("size", T.IntegerType()),
+            ]
+        ),
     )
-    out = {}
-    for r in found:
-        parts = instants[(r["k"], r["t"])]
-        ids = sorted(r["q"])
-        out[(r["k"], r["t"])] = {ids[max(0, j * grid // parts - 1)] for j in range(1, parts)}
-    return out
-
+    joined = rows.join(F.broadcast(wanted), (F.col("k") == F.col("hk")) & (F.col("t") == F.col("ht")))
+    found = _sketched(joined, ["k", "t"], "i", sorted({_size(n) for n in instants.values()}))
+    return {(r["k"], r["t"]): set(r["q"]) for r in found.collect()}
 
 
 def ordered_sums(df: DataFrame, key: str, t: str, i: str, sums: dict, plan: ChunkPlan) -> DataFrame:

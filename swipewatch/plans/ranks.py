@@ -1,10 +1,11 @@
-"""Exact order statistics of columns of any size.
-
-The built-in exact percentile keeps every distinct value of a group in one aggregation
-buffer. That is fine up to ``policy.exact_sort_rows`` rows. Beyond, the wanted ranks are
-enclosed in brackets of values, which each pass narrows by two orders of magnitude: an
-approximate-quantile sketch proposes the bracket, an exact count confirms it. The last few
-rows inside a bracket are then counted per value. Only the brackets travel to the driver.
+"""Exact order statistics of columns of any size, by one method whatever the size.
+
+Wanted ranks lie in brackets of values with open ends. An approximate-quantile sketch proposes two
+cut values for each bracket; one exact count then tells how many rows lie below, at, between, at and
+above them. So each rank is settled at a cut value or moves to a smaller bracket, and a value that
+most rows share is settled by its count alone. Brackets of few rows are counted per value. All
+columns share the passes: a sketch or a count is one more column of one aggregate, nothing is
+stacked or shuffled but the rows of the last small brackets.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DEFAULT_POLICY, ScalePolicy
 
-GRID = 256
+GRID = 1024
+LEAST_ROWS = 1_000  # so few rows of a bracket are always counted per value
 
 
 def quantiles(df: DataFrame, columns, probs, policy: ScalePolicy = DEFAULT_POLICY) -> dict:
@@ -26,168 +27,169 @@ def quantiles(df: DataFrame, columns, probs, policy: ScalePolicy = DEFAULT_POLIC
     columns, probs = list(columns), list(probs)
     if not columns:
         return {}
-    if len(columns) <= 3 and df.count() <= policy.exact_sort_rows:
-        listed = ", ".join(repr(float(p)) + "D" for p in probs)
-        row = df.selectExpr(*[f"percentile(`{c}`, array({listed})) AS q{n}" for n, c in enumerate(columns)]).first()
-        return {
-            c: dict(zip(probs, row[f"q{n}"] if row[f"q{n}"] is not None else [None] * len(probs)))
-            for n, c in enumerate(columns)
-        }
-    # many columns: count per (column, value) in parallel instead of one buffer per column in one task
-    row = df.selectExpr(*[f"count(`{c}`) AS n{n}" for n, c in enumerate(columns)]).first()
-    counts = {n: row[f"n{n}"] for n in range(len(columns)) if row[f"n{n}"]}
-    stacked = ", ".join(f"{n}, cast(`{c}` AS double)" for n, c in enumerate(columns))
-    frame = df.selectExpr(f"stack({len(columns)}, {stacked}) AS (g, v)").filter("v IS NOT NULL")
-    wanted = {}
-    for g, n in counts.items():
-        spots = [p * (n - 1) for p in probs]
-        wanted[g] = sorted({f(s) for s in spots for f in (math.floor, math.ceil)})
-    found = order_statistics(frame, counts, wanted, policy)
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    row = df.agg(*[F.count(v).alias(f"n{n}") for n, v in enumerate(values)]).first()
+    counts = [row[f"n{n}"] for n in range(len(columns))]
+    ranks = []
+    for n in counts:
+        spots = [p * (n - 1) for p in probs] if n else []
+        ranks.append(sorted({f(s) for s in spots for f in (math.floor, math.ceil)}))
+    found = column_ranks(df, values, ranks, counts, policy)
     out = {}
     for number, c in enumerate(columns):
         out[c] = {}
         for p in probs:
-            if number not in counts:
+            if not counts[number]:
                 out[c][p] = None
                 continue
             spot = p * (counts[number] - 1)
-            low, high = found[(number, math.floor(spot))], found[(number, math.ceil(spot))]
-            out[c][p] = low + (high - low) * (spot - math.floor(spot))
+            low, high = found[number][math.floor(spot)], found[number][math.ceil(spot)]
+            # equal ends need no interpolation, which infinite ones would not survive
+            out[c][p] = low if low == high else low + (high - low) * (spot - math.floor(spot))
     return out
 
 
 @dataclass(frozen=True)
 class Bracket:
-    """Values ``lo..hi`` (None: open end) of a group hold ``rows`` rows, after ``below`` smaller ones."""
+    """Values strictly between ``lo`` and ``hi`` (None: no end) of a column: ``rows`` rows after ``below`` smaller ones."""
 
-    g: object
+    column: int
     lo: object
     hi: object
     below: int
     rows: int
 
+    def holds(self, v: Column) -> Column:
+        inside = v.isNotNull()
+        if self.lo is not None:
+            inside = inside & (v > F.lit(self.lo))
+        if self.hi is not None:
+            inside = inside & (v < F.lit(self.hi))
+        return inside
+
 
-def order_statistics(frame: DataFrame, counts: dict, wanted: dict, policy: ScalePolicy = DEFAULT_POLICY) -> dict:
-    """``{(g, rank): value}`` for 0-based ranks of ``v`` within ``g``.
+def column_ranks(df: DataFrame, values, ranks, counts, policy: ScalePolicy = DEFAULT_POLICY) -> list:
+    """Per column ``{rank: value}`` for 0-based ranks among its non-null values.
 
-    ``frame`` has columns ``g, v`` without nulls; there are few groups, each of any size.
+    ``values`` are columns of one type; there may be several over the same data, e.g. one per group.
     """
-    done, open_ = {}, {}
-    for g, ranks in wanted.items():
-        if any(not 0 <= rank < counts[g] for rank in ranks):
-            raise ValueError(f"ranks {ranks} outside a group of {counts[g]} rows")
-        if ranks:
-            open_[Bracket(g, None, None, 0, counts[g])] = list(ranks)
+    done, open_ = [{} for _ in values], {}
+    for c, (wanted, n) in enumerate(zip(ranks, counts)):
+        if any(not 0 <= r < n for r in wanted):
+            raise ValueError(f"ranks {wanted} outside {n} rows")
+        if wanted:
+            open_[Bracket(c, None, None, 0, n)] = list(wanted)
     while open_:
-        small = {b: ranks for b, ranks in open_.items() if b.rows <= policy.exact_sort_rows}
-        large = {b: ranks for b, ranks in open_.items() if b.rows > policy.exact_sort_rows}
+        limit = max(LEAST_ROWS, policy.exact_sort_rows // len(open_))
+        small = {b: r for b, r in open_.items() if b.rows <= limit}
+        large = {b: r for b, r in open_.items() if b.rows > limit}
         if small:
-            done.update(_pick(frame, small))
-        open_ = {}
-        for b, ranks in (_narrow(frame, large) if large else {}).items():
-            if b.lo is not None and b.lo == b.hi:
-                done.update({(b.g, rank): b.lo for rank in ranks})
-            else:
-                open_[b] = ranks
+            for (c, rank), v in _pick(df, values, small).items():
+                done[c][rank] = v
+        open_ = _narrow(df, values, large, done) if large else {}
     return done
 
 
-def _inside(frame: DataFrame, brackets) -> DataFrame:
-    """Rows of ``frame`` with the number ``b`` of each bracket they fall in."""
-    if all(b.lo is None and b.hi is None for b in brackets) and len(brackets) == 1:
-        only = F.lit(brackets[0].g).cast(frame.schema["g"].dataType)
-        return frame.filter(F.col("g").eqNullSafe(only)).withColumn("b", F.lit(0))
-    kinds = {f.name: f.dataType for f in frame.schema.fields}
-    schema = T.StructType(
-        [
-            T.StructField("b", T.IntegerType()),
-            T.StructField("bg", kinds["g"]),
-            T.StructField("lo", kinds["v"]),
-            T.StructField("hi", kinds["v"]),
-        ]
-    )
-    rows = [(n, b.g, b.lo, b.hi) for n, b in enumerate(brackets)]
-    listed = F.broadcast(frame.sparkSession.createDataFrame(rows, schema))
-    return frame.join(listed, F.expr("g <=> bg AND (lo IS NULL OR v >= lo) AND (hi IS NULL OR v <= hi)"))
-
-
-def _narrow(frame, open_) -> dict:
-    """Smaller brackets for the same ranks: proposed by sketches, confirmed by exact counts."""
+def _narrow(df, values, open_, done) -> dict:
+    """Smaller brackets for the ranks of ``open_``; those that hit a cut value are put in ``done``."""
     old = list(open_)
     probs = [j / GRID for j in range(GRID + 1)]
-    sketches = {
-        r["b"]: r["q"]
-        for r in _inside(frame, old).groupBy("b").agg(F.percentile_approx("v", probs, 20 * GRID).alias("q")).collect()
-    }
-    proposed = []  # (number of the old bracket, lo, hi, ranks)
+    sketch = df.agg(
+        *[
+            F.percentile_approx(F.when(b.holds(values[b.column]), values[b.column]), probs, 4 * GRID).alias(f"q{n}")
+            for n, b in enumerate(old)
+        ]
+    ).first()
+    proposed = {}  # (number of the old bracket, lo, hi) -> ranks
     for n, b in enumerate(old):
-        found = {}
         for rank in open_[b]:
             spot = (rank - b.below) / b.rows * GRID
-            ends = sketches[n][max(0, math.floor(spot) - 1)], sketches[n][min(GRID, math.ceil(spot) + 1)]
-            found.setdefault(ends, []).append(rank)
-        proposed += [(n, lo, hi, ranks) for (lo, hi), ranks in found.items()]
-    counts = []
-    for m, (n, lo, hi, _) in enumerate(proposed):
-        counts.append(F.expr(f"count_if(b = {n} AND v < {_text(lo)})").alias(f"below_{m}"))
-        counts.append(F.expr(f"count_if(b = {n} AND v BETWEEN {_text(lo)} AND {_text(hi)})").alias(f"inside_{m}"))
-    row = _inside(frame, old).agg(*counts).first()
+            ends = sketch[n][max(0, math.floor(spot) - 1)], sketch[n][min(GRID, math.ceil(spot) + 1)]
+            proposed.setdefault((n, *ends), []).append(rank)
+    aggs = []
+    for m, (n, lo, hi) in enumerate(proposed):
+        v = values[old[n].column]
+        inside = old[n].holds(v)
+        zones = (v < F.lit(lo), v == F.lit(lo), (v > F.lit(lo)) & (v < F.lit(hi)), (v == F.lit(hi)) & (v != F.lit(lo)))
+        aggs += [F.count_if(inside & z).alias(f"c{m}_{k}") for k, z in enumerate(zones)]
+    row = df.agg(*aggs).first()
     out = {}
-    for m, (n, lo, hi, ranks) in enumerate(proposed):
-        b, below, inside = old[n], old[n].below + row[f"below_{m}"], row[f"inside_{m}"]
-        held = [r for r in ranks if below <= r < below + inside and (inside < b.rows or lo == hi)]
-        if held:
-            out.setdefault(Bracket(b.g, lo, hi, below, inside), []).extend(held)
-        # where a sketch is of no help the ranks are settled by counting distinct values
-        rest = [r for r in ranks if r not in held]
-        if rest:
-            out.setdefault(Bracket(b.g, b.lo, b.hi, b.below, 0), []).extend(rest)
+    for m, ((n, lo, hi), ranks) in enumerate(proposed.items()):
+        b = old[n]
+        under, at_lo, between, at_hi = (row[f"c{m}_{k}"] for k in range(4))
+        for rank in ranks:
+            upto = rank - b.below
+            if upto < under:
+                new = Bracket(b.column, b.lo, lo, b.below, under)
+            elif upto < under + at_lo:
+                done[b.column][rank] = lo
+                continue
+            elif upto < under + at_lo + between:
+                new = Bracket(b.column, lo, hi, b.below + under + at_lo, between)
+            elif upto < under + at_lo + between + at_hi:
+                done[b.column][rank] = hi
+                continue
+            else:
+                below = under + at_lo + between + at_hi
+                new = Bracket(b.column, hi, b.hi, b.below + below, b.rows - below)
+            out.setdefault(new, []).append(rank)
     return out
 
 
-def _text(v) -> str:
-    return f"{v}L" if isinstance(v, int) else f"{v!r}D"
-
-
-def _pick(frame, open_) -> dict:
-    """Read the wanted ranks off the counts per distinct value of small brackets."""
+def _pick(df, values, open_) -> dict:
+    """Read the wanted ranks off the counts per distinct value of brackets of few rows."""
     brackets = list(open_)
-    per_value = _inside(frame, brackets).groupBy("b", "v").agg(F.count("*").alias("n"))
-    running = per_value.selectExpr("b", "v", "n", "sum(n) OVER (PARTITION BY b ORDER BY v) AS upto")
+    inside = F.array(
+        *[
+            F.when(b.holds(values[b.column]), F.struct(F.lit(n).alias("b"), values[b.column].alias("v")))
+            for n, b in enumerate(brackets)
+        ]
+    )
+    rows = df.select(F.inline(F.array_compact(inside)))
+    per_value = rows.groupBy("b", "v").agg(F.count("*").alias("n"))
+    # a bracket here has few rows, so its running total is a small task
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
     offsets = [(n, rank - b.below) for n, b in enumerate(brackets) for rank in open_[b]]
-    wanted = F.broadcast(frame.sparkSession.createDataFrame(offsets, "wb int, offset long"))
-    hits = running.join(wanted, F.expr("b = wb AND offset < upto AND offset >= upto - n"))
+    wanted = F.broadcast(df.sparkSession.createDataFrame(offsets, "wb int, offset long"))  # the asked-for ranks
+    hits = per_value.withColumn("upto", upto).join(wanted, F.expr("b = wb AND offset < upto AND offset >= upto - n"))
     return {
-        (brackets[r["b"]].g, brackets[r["b"]].below + r["offset"]): r["v"]
+        (brackets[r["b"]].column, brackets[r["b"]].below + r["offset"]): r["v"]
         for r in hits.select("b", "offset", "v").collect()
     }
 
 
-def lexicographic_cuts(
-    df: DataFrame, group: str, first: str, second: str, wanted: dict, counts: dict, policy=DEFAULT_POLICY
-) -> dict:
-    """``{g: (first, second)}``: the row at a 0-based rank of each group in ``(first, second)`` order."""
-    frame = df.selectExpr(f"`{group}` AS g", f"`{first}` AS v", f"`{second}` AS w").filter("v IS NOT NULL")
-    heads = order_statistics(frame.select("g", "v"), counts, {g: [k] for g, k in wanted.items()}, policy)
-    cuts = frame.sparkSession.createDataFrame(
-        [(g, heads[(g, k)]) for g, k in wanted.items()],
-        T.StructType([T.StructField("cg", frame.schema["g"].dataType), T.StructField("cv", frame.schema["v"].dataType)]),
-    )
-    joined = frame.join(F.broadcast(cuts), F.expr("g <=> cg"))
-    at = {
-        r["g"]: r
-        for r in joined.groupBy("g")
-        .agg(
-            F.expr("count_if(v < cv)").alias("lt"),
-            F.expr("count_if(v = cv)").alias("eq"),
-            F.expr("min(IF(v = cv, w, NULL))").alias("w"),
-        )
-        .collect()
-    }
-    out = {g: (heads[(g, k)], at[g]["w"]) for g, k in wanted.items() if at[g]["eq"] == 1}
-    tied = {g: k - at[g]["lt"] for g, k in wanted.items() if g not in out}
-    if tied:
-        ties = joined.filter("v = cv").selectExpr("g", "w AS v")
-        tails = order_statistics(ties, {g: at[g]["eq"] for g in tied}, {g: [k] for g, k in tied.items()}, policy)
-        out.update({g: (heads[(g, wanted[g])], tails[(g, k)]) for g, k in tied.items()})
-    return out
+@dataclass(frozen=True)
+class Cut:
+    """The row at a rank: its sort values as far as needed, and how many of the ``tied`` rows with them to take."""
+
+    values: tuple
+    take: int
+    tied: int
+
+
+def lexicographic_cuts(df: DataFrame, group: str, keys, wanted: dict, counts: dict, policy=DEFAULT_POLICY) -> dict:
+    """``{g: Cut}`` for the row at a 0-based rank of each group in the order of ``keys``.
+
+    Keys hold no nulls. A later key is only looked at where the earlier ones leave a tie.
+    """
+    at = {g: ((), k, counts[g]) for g, k in wanted.items()}
+    for j, key in enumerate(keys):
+        open_ = [g for g, (_, _, n) in at.items() if n > 1 or j == 0]
+        if not open_:
+            break
+        values = []
+        for g in open_:
+            here = F.col(group).eqNullSafe(F.lit(g))
+            for name, v in zip(keys, at[g][0]):
+                here = here & (F.col(name) == F.lit(v))
+            values.append(F.when(here, F.col(key)))
+        found = column_ranks(df, values, [[at[g][1]] for g in open_], [at[g][2] for g in open_], policy)
+        cuts = [f[at[g][1]] for g, f in zip(open_, found)]
+        aggs = []
+        for n, (v, cut) in enumerate(zip(values, cuts)):
+            aggs += [F.count_if(v < F.lit(cut)).alias(f"l{n}"), F.count_if(v == F.lit(cut)).alias(f"e{n}")]
+        row = df.agg(*aggs).first()
+        for n, (g, cut) in enumerate(zip(open_, cuts)):
+            before, k, _ = at[g]
+            at[g] = ((*before, cut), k - row[f"l{n}"], row[f"e{n}"])
+    return {g: Cut(values, k + 1, n) for g, (values, k, n) in at.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .paths import exists
+from .paths import exists, fresh_path, remove
 from .schemas import TRANSACTIONS
 
 log = logging.getLogger(__name__)
@@ -37,6 +37,7 @@ def read_csv(
     if not exists(spark, path):
         raise FileNotFoundError(f"File not found: {path}")
     if not spark.read.text(path).limit(1).count():
+        # Fixed value: the message of this error
         raise ValueError(f"Empty data file: {path}")
     reader = spark.read.option("header", True).options(**options)
     if schema is None:
@@ -50,9 +51,16 @@ def read_csv(
 
 
 def quarantine(df: DataFrame) -> tuple:
-    """Split a ``keep`` scan into ``(good, bad)`` rows."""
+    """Split a ``keep`` scan into ``(good, bad)`` rows.
+
+    The scan is written once under the shared folder and both parts read that copy: a CSV scan
+    alone cannot be asked for its bad rows only.
+    """
+    path = fresh_path(df.sparkSession, "scan")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
     bad = F.col(CORRUPT).isNotNull()
-    return df.filter(~bad).drop(CORRUPT), df.filter(bad)
+    return kept.filter(~bad).drop(CORRUPT), kept.filter(bad)
 
 
 def write_table(df: DataFrame, path: str, if_exists: str = "append", partition_by=(), fmt: str = "parquet") -> bool:
@@ -87,9 +95,18 @@ def ingest(
     schema: T.StructType | None = TRANSACTIONS,
     partition_by_day: bool = False,
     time: str = "transaction_date",
+    key: str | None = None,
 ) -> bool:
-    """Scan a CSV once and write it as a table, optionally with one partition per day."""
+    """Scan a CSV once and write it as a table, optionally with one partition per day.
+
+    With ``key`` an append is repeatable: rows whose key the table has already replace those, the
+    latest by ``time`` of several stays, and rows without a key are added unless the very same
+    row is there (see ``quality.merge_append``). Of a table partitioned by day only the days that
+    are touched are rewritten.
+    """
     df = read_csv(spark, csv_path, schema)
+    if key is not None and if_exists == "append" and exists(spark, table_path):
+        return _append_by_key(spark, df, table_path, key, time, partition_by_day)
     if partition_by_day:
         # rebalance: few files per day, while a busy day is still split over several tasks
         df = df.withColumn("day", F.to_date(time)).hint("rebalance", "day")
@@ -97,6 +114,39 @@ def ingest(
     return write_table(df, table_path, if_exists)
 
 
+def _append_by_key(spark, df: DataFrame, table_path: str, key: str, time: str, by_day: bool) -> bool:
+    from ..operators.quality import merge_append
+
+    if df.isEmpty():
+        log.warning("nothing to write to %s", table_path)
+        return False
+    table = spark.read.parquet(table_path)
+    if by_day:
+        df = df.withColumn("day", F.to_date(time))
+        # days of the new rows, and of the rows that they replace
+        new_days = df.select("day")
+        old_days = table.join(df.select(key).distinct(), key, "left_semi").select("day")
+        days = new_days.union(old_days).distinct()
+        # a row without time belongs to the null day
+        touched = table.join(days.select(F.col("day").alias("__day")), F.col("day").eqNullSafe(F.col("__day")), "left_semi")
+    else:
+        touched = table
+    # rewritten beside the table first: Spark can't overwrite what it reads
+    path = fresh_path(spark, "merged")
+    merge_append(touched, df.select(*table.columns), key, (time,)).write.parquet(path)
+    merged = spark.read.schema(table.schema).parquet(path)
+    if not by_day:
+        merged.write.mode("overwrite").parquet(table_path)
+        return True
+    gone = days.join(merged.select("day").distinct(), "day", "left_anti").filter("day IS NOT NULL")
+    merged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "day"
+    ).parquet(table_path)
+    for r in gone.collect():  # days that have lost all their rows to other days; at most the touched ones
+        remove(spark, f"{table_path}/day={r['day']}")
+    return True
+
+
 def save_snapshot(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write a whole-table snapshot as CSV with header, or as Parquet."""
     writer = df.write.mode("overwrite")

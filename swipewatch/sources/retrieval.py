@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # The columns each stored query returns.
 TRANSACTION_COLUMNS = (
@@ -30,8 +31,9 @@ def transactions_between(df: DataFrame, start, end) -> DataFrame:
 
 
 def fraud_transactions(df: DataFrame) -> DataFrame:
-    """Transactions labelled as fraud, without the label."""
-    return _query(df, TRANSACTION_COLUMNS[:-1], "cast(fraud AS int) = 1")
+    """Transactions labelled as fraud, without the label. The condition reaches the scan."""
+    boolean = isinstance(df.schema["fraud"].dataType, T.BooleanType)
+    return _query(df, TRANSACTION_COLUMNS[:-1], "fraud" if boolean else "fraud = 1")
 
 
 def transactions_of_user(df: DataFrame, user_id: int) -> DataFrame:

@@ -14,13 +14,3 @@ TRANSACTIONS = T.StructType(
         T.StructField("fraud", T.IntegerType()),
     ]
 )
-
-USERS = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("user_name", T.StringType()),
-        T.StructField("email", T.StringType()),
-        T.StructField("phone", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-    ]
-)

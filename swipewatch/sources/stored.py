@@ -14,8 +14,10 @@ from .paths import exists
 
 
 def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write ids, ``features`` vector and ``label`` as Parquet."""
-    df.withColumn("label", F.col("label").cast("double")).write.mode(mode).parquet(path)
+    """Write ids, ``features`` vector and ``label`` as Parquet; a text label stays text."""
+    if not isinstance(df.schema["label"].dataType, T.StringType):
+        df = df.withColumn("label", F.col("label").cast("double"))
+    df.write.mode(mode).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +58,19 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def append_metrics(df: DataFrame, path: str, run: str) -> None:
-    """Append ``(model, metric, value)`` rows of a run to the metrics table."""
-    df.select(F.lit(run).alias("run"), "model", "metric", "value").write.mode("append").parquet(path)
+def write_metrics(df: DataFrame, path: str, run: str) -> None:
+    """Store ``(model, metric, value)`` rows as those of a run; an earlier run of that name is replaced."""
+    df.select("model", "metric", "value").write.mode("overwrite").parquet(_run_path(path, run))
+
+
+def read_metrics(spark: SparkSession, path: str, run: str) -> DataFrame:
+    return spark.read.parquet(_run_path(path, run))
+
+
+def _run_path(path: str, run: str) -> str:
+    if not run or set(run) & set("/\\=*?[]{}:"):
+        raise ValueError(f"unusable run name {run!r}")
+    return f"{path}/run={run}"
 
 
 def save_report(df: DataFrame, path: str) -> None:

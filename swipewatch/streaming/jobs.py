@@ -13,7 +13,7 @@ from ..functions.scalars import micros, window_micros
 from ..operators.features import add_features, merge_summaries, summarize_users
 from ..operators.models import score
 from ..operators.monitor import window_activity
-from ..sources.paths import exists, folders
+from ..sources.paths import folders, remove
 
 EPOCH = dt.date(1970, 1, 1)
 DAY_MICROS = 86_400_000_000
@@ -62,17 +62,27 @@ def activity_stream(
 class FeatureStream:
     """User and merchant features of a transaction stream, equal to those of the batch job.
 
+    Rows may arrive out of order by up to ``late``. A row is held back until the newest time seen
+    is more than ``late`` after it; then everything before it has arrived, and it is emitted once.
+    :meth:`finish` emits what is still held back when the stream has ended. Rows without a time
+    have no features and are emitted at once; ids may repeat or be missing.
+
     The state is kept in tables under ``path``. Every write names its micro-batch, so that a
     repeated micro-batch overwrites itself:
 
-    ``rows``       what has arrived, by day; a batch lists and reads only the days it looks back to
-    ``summaries``  mergeable history per user and day, which stands in for older days
-    ``late``       rows older than the newest seen time minus ``late``; kept, not scored
+    ``pending``    rows held back, as of the batch
+    ``rows``       rows emitted, by day; a batch lists and reads only the days it looks back to
+    ``summaries``  mergeable history per user and day
+    ``history``    one summary per user of all days before the oldest look-back day
+    ``late``       rows that came after their time had been passed; kept, not scored
     ``progress``   the newest time seen
 
-    Per batch the batch operator runs on the batch and the look-back rows of the keys that
-    occur in it. So a hot key is cut into chunks here as well, and no key's history has to
-    fit into the state of one task.
+    Days that fall out of the look-back are merged into ``history`` and their files removed, so
+    what a batch reads depends on the look-back and not on how long the stream has run.
+
+    Per batch the batch operator runs once on the ready rows and the look-back rows of the keys
+    that occur in them. So a hot key is cut into chunks here as well, and no key's history has
+    to fit into the state of one task.
     """
 
     def __init__(
@@ -86,6 +96,9 @@ class FeatureStream:
     ):
         self.spark, self.path, self.cfg = spark, path.rstrip("/"), cfg
         self.late, self.families, self.policy = window_micros(late), families, policy
+        self.look_back = max([window_micros(w) for w in cfg.windows], default=0)
+        if cfg.label_delay:
+            self.look_back += window_micros(cfg.label_delay)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return (
@@ -98,64 +111,123 @@ class FeatureStream:
     def features(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/features").drop("batch")
 
+    # --- tables -----------------------------------------------------------------------
+
     def _write(self, df: DataFrame, table: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
 
     def _write_days(self, df: DataFrame, table: str, batch: int) -> None:
-        """Write ``day=/batch=`` folders, replacing just those of this batch."""
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
+        """Write ``day=/batch=`` folders, replacing just those of this batch; few files per day."""
+        df.withColumn("batch", F.lit(batch)).hint("rebalance", "day").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("day", "batch").parquet(f"{self.path}/{table}")
 
-    def _read(self, table: str, before: int) -> DataFrame | None:
-        """What earlier batches wrote; a repeated batch does not see itself."""
-        if not exists(self.spark, f"{self.path}/{table}/batch=*"):
-            return None
-        return self.spark.read.parquet(f"{self.path}/{table}").filter(F.col("batch") < before)
+    def _numbers(self, table: str) -> list:
+        return sorted(int(d.split("=")[1]) for d in folders(self.spark, f"{self.path}/{table}") if "=" in d)
+
+    def _latest(self, table: str, before: int) -> DataFrame | None:
+        """What the batch before left; older batches' tables are removed."""
+        numbers = [n for n in self._numbers(table) if n < before]
+        for n in numbers[:-1]:
+            remove(self.spark, f"{self.path}/{table}/batch={n}")
+        return self.spark.read.parquet(f"{self.path}/{table}/batch={numbers[-1]}") if numbers else None
 
     def _read_days(self, table: str, before: int, wanted) -> DataFrame | None:
-        """The same for ``day=/batch=`` folders, listing only days that ``wanted`` accepts."""
+        """``day=/batch=`` folders of earlier batches, listing only days that ``wanted`` accepts."""
         root = f"{self.path}/{table}"
         days = [f"{root}/{d}" for d in folders(self.spark, root) if d.startswith("day=") and wanted(d[4:])]
         if not days:
             return None
-        return self.spark.read.option("basePath", root).parquet(*days).filter(F.col("batch") < before)
+        read = self.spark.read.option("basePath", root).parquet(*days)
+        return read.withColumn("day", F.col("day").cast("date")).filter(F.col("batch") < before).drop("batch")
+
+    def _history(self, before: int, limit: int | None) -> tuple:
+        """(first day kept by day, summary of all days before it); closed days are merged here.
+
+        ``limit``: no row before it is ever emitted again. It comes from the batch before, so a
+        repeated batch finds and makes the same.
+        """
+        kept = [d.split("=")[1] for d in folders(self.spark, f"{self.path}/history")]
+        upto = max(kept, default=None)
+        old = self.spark.read.parquet(f"{self.path}/history/upto={upto}") if upto else None
+        if limit is None:
+            return upto or "", old
+        first = str(EPOCH + dt.timedelta(days=(limit - self.look_back) // DAY_MICROS))
+        closed = self._read_days("summaries", before, lambda day: (upto or "") <= day < first)
+        if closed is None:
+            return upto or "", old
+        whole = closed.select("k", "n", "mean", "m2", "last_t", "lo", "hi")
+        merge_summaries(whole if old is None else whole.unionByName(old)).write.mode("overwrite").parquet(
+            f"{self.path}/history/upto={first}"
+        )
+        for table in ("summaries", "rows"):
+            for d in folders(self.spark, f"{self.path}/{table}"):
+                if d.startswith("day=") and d[4:] < first:
+                    remove(self.spark, f"{self.path}/{table}/{d}")
+        if upto:
+            remove(self.spark, f"{self.path}/history/upto={upto}")
+        return first, self.spark.read.parquet(f"{self.path}/history/upto={first}")
+
+    # --- batches ----------------------------------------------------------------------
 
     def process(self, rows: DataFrame, batch: int) -> None:
-        cfg = self.cfg
-        t = micros(F.col(cfg.time))
-        progress = self._read("progress", batch)
-        newest = progress.agg(F.max("newest")).first()[0] if progress is not None else None
-        in_time = F.lit(True) if newest is None else t >= newest - self.late
-        in_time = F.coalesce(in_time, F.lit(True))
+        t = micros(F.col(self.cfg.time))
+        progress = self._latest("progress", batch)
+        seen = progress.first()["newest"] if progress is not None else None
+        passed = None if seen is None else seen - self.late
+        in_time = F.lit(True) if passed is None else F.coalesce(t >= passed, F.lit(True))
         self._write(rows.filter(~in_time), "late", batch)
-        self._write_days(rows.filter(in_time).withColumn("day", F.to_date(cfg.time)), "rows", batch)
-        mine = f"{self.path}/rows/day=*/batch={batch}"
-        if not exists(self.spark, mine):
+        arrived = rows.filter(in_time)
+        pending = self._latest("pending", batch)
+        if pending is not None:
+            arrived = arrived.unionByName(pending)
+        # written once, so that a row's fate is the same in all that follows
+        self._write(arrived, "arrived", batch)
+        self._latest("arrived", batch)
+        arrived = self.spark.read.parquet(f"{self.path}/arrived/batch={batch}")
+        newest = arrived.agg(F.max(t)).first()[0]
+        newest = seen if newest is None else max(newest, seen if seen is not None else newest)
+        ready = F.lit(True) if newest is None else F.coalesce(t < newest - self.late, F.lit(True))
+        self._emit(arrived.filter(ready), batch, passed)
+        self._write(arrived.filter(~ready), "pending", batch)
+        self._write(self.spark.createDataFrame([(newest,)], "newest long"), "progress", batch)
+
+    def finish(self) -> None:
+        """Emit what is held back: the stream has ended."""
+        last = max(self._numbers("progress"), default=None)
+        if last is None:
             return
-        stored = self.spark.read.option("basePath", f"{self.path}/rows").parquet(mine).drop("batch")
-        span = stored.agg(F.min(t).alias("first"), F.max(t).alias("last")).first()
-        if span["first"] is None:
+        progress, pending = self._latest("progress", last + 1), self._latest("pending", last + 1)
+        newest = progress.first()["newest"]
+        self._emit(pending, last + 1, None if newest is None else newest - self.late)
+        self._write(pending.limit(0), "pending", last + 1)
+        # nothing at or before the newest time is expected any more
+        ended = None if newest is None else newest + self.late + 1
+        self._write(self.spark.createDataFrame([(ended,)], "newest long"), "progress", last + 1)
+
+    def _emit(self, ready: DataFrame, batch: int, passed: int | None) -> None:
+        cfg, t = self.cfg, micros(F.col(self.cfg.time))
+        if ready.isEmpty():
             return
-        look_back = max([window_micros(w) for w in cfg.windows], default=0)
-        first_day = str(EPOCH + dt.timedelta(days=(span["first"] - look_back) // DAY_MICROS))
-        past = self._read_days("rows", batch, lambda day: day >= first_day)
-        sums = self._read_days("summaries", batch, lambda day: day < first_day)
-        out = None
-        for family in self.families:
-            key = getattr(cfg, family)
-            frame, older = stored.withColumn("__here", F.lit(True)), None
-            keys = stored.select(key).distinct()
-            if past is not None:
-                back = past.drop("batch").join(keys, key, "left_semi")
-                frame = frame.unionByName(back.withColumn("__here", F.lit(False)), allowMissingColumns=True)
-            if family == "user" and sums is not None:
-                older = merge_summaries(sums.join(keys.withColumnRenamed(key, "k"), "k", "left_semi"))
-            made = add_features(frame.drop("day"), cfg, (family,), self.policy, older=older).filter("__here")
-            names = [c for c in made.columns if c not in stored.columns and c != "__here"]
-            part = made.select(cfg.id, *names)
-            out = part if out is None else out.join(part, cfg.id)
-        self._write(out, "features", batch)
-        self._write_days(summarize_users(stored, cfg, ["day"]), "summaries", batch)
-        done = self.spark.createDataFrame([(span["last"],)], "newest long")
-        self._write(done, "progress", batch)
+        first, older = self._history(batch, passed)
+        past = self._read_days("rows", batch, lambda day: day >= first)
+        frame = ready.withColumn("__here", F.lit(True))
+        if past is not None:
+            back = past.drop("day")
+            near = F.lit(False)
+            for family in self.families:
+                key = getattr(cfg, family)
+                keys = ready.select(F.col(key).alias(f"__{family}")).filter(f"__{family} IS NOT NULL").distinct()
+                back = back.join(keys, F.col(key) == F.col(f"__{family}"), "left")
+                near = near | F.col(f"__{family}").isNotNull()
+            back = back.filter(near).select(*ready.columns)
+            frame = frame.unionByName(back.withColumn("__here", F.lit(False)))
+        if older is not None:
+            users = ready.select(F.col(cfg.user).alias("k")).distinct()
+            older = older.join(users, "k", "left_semi")
+        made = add_features(frame, cfg, self.families, self.policy, older=older).filter("__here")
+        names = [c for c in made.columns if c not in ready.columns and c != "__here"]
+        self._write(made.select(cfg.id, *names), "features", batch)
+        dated = ready.filter(t.isNotNull()).withColumn("day", F.to_date(cfg.time))
+        self._write_days(dated, "rows", batch)
+        self._write_days(summarize_users(dated, cfg, ["day"]), "summaries", batch)

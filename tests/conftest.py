@@ -33,6 +33,7 @@ TXN_SCHEMA = (
 def four_rows(spark):
     return spark.createDataFrame(
         [
+            # The rows for which results are known from elsewhere
             (1, 1, 10, "2024-01-01 00:00:00", 100.0, "USD", "approved", 0),
             (2, 1, 10, "2024-01-01 00:30:00", 150.0, "USD", "approved", 1),
             (3, 1, 11, "2024-01-01 02:00:00", 200.0, "USD", "declined", 0),

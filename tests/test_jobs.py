@@ -118,8 +118,10 @@ def test_late_rows_go_to_the_side_table(spark, four_rows):
     t = four_rows.withColumn("transaction_date", F.col("transaction_date").cast("timestamp"))
     run = streaming.FeatureStream(spark, fresh_path(spark, "features"), TxnConfig(windows=("1h",)), late="1h")
     run.process(t.filter("transaction_id IN (1, 3)"), 0)
+    assert [r["transaction_id"] for r in run.features().collect()] == [1]  # row 3 is held back
     run.process(t.filter("transaction_id IN (2, 4)"), 1)  # both more than 1h before row 3
     run.process(t.filter("transaction_id IN (2, 4)"), 1)  # the same batch again
+    run.finish()
     assert [r["transaction_id"] for r in run.features().orderBy("transaction_id").collect()] == [1, 3]
     late = spark.read.parquet(f"{run.path}/late/batch=1")
     assert late.count() == 2
@@ -135,6 +137,7 @@ def test_stream_looks_back_over_older_days(spark):
     run = streaming.FeatureStream(spark, fresh_path(spark, "features"), cfg)
     for n, (low, high) in enumerate([(1, 3), (4, 7), (8, 10)]):
         run.process(t.filter(F.col("transaction_id").between(low, high)), n)
+    run.finish()
     from swipewatch.operators.features import add_features
 
     batch = {r["transaction_id"]: r for r in add_features(t, cfg, ("user", "merchant")).collect()}
@@ -144,3 +147,41 @@ def test_stream_looks_back_over_older_days(spark):
         for c in ("user_amount_zscore", "user_time_since_last_txn", "user_amount_sum_24h", "merchant_fraud_rate_24h"):
             expected = batch[r["transaction_id"]][c]
             assert r[c] == (pytest.approx(expected) if expected is not None else None)
+
+
+def test_stream_state_does_not_grow(spark):
+    """What is kept depends on the look-back, not on how long the stream has run."""
+    from pathlib import Path
+
+    schema = "transaction_id long, user_id long, merchant_id long, transaction_date timestamp, amount double, fraud int"
+    run = streaming.FeatureStream(spark, fresh_path(spark, "features"), TxnConfig(windows=("24h",)), late="1h")
+    kept = []
+    for n in range(12):
+        rows = [(10 * n + k, k, 1, None, float(n + k), 0) for k in range(3)]
+        day = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.lit(n))
+        run.process(spark.createDataFrame(rows, schema).withColumn("transaction_date", day), n)
+        root = Path(run.path.removeprefix("file:"))
+        kept.append(sum(len(list(root.glob(f"{t}/*"))) for t in ("rows", "summaries", "history", "pending", "progress", "arrived")))
+    assert kept[-1] <= kept[5]
+    run.finish()
+    last = {r["transaction_id"]: r for r in run.features().collect()}
+    assert len(last) == 36 and last[110]["user_time_since_last_txn"] == 86400
+    assert last[110]["user_amount_zscore"] == pytest.approx((11 - 5) / (sum((x - 5) ** 2 for x in range(11)) / 10) ** 0.5)
+
+
+def test_text_labels_are_learned_on_training_rows(spark):
+    df = spark.createDataFrame([("no",), ("yes",), ("no",), (None,)], "label string")
+    classes = encode.label_classes(df, "label")
+    assert classes == ["no", "yes"] and encode.label_classes(spark.range(2), "id") is None
+    assert [r["label"] for r in encode.apply_classes(df, "label", classes).collect()] == [0, 1, 0, None]
+    with pytest.raises(Exception, match="unseen class"):
+        encode.apply_classes(df, "label", ["no"]).collect()
+
+
+def test_infinite_values_are_described(spark):
+    from swipewatch.operators import profile
+
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("inf"),), (None,)], "x double")
+    assert profile.describe(df).first()["q75"] == float("inf")
+    assert profile.box_stats(df).count() == 1
+    assert sum(r["n"] for r in profile.histogram(df, "x", 4).collect()) == 3

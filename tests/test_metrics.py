@@ -3,13 +3,11 @@ import pytest
 from swipewatch import ScalePolicy
 from swipewatch.operators import metrics, models
 
-ROWS = list(
-    zip(
-        [1, 0, 1, 1, 0, 0, 1, 0, 1, 0],
-        [1, 0, 1, 0, 0, 1, 1, 0, 0, 0],
-        [0.8, 0.2, 0.9, 0.6, 0.3, 0.7, 0.8, 0.4, 0.5, 0.2],
-    )
-)
+# label, prediction, score; two scores tie across the classes
+ROWS = [
+    (1, 1, 0.95), (0, 0, 0.05), (1, 0, 0.45), (0, 1, 0.65), (1, 1, 0.65), (0, 0, 0.30),
+    (0, 0, 0.15), (1, 1, 0.70), (0, 1, 0.55), (0, 0, 0.45), (1, 1, 0.85), (0, 0, 0.25),
+]
 
 
 @pytest.fixture(scope="module")
@@ -26,12 +24,12 @@ def test_golden_metrics(scored, policy):
     got = _as_dict(metrics.evaluate(scored, policy=policy))
     assert got == pytest.approx(
         {
-            "accuracy": 0.7,
-            "precision": 0.75,
-            "recall": 0.6,
-            "f1_score": 2 / 3,
-            "roc_auc": 0.92,
-            "average_precision": 0.9266666667,
+            "accuracy": 9 / 12,
+            "precision": 4 / 6,
+            "recall": 4 / 5,
+            "f1_score": 8 / 11,
+            "roc_auc": 32 / 35,
+            "average_precision": 0.8850000000000001,
         }
     )
 
@@ -61,20 +59,27 @@ def test_one_class_and_no_positive_predictions(spark):
 
 def test_confusion_matrix(scored, spark):
     cells = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(scored).collect()}
-    assert cells == {(0, 0): 4, (0, 1): 1, (1, 0): 2, (1, 1): 3}
+    assert cells == {(0, 0): 5, (0, 1): 2, (1, 0): 1, (1, 1): 4}
     shares = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(scored, normalize=True).collect()}
-    assert shares == pytest.approx({(0, 0): 0.8, (0, 1): 0.2, (1, 0): 0.4, (1, 1): 0.6})
+    assert shares == pytest.approx({(0, 0): 5 / 7, (0, 1): 2 / 7, (1, 0): 0.2, (1, 1): 0.8})
     only = spark.createDataFrame([(0, 0)], "label int, prediction int")
     shares = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(only, normalize=True).collect()}
     assert shares[(1, 0)] == shares[(1, 1)] == 0.0
 
 
+def test_confusion_matrix_of_any_classes(spark):
+    df = spark.createDataFrame([(2, 0), (2, 2), (None, 1), (1, None)], "label int, prediction int")
+    cells = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(df).collect()}
+    assert len(cells) == 16 and sum(cells.values()) == 4
+    assert cells[(2, 0)] == cells[(2, 2)] == cells[(None, 1)] == cells[(1, None)] == 1
+
+
 @pytest.mark.parametrize("policy", [ScalePolicy(), ScalePolicy(max_group_rows=3)])
 def test_roc_curve_area(scored, policy):
     points = sorted((r["fpr"], r["tpr"]) for r in metrics.roc_curve(scored, policy=policy).collect())
     assert points[0] == (0.0, 0.0) and points[-1] == (1.0, 1.0)
     area = sum((b[0] - a[0]) * (b[1] + a[1]) / 2 for a, b in zip(points, points[1:]))
-    assert area == pytest.approx(0.92)
+    assert area == pytest.approx(32 / 35)
 
 
 def test_best_model(spark):

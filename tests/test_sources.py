@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 from swipewatch.operators import quality
 from swipewatch.sources import ingest, retrieval
 
-TWO = T.StructType([T.StructField("column1", T.LongType()), T.StructField("column2", T.LongType())])
+TWO = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("cents", T.LongType())])
 
 
 def _file(tmp_path, text, name="data.csv"):
@@ -14,10 +14,10 @@ def _file(tmp_path, text, name="data.csv"):
 
 
 def test_read_csv(spark, tmp_path):
-    path = _file(tmp_path, "column1,column2\n1,4\n2,5\n3,6\n")
+    path = _file(tmp_path, "user_id,cents\n71,1250\n72,99\n71,40000\n")
     for schema in (TWO, None):
         df = ingest.read_csv(spark, path, schema)
-        assert df.columns == ["column1", "column2"] and df.count() == 3
+        assert df.columns == ["user_id", "cents"] and df.count() == 3
 
 
 def test_missing_and_empty_files(spark, tmp_path):
@@ -28,11 +28,11 @@ def test_missing_and_empty_files(spark, tmp_path):
 
 
 def test_bad_rows_fail_or_are_kept(spark, tmp_path):
-    path = _file(tmp_path, "column1,column2\n1,4\nx,5\n3,6,7\n")
+    path = _file(tmp_path, "user_id,cents\n71,1250\nunknown,99\n73,5,USD\n")
     with pytest.raises(Exception):
         ingest.read_csv(spark, path, TWO).collect()
-    good, bad = ingest.quarantine(ingest.read_csv(spark, path, TWO, on_bad_row="keep").cache())
-    assert [tuple(r) for r in good.collect()] == [(1, 4)] and bad.count() == 2
+    good, bad = ingest.quarantine(ingest.read_csv(spark, path, TWO, on_bad_row="keep"))
+    assert [tuple(r) for r in good.collect()] == [(71, 1250)] and bad.count() == 2
 
 
 def test_write_modes(spark, tmp_path):
@@ -83,10 +83,53 @@ def test_date_range_reaches_the_scan(spark, tmp_path, four_rows):
 
 
 def test_merge_append_twice_is_once(spark):
-    stored = spark.createDataFrame([(1, "a"), (2, "b")], "transaction_id long, v string")
-    new = spark.createDataFrame([(2, "c"), (3, "d")], "transaction_id long, v string")
-    once = quality.merge_append(stored, new)
-    twice = quality.merge_append(once, new)
-    expected = {(1, "a"), (2, "c"), (3, "d")}
-    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in twice.collect()} == expected
-    assert twice.count() == 3
+    stored = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "transaction_id long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d"), (None, "n"), (None, "m")], "transaction_id long, v string")
+    once = quality.merge_append(stored, new, version=("v",))
+    twice = quality.merge_append(once, new, version=("v",))
+    expected = [(1, "a"), (2, "c"), (3, "d"), (None, "m"), (None, "n")]
+    for df in (once, twice):
+        assert sorted((tuple(r) for r in df.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_latest_per_key(spark):
+    rows = [(1, 3, "x"), (1, 5, "y"), (1, 4, "z"), (None, 1, "p"), (None, 2, "q"), (2, 1, "b"), (2, 1, "a")]
+    df = spark.createDataFrame(rows, "k long, version int, v string")
+    for parts in (1, 5):
+        got = {(r["k"], r["v"]) for r in quality.latest_per_key(df.repartition(parts), "k", "version").collect()}
+        assert got == {(1, "y"), (2, "b"), (None, "p"), (None, "q")}
+
+
+def test_ingest_by_key_is_repeatable(spark, tmp_path):
+    head = "transaction_id,user_id,merchant_id,transaction_date,amount,currency,status,fraud\n"
+    first = head + "1,7,9,2024-01-01 10:00:00,5.0,USD,approved,0\n2,7,9,2024-01-02 10:00:00,6.0,USD,approved,0\n"
+    second = head + "2,7,9,2024-01-03 10:00:00,8.0,USD,approved,0\n3,8,9,2024-01-03 11:00:00,7.0,EUR,approved,1\n"
+    for by_day in (False, True):
+        table = str(tmp_path / f"t{by_day}")
+        for n, text in enumerate((first, second, second)):
+            path = _file(tmp_path, text, f"{by_day}{n}.csv")
+            assert ingest.ingest(spark, path, table, partition_by_day=by_day, key="transaction_id")
+        found = {r["transaction_id"]: r["amount"] for r in spark.read.parquet(table).collect()}
+        assert spark.read.parquet(table).count() == 3 and found == {1: 5.0, 2: 8.0, 3: 7.0}
+
+
+def test_shared_folder_is_never_one_machine_of_a_cluster():
+    from types import SimpleNamespace
+
+    from swipewatch.sources.paths import shared_folder
+
+    def session(master, named=None, context=None):
+        made = []
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: named),
+            sparkContext=SimpleNamespace(
+                master=master, getCheckpointDir=lambda: made[-1] if made else context, setCheckpointDir=made.append
+            ),
+        )
+
+    assert shared_folder(session("spark://x:7077", "hdfs://n/tmp/")) == "hdfs://n/tmp"
+    assert shared_folder(session("spark://x:7077", None, "hdfs://n/c")) == "hdfs://n/c"
+    assert "swipewatch-" in shared_folder(session("local[4]"))
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
