@@ -38,7 +38,7 @@ def text_batches(df: DataFrame) -> DataFrame:
     session's; a smaller one stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = re.fullmatch(r"(\d+)b?", conf.get(key, "") or "")
+    found = re.fullmatch(r"(\d+)b?", conf.get(key, None) or "")
     if not found or int(found[1]) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
