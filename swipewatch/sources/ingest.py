@@ -138,12 +138,14 @@ def _append_by_key(spark, df: DataFrame, table_path: str, key: str, time: str, b
     if not by_day:
         merged.write.mode("overwrite").parquet(table_path)
         return True
+    # days that have lost all their rows to other days; found before any file of the table changes
     gone = days.join(merged.select("day").distinct(), "day", "left_anti").filter("day IS NOT NULL")
+    gone = [r["day"] for r in gone.collect()]  # at most the touched days
     merged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "day"
     ).parquet(table_path)
-    for r in gone.collect():  # days that have lost all their rows to other days; at most the touched ones
-        remove(spark, f"{table_path}/day={r['day']}")
+    for day in gone:
+        remove(spark, f"{table_path}/day={day}")
     return True
 
 
