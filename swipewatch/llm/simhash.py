@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swipewatch.llm import near_copies
 from swipewatch.llm.shared import fresh_name, small, stored, text_batches, whole_text
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -143,11 +144,25 @@ def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text", width:
     )
 
 
-def drop_near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def drop_near_copies(
+    docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
 
+    Near copies are not those of ``near_groups``: their sets of ``width``-word shingles have a Jaccard
+    similarity of at least ``similarity``, and groups are the components of such pairs.
     Rows that share that id (which exact deduplication removes) all stay; so do rows without id.
     """
-    gone = near_groups(docs, id_, text, width).where(F.col(id_) != F.col("component_id"))
-    gone = small(stored(gone.select(F.col(id_).alias(name := fresh_name(docs, "gone_id"))).distinct(), "gone"))
+    made = near_copies.sketches(docs, id_, text, width)
+    met = near_copies.meetings(made)
+    pairs = near_copies.proposed(met, similarity)
+    edges = near_copies.verified(docs, made, pairs, id_, text, width, similarity)
+    roots = stored(components(edges), "roots")
+    more = near_copies.across(met, roots, pairs, similarity)
+    if more.limit(1).count():
+        roots = stored(components(edges.union(near_copies.verified(docs, made, more, id_, text, width, similarity))), "roots")
+    grouped = stored(made.select("id", "mark", "print").join(roots.withColumnRenamed("node", "print"), "print"), "grouped")
+    lowest = grouped.groupBy("root").agg(F.min("id").alias("low"))
+    gone = grouped.join(lowest, "root").where("id != low")
+    gone = small(stored(gone.select(F.col("id").alias(name := fresh_name(docs, "gone_id"))).distinct(), "gone"))
     return docs.join(gone, docs[id_] == gone[name], "left_anti")

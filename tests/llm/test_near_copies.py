@@ -1,0 +1,61 @@
+"""The pipeline's near copies against brute-force Jaccard of 5-word shingles."""
+
+import random
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from swipewatch.llm import exact_dedup, simhash
+from swipewatch.llm.shared import stored
+
+
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _kept(rows):
+    """Smallest ids of the components of pairs with similarity 0.8, each pair that shares a rare shingle compared."""
+    sets = {d: _shingles(t) for d, t in rows}
+    common = Counter(x for s in sets.values() for x in s)
+    met, parent = defaultdict(list), {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d in sorted(sets):
+        s = sets[d]
+        # one of these is in any set that is so similar
+        rare = sorted(s, key=lambda x: (common[x], x))[: len(s) - -(-8 * len(s) // 10) + 1]
+        for e in {e for x in rare for e in met[x]}:
+            if 5 * len(s & sets[e]) >= 4 * len(s | sets[e]):
+                a, b = sorted((root(d), root(e)))
+                parent[b] = a
+        for x in rare:
+            met[x].append(d)
+    return {d for d in sets if root(d) == d}
+
+
+def test_stage_against_brute_force(spark):
+    """48 pairs of sf0.1 are near copies; only one of them lies within two bits of fingerprint."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = stored(exact_dedup.drop_copies(docs), "distinct")
+    want = _kept([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    found = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, None).select("doc_id").collect()}
+    assert found == want and len(found) < docs.count()
+
+
+def test_large_group(spark):
+    """Many copies of one text, each with words of its own changed, and texts that share half with it."""
+    dice = random.Random(4)
+    base = [f"w{dice.randint(0, 9999)}" for _ in range(150)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in dice.sample(range(150), dice.randint(0, 4)):
+            words[at] = f"x{dice.randint(0, 10**9)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(base[:75] + [f"y{dice.randint(0, 10**9)}" for _ in range(75)])) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == _kept(rows)
