@@ -47,7 +47,12 @@ class LanguagePolicy:
 
 
 _SKIP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})")
+# Comments, scripts, styles and everything else before the first html tag are passed over once, from left to
+# right; one that is not closed reaches to the end.
+_BEFORE = re.compile(rb"(?is)<!--|<(?:(script|style)\b|html(?=[\s/>]))")
+_CLOSED = {b"script": re.compile(rb"(?i)</script\b"), b"style": re.compile(rb"(?i)</style\b"), None: re.compile(rb"-->")}
+_ATTRIBUTE = re.compile(rb"""[\s/]*+([^\s=>/]++|=)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+""")
+_CODE = re.compile(rb"\s*([A-Za-z]{2,3})")
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -57,6 +62,28 @@ def visible(page: bytes) -> bytes:
     return entities.unescape(text.decode("utf-8", "replace")).encode() if b"&" in text else text
 
 
+def declared_language(page: bytes) -> str:
+    """What the first html tag outside comments, scripts and styles declares, in lower case; empty if nothing.
+
+    ``xml:lang`` counts where there is no ``lang``.
+    """
+    at = 0
+    while m := _BEFORE.search(page, at):
+        if m[0][1:].lower() == b"html":
+            at, said = m.end(), {}
+            while a := _ATTRIBUTE.match(page, at):
+                if a[1].lower() in (b"lang", b"xml:lang"):
+                    code = _CODE.match((a[2] or b"").strip(b"\"'"))
+                    said.setdefault(a[1].lower(), code[1].decode().lower() if code else "")
+                at = a.end()
+            return said.get(b"lang") or said.get(b"xml:lang", "")
+        end = _CLOSED[m[1] and m[1].lower()].search(page, m.end())
+        if not end:
+            return ""
+        at = end.end()
+    return ""
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Cells of the byte trigrams of the lower-cased letters, words one space apart."""
     b = np.frombuffer(b" ".join(text.translate(_LETTERS).split()), np.uint8).astype(np.uint32)
@@ -139,8 +166,7 @@ def identified(
             for i, (u, page) in enumerate(zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist())):
                 cells = trigrams(visible(page))
                 own[i] = logs[cells].sum(0) * p.temper * min(1.0, p.most_text / max(1, len(cells)))
-                m = _DECLARED.search(page[:4096])
-                declared.append(m[1].decode().lower() if m else "")
+                declared.append(declared_language(page))
                 where.append(_address(u))
             ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k)
             own -= own.max(1, keepdims=True) if len(own) else 0
