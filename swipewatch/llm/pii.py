@@ -5,10 +5,11 @@
 2. Each candidate is described by its format (digits, groups, marks, checksums) and its context (the
    characters and telling words around it).
 3. Boosted trees learn which candidates are personal data. Base candidates teach by the rules that
-   must hold for them; wide ones count as right where they overlap a base span of their kind that
-   holds. The fit uses at most ``fit_rows`` candidates, those with the smallest hashes; scoring uses
-   all.
-4. On other candidates (another third of the hashes) a threshold per kind is calibrated: the lowest
+   must hold for them; wide ones are right where they overlap a base span of their kind that holds, or
+   where the rules of their kind say so after undoing (at), (dot), marks and 00 (``_evidence``); wrong
+   where these rules break; without evidence either way they teach nothing. The fit uses at most
+   ``fit_rows`` candidates, those with the smallest hashes; scoring uses all.
+4. On other wide candidates (another third of the hashes) a threshold per kind is calibrated: the lowest
    score above which the share of right ones is at least ``precision``. Wide candidates above it that
    touch no base span are added; of overlapping ones the one that begins first stays. Base spans that
    hold always stay.
@@ -52,6 +53,17 @@ TELLING = (
     r"(?i)(?:mail|write|contact|call|phone|tel|fax|mobile|card|visa|account|pay|ip|host|server|addr)[^\s]{0,8}"
     r"\s{0,3}(?:\+[0-9]{1,3}[\s.-]?)?$"
 )
+# The same for each kind by itself, with a few small words in between.
+_WORDS = {
+    "email": "e-?mail|mail|write|contact|reach",
+    "ip": "ip|host|server|addr|address",
+    "card": "card|visa|mastercard|amex|account|pay|paid",
+    "phone": "call|phone|tel|telephone|fax|mobile|cell|contact|dial|reach",
+}
+TELLING_KIND = {
+    k: rf"(?i)\b(?:{w})s?\b[.:=#]?(?:\s+(?:me|us|at|on|to|is|no|nr|number|under)\b[.:]?){{0,3}}\s{{0,3}}(?:\+[0-9]{{1,3}}[\s.-]?)?$"
+    for k, w in _WORDS.items()
+}
 AROUND = 24  # characters of context on either side
 
 
@@ -103,6 +115,35 @@ def _picked(values: dict, default) -> Column:
     return out
 
 
+def _told() -> Column:
+    """Whether a word of the candidate's own kind stands before it."""
+    return _picked({k: F.regexp_like("before", F.lit(r)) for k, r in TELLING_KIND.items()}, False)
+
+
+def _evidence() -> Column:
+    """Label of a wide candidate by the rules of its kind alone: 1, 0, or null without evidence."""
+    told, h, digits = _told(), F.col("hit"), F.col("digits")
+    solid = F.regexp_like("before", F.lit(r"[A-Za-z0-9._/=+-]$")) | F.regexp_like("after", F.lit(r"^[A-Za-z0-9_/=-]"))
+    undone = F.regexp_replace(F.regexp_replace(h, r" ?[(\[]at[)\]] ?| ?@ ?", "@"), r" ?[(\[]dot[)\]] ?", ".")
+    mail = F.regexp_like(undone, F.lit(rf"^[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$"))
+    spelled = F.regexp_like(h, F.lit(r"[(\[](?:at|dot)[)\]]"))
+    address = F.regexp_replace(h, r"[ \[\]]", "")
+    octets = F.regexp_like(address, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
+    card = F.length(digits).between(14, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
+    grouped = F.regexp_like(h, F.lit(r"^[0-9]{4}(?:([^0-9]{1,2})[0-9]{4})(?:\1[0-9]{4}){2}$|^[0-9]{4}([^0-9]{1,2})[0-9]{6}\2[0-9]{5}$"))
+    marked = F.regexp_like(h, F.lit("[^0-9]"))
+    bare = F.regexp_replace(digits, "^00", "")
+    phone = F.length(bare).between(10, 15)
+    right = {
+        "email": mail & (spelled | told),
+        "ip": octets & (told | F.contains(h, F.lit("["))),
+        "card": card & (told | grouped),
+        "phone": phone & marked & told & ~solid,
+    }
+    wrong = {"email": ~F.regexp_like(undone, F.lit("[A-Za-z]{2,}$")), "ip": ~octets, "card": ~card, "phone": ~phone | solid | ~marked & ~told}
+    return F.when(_picked(right, False), 1.0).when(_picked(wrong, False), 0.0)
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """One row per candidate: place in its text, whether it is a base span that holds, label and features."""
     flat = found.select("row", F.explode("matches").alias("m")).select("row", "m.*")
@@ -129,7 +170,7 @@ def candidates(found: DataFrame) -> DataFrame:
     }
     spans = spans.withColumn("base", F.col("strict") & _picked(rules, False))
     spans = spans.withColumn("over_base", _touches_base("row", "kind"))
-    label = F.when(F.col("strict"), F.col("base")).otherwise(F.col("over_base")).cast("double")
+    label = F.when(F.col("strict"), F.col("base").cast("double")).when(F.col("over_base"), 1.0).otherwise(_evidence())
     h = F.col("hit")
     features = {
         "kind_no": _picked({k: F.lit(float(i)) for i, k in enumerate(KINDS)}, 0.0),
@@ -140,7 +181,6 @@ def candidates(found: DataFrame) -> DataFrame:
         "n_spaces": F.regexp_count(h, F.lit(" ")),
         "longest_group": F.array_max(F.transform(F.split(h, "[^0-9]+"), lambda x: F.length(x))),
         "different_digits": F.size(F.array_distinct(F.split("digits", ""))),
-        "plus": F.contains(h, F.lit("+")) | F.endswith("before", F.lit("+")),
         "brackets": F.regexp_like(h, F.lit(r"[(\[]")),
         "at": F.contains(h, F.lit("@")),
         "luhn": F.coalesce(F.call_function("luhn_check", F.col("digits")), F.lit(False)),
@@ -149,6 +189,7 @@ def candidates(found: DataFrame) -> DataFrame:
         "solid_before": F.regexp_like("before", F.lit(r"[A-Za-z0-9._/=-]$")),
         "solid_after": F.regexp_like("after", F.lit(r"^[A-Za-z0-9_/=-]")),
         "told": F.regexp_like("before", F.lit(TELLING)),
+        "told_kind": _told(),
         "quoted": F.regexp_like("before", F.lit(r"[\"'=:]\s?$")),
     }
     return spans.select(
@@ -159,8 +200,8 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 FEATURES = (
-    "kind_no n_chars n_digits n_groups n_marks n_spaces longest_group different_digits plus brackets at luhn octets"
-    " last_label solid_before solid_after told quoted"
+    "kind_no n_chars n_digits n_groups n_marks n_spaces longest_group different_digits brackets at luhn octets"
+    " last_label solid_before solid_after told told_kind quoted"
 ).split()
 
 
@@ -180,7 +221,7 @@ def _touches_base(*keys) -> Column:
 
 def fitted(spans: DataFrame, p: PiiPolicy):
     """(scoring function for candidates, threshold per kind); None where there is nothing to tell apart."""
-    teach = spans.where(F.pmod("dice", F.lit(3)) != 0).orderBy("dice", "start", "row").limit(p.fit_rows)
+    teach = spans.where("label IS NOT NULL").where(F.pmod("dice", F.lit(3)) != 0).orderBy("dice", "start", "row").limit(p.fit_rows)
     teach = stored(teach, "teach").coalesce(4)
     if teach.select("label").distinct().count() < 2:
         return None
@@ -195,7 +236,7 @@ def fitted(spans: DataFrame, p: PiiPolicy):
         return made.withColumn("score", vector_to_array("probability")[1])
 
     bins = (
-        score(spans.where(F.pmod("dice", F.lit(3)) == 0))
+        score(spans.where("NOT strict AND label IS NOT NULL").where(F.pmod("dice", F.lit(3)) == 0))
         .groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("bin"))
         .agg(F.sum("label").alias("right"), F.count("*").alias("n"))
         .collect()  # at most 4 x 101 rows
