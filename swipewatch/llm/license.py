@@ -3,7 +3,8 @@
 A template and a piece of a document are aligned on anchors: words that occur exactly once in both. The
 longest increasing run of anchors (by patience sorting) is kept, and each gap between neighbouring
 anchors is aligned in the same way; equal words at the rims of a gap are taken as they are. Coverage is
-the share of the template's words that are matched.
+the share of the template's words that are matched; names, versions and terms that tell licenses apart must
+be among them.
 
 Where in a document a template may be is voted by its own words: an occurrence at place i of a word that
 stands at place j in the template votes for a beginning at i - j. Only pieces around dense votes are
@@ -53,7 +54,10 @@ TEMPLATES = {
         " subject to the following conditions: The above copyright notice and this permission notice shall be"
         " included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\","
         " WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF"
-        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+        " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,"
+        " TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS"
+        " IN THE SOFTWARE."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
@@ -80,6 +84,22 @@ TEMPLATES = {
     ),
 }
 
+TEMPLATES |= {
+    f"CC-{code.upper()}-4.0/statement": f"Licensed under CC {code.upper()} 4.0." for code in ("by-sa", "by-nd", "by-nc-sa", "by-nc-nd")
+}
+TEMPLATES |= {
+    "CC-BY-4.0/short/statement": "Licensed under CC BY 4.0.",
+    "BSD/statement": "Released under the BSD License.",
+    "ISC/statement": "Released under the ISC License.",
+    "GPL-2.0/statement": "This work is licensed under the GNU General Public License, version 2.",
+}
+# Names, versions and terms that tell licenses apart: where a template has one, it must be matched.
+TELLING = frozenset(
+    b"apache mit isc bsd gpl lgpl agpl lesser affero gnu mozilla mpl cc creative attribution by nc sa nd noncommercial"
+    b" sharealike noderivatives".split()
+)
+_VERSION = re.compile(rb"(?i)\bv(?:ersion|\b\.)?\s*([0-9]+)|\b([0-9])\.[0-9]\b")
+
 _WORD = re.compile(rb"[a-z0-9]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -139,6 +159,10 @@ class Templates:
         if not all(self.words.values()):
             raise ValueError("a template without words")
         self.coverage = coverage
+        self.telling = {}
+        for name, words in self.words.items():
+            numbers = {x for m in _VERSION.findall(texts[name].encode()) for x in m if x}
+            self.telling[name] = {j for j, w in enumerate(words) if w in TELLING or w in numbers}
         shared = Counter(w for words in self.words.values() for w in set(words))
         needed = set()
         for words in sorted(self.words.values(), key=len):
@@ -188,7 +212,7 @@ class Templates:
                     continue
                 piece = words[begin : int(votes[k]) + n + 2 * slack]
                 pairs = aligned(piece, template)
-                if len(pairs) >= need:
+                if len(pairs) >= need and self.telling[name] <= {j for _, j in pairs}:
                     first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
                     found.append((name, len(pairs) / n, first, last))
                     upto = last
