@@ -151,7 +151,8 @@ def drop_near_copies(
 
     Near copies are not those of ``near_groups``: their sets of ``width``-word shingles have a Jaccard
     similarity of at least ``similarity``, and groups are the components of such pairs.
-    Rows that share that id (which exact deduplication removes) all stay; so do rows without id.
+    Of different texts under that id the one with the smallest hash stays; a text outside the group is never
+    removed for its id. Rows alike in id and text (which exact deduplication removes) stay, as do rows without id.
     """
     made = near_copies.sketches(docs, id_, text, width)
     met = near_copies.meetings(made)
@@ -162,7 +163,11 @@ def drop_near_copies(
     if more.limit(1).count():
         roots = stored(components(edges.union(near_copies.verified(docs, made, more, id_, text, width, similarity))), "roots")
     grouped = stored(made.select("id", "mark", "print").join(roots.withColumnRenamed("node", "print"), "print"), "grouped")
-    lowest = grouped.groupBy("root").agg(F.min("id").alias("low"))
-    gone = grouped.join(lowest, "root").where("id != low")
-    gone = small(stored(gone.select(F.col("id").alias(name := fresh_name(docs, "gone_id"))).distinct(), "gone"))
-    return docs.join(gone, docs[id_] == gone[name], "left_anti")
+    own = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
+    lowest = grouped.groupBy("root").agg(F.min(own).alias("low"))
+    gone = grouped.join(lowest, "root").where(own != F.col("low")).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    gone = small(stored(gone.distinct(), "gone"))
+    mark = fresh_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(whole_text(text)))
+    same = (marked[id_] == gone["gone_id"]) & (marked[mark] == gone["gone_mark"])
+    return marked.join(gone, same, "left_anti").drop(mark)

@@ -59,3 +59,12 @@ def test_large_group(spark):
     rows += [(1000 + k, " ".join(base[:75] + [f"y{dice.randint(0, 10**9)}" for _ in range(75)])) for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == _kept(rows)
+
+
+def test_ids_with_different_texts(spark):
+    base = [f"w{k}" for k in range(80)]
+    a, near, near2 = (" ".join([*base, end]) for end in ("x", "y", "z"))
+    other = " ".join(f"v{k}" for k in range(80))
+    docs = spark.createDataFrame([(3, near), (5, a), (5, other), (3, near2)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()]
+    assert (5, other) in kept and len(kept) == 2 and sorted(d for d, _ in kept) == [3, 5]
