@@ -24,7 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipewatch.llm import near_copies
 from swipewatch.llm.shared import fresh_name, small, stored, text_batches, whole_text
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,17 +57,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(id, ``print`` long) of each row."""
+    """(id, ``mark`` hash of the text, ``print`` long) of each row."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             prints = np.fromiter((fingerprint(t, width) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["id", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], ["id", "mark", "print"])
 
-    narrow = text_batches(docs).select(F.col(id_).alias("id"), whole_text(text).alias("text"))
+    whole = whole_text(text)
+    narrow = text_batches(docs).select(F.col(id_).alias("id"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, `print` long")
+    return narrow.mapInArrow(run, f"id {kind}, mark long, `print` long")
 
 
 def ball(column: str) -> F.Column:
@@ -127,46 +127,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """(``print``, root) of each different fingerprint of ``prints`` (stored), stored; root stands for its component."""
+    nodes = prints.select("print").distinct()
+    roots = components(links(nodes, prints.count()))
+    joined = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left")
+    return stored(joined.select("print", F.coalesce("root", "print").alias("root")), "roots")
+
+
 def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``."""
     prints = stored(with_fingerprints(docs, id_, text, width), "fingerprints")
-    nodes = prints.groupBy("print").agg(F.min("id").alias("low"))
-    roots = components(links(nodes, prints.count()))
-    rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "low", F.coalesce("root", "print").alias("root")
-    )
-    rooted = stored(rooted, "roots")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("print", "component_id")
+    nodes = prints.groupBy("print").agg(F.min("id").alias("low")).join(rooted(prints), "print")
+    nodes = stored(nodes, "nodes")
+    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = nodes.join(lowest, "root").select("print", "component_id")
     out = prints.join(named, "print")
     return out.select(
         F.col("id").alias(id_), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(
-    docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest id.
+def drop_near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with one document of each component of ``near_groups``: the one with the smallest id.
 
-    Near copies are not those of ``near_groups``: their sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity``, and groups are the components of such pairs.
     Of different texts under that id the one with the smallest hash stays; a text outside the group is never
     removed for its id. Rows alike in id and text (which exact deduplication removes) stay, as do rows without id.
     """
-    made = near_copies.sketches(docs, id_, text, width)
-    met = near_copies.meetings(made)
-    pairs = near_copies.proposed(met, similarity)
-    edges = near_copies.verified(docs, made, pairs, id_, text, width, similarity)
-    roots = stored(components(edges), "roots")
-    more = near_copies.across(met, roots, pairs, similarity)
-    if more.limit(1).count():
-        roots = stored(components(edges.union(near_copies.verified(docs, made, more, id_, text, width, similarity))), "roots")
-    grouped = stored(made.select("id", "mark", "print").join(roots.withColumnRenamed("node", "print"), "print"), "grouped")
+    prints = stored(with_fingerprints(docs, id_, text, width), "fingerprints")
     own = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
-    lowest = grouped.groupBy("root").agg(F.min(own).alias("low"))
-    gone = grouped.join(lowest, "root").where(own != F.col("low")).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    gone = small(stored(gone.distinct(), "gone"))
+    nodes = stored(prints.groupBy("print").agg(F.min(own).alias("low")).join(rooted(prints), "print"), "nodes")
+    lowest = nodes.groupBy("root").agg(F.min("low").alias("lowest"))
+    named = nodes.join(lowest, "root").select("print", "lowest")
+    gone = prints.join(named, "print").where(own != F.col("lowest"))
+    gone = small(stored(gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "gone"))
     mark = fresh_name(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64(whole_text(text)))
     same = (marked[id_] == gone["gone_id"]) & (marked[mark] == gone["gone_mark"])
