@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swipewatch.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     language,
@@ -105,3 +106,8 @@ def op9_packing(spark, folder):
 @query
 def op10_language_model(spark, folder):
     return language_model.scored(table(spark, folder, "documents"), language_model.held_out_by_id())
+
+
+@query
+def op13_alignment(spark, folder):
+    return alignment.aligned(table(spark, folder, "documents"))
