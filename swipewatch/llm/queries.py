@@ -15,6 +15,7 @@ from swipewatch.llm import (
     pii,
     quality,
     simhash,
+    substrings,
     warc,
 )
 
@@ -111,3 +112,8 @@ def op10_language_model(spark, folder):
 @query
 def op13_alignment(spark, folder):
     return alignment.aligned(table(spark, folder, "documents"))
+
+
+@query
+def op12_substrings(spark, folder):
+    return substrings.without_repeats(table(spark, folder, "documents"), with_text=False)
