@@ -60,3 +60,49 @@ SELECT page_id, strlen(body) AS payload_bytes,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p
 """
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH taken AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), scored AS (
+    SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same,
+           CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda k: a.q[k] * r.q[k])) AS BIGINT) AS score
+    FROM taken a CROSS JOIN taken r
+    WHERE a.id % 100 = 0
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same AND id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES["op12_substrings"] = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, s, md5(list_aggregate(w[s : s + 49], 'string_agg', ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM split WHERE len(w) >= 50)
+), repeated AS (
+    SELECT doc_id, s FROM windows JOIN (SELECT h, min(doc_id) AS low FROM windows GROUP BY h) USING (h) WHERE low < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, s + k AS place FROM (SELECT doc_id, s, unnest(range(50)) AS k FROM repeated)
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS t
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM split)
+    ANTI JOIN gone USING (doc_id, place)
+    GROUP BY doc_id
+), removed AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

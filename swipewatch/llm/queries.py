@@ -11,6 +11,7 @@ from swipewatch.llm import (
     language,
     language_model,
     license,
+    mining,
     packing,
     pii,
     quality,
@@ -109,6 +110,12 @@ def op10_language_model(spark, folder):
     return language_model.scored(table(spark, folder, "documents"), language_model.held_out_by_id())
 
 
+@query
+def op11_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mined(table(spark, folder, "embeddings"), label=label, anchor=F.col("id") % 100 == 0)
+
+
 @query
 def op13_alignment(spark, folder):
     return alignment.aligned(table(spark, folder, "documents"))
