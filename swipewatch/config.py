@@ -43,8 +43,8 @@ class ScalePolicy:
         Bound on the number of cut points kept on the driver and broadcast. When
         ``total / max_chunks`` exceeds ``max_group_rows`` it becomes the limit.
     ``exact_sort_rows``
-        Up to this many rows a quantile uses the built-in exact aggregate, whose
-        state holds every distinct value; beyond it, bracket refinement.
+        At most this many rows of a quantile's last brackets are counted per value; a smaller
+        number makes brackets be refined further, the result is exact with any.
     """
 
     max_group_rows: int = 1_000_000

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_POLICY, ScalePolicy
 
 GRID = 1024
+PICK_ROWS = 20_000  # of all brackets that are counted per value, at most
 LEAST_ROWS = 1_000  # so few rows of a bracket are always counted per value
 
 
@@ -80,7 +81,7 @@ def column_ranks(df: DataFrame, values, ranks, counts, policy: ScalePolicy = DEF
         if wanted:
             open_[Bracket(c, None, None, 0, n)] = list(wanted)
     while open_:
-        limit = max(LEAST_ROWS, policy.exact_sort_rows // len(open_))
+        limit = max(LEAST_ROWS, min(PICK_ROWS, policy.exact_sort_rows) // len(open_))
         small = {b: r for b, r in open_.items() if b.rows <= limit}
         large = {b: r for b, r in open_.items() if b.rows > limit}
         if small:
@@ -93,19 +94,24 @@ def column_ranks(df: DataFrame, values, ranks, counts, policy: ScalePolicy = DEF
 def _narrow(df, values, open_, done) -> dict:
     """Smaller brackets for the ranks of ``open_``; those that hit a cut value are put in ``done``."""
     old = list(open_)
-    probs = [j / GRID for j in range(GRID + 1)]
+    steps = {}  # (number of the old bracket, rank) -> the two steps of the grid around the rank
+    for n, b in enumerate(old):
+        for rank in open_[b]:
+            spot = (rank - b.below) / b.rows * GRID
+            steps[n, rank] = max(0, math.floor(spot) - 1), min(GRID, math.ceil(spot) + 1)
+    # a sketch is asked for these steps only: each costs a search through it
+    asked = [sorted({j for rank in open_[b] for j in steps[n, rank]}) for n, b in enumerate(old)]
     sketch = df.agg(
         *[
-            F.percentile_approx(F.when(b.holds(values[b.column]), values[b.column]), probs, 4 * GRID).alias(f"q{n}")
+            F.percentile_approx(
+                F.when(b.holds(values[b.column]), values[b.column]), [j / GRID for j in asked[n]], 4 * GRID
+            ).alias(f"q{n}")
             for n, b in enumerate(old)
         ]
     ).first()
     proposed = {}  # (number of the old bracket, lo, hi) -> ranks
-    for n, b in enumerate(old):
-        for rank in open_[b]:
-            spot = (rank - b.below) / b.rows * GRID
-            ends = sketch[n][max(0, math.floor(spot) - 1)], sketch[n][min(GRID, math.ceil(spot) + 1)]
-            proposed.setdefault((n, *ends), []).append(rank)
+    for (n, rank), ends in steps.items():
+        proposed.setdefault((n, *(sketch[n][asked[n].index(j)] for j in ends)), []).append(rank)
     aggs = []
     for m, (n, lo, hi) in enumerate(proposed):
         v = values[old[n].column]
