@@ -11,23 +11,20 @@ matrices multiplied likewise give the shared-group links: all A-B pairs of one g
 3. A chunk asks for the counts of its different pairs by an equi-join, so that a pair that is everywhere
    is one row per chunk, and gives its documents' sums.
 
-Texts are cut where both tokenizers are known to cut as well (at white space), and each different segment
-is encoded once per worker, with a bounded memory. Null and empty texts, bytes that are no UTF-8, and texts
+Null and empty texts, bytes that are no UTF-8, and texts
 whose joined token bytes differ from a space and the text have no tokens: zeros, empty digest. Repeated rows
 are documents like any other; a null id is an id.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
-import re
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +33,8 @@ from swipewatch.llm.csr import Csr, spread
 from swipewatch.llm.language_model import squeezed, unsqueezed
 from swipewatch.llm.shared import stored, text_batches, whole_text
 
-# White space as the pattern of the byte-level tokenizer knows it.
-_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PARTS_A = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
-_PARTS_B = re.compile(" +[^ ]*").findall
 _B_BITS = 16  # of a pair's number; the rest is the A id
+_PAIR_BITS = 40
 _DIGITS = 6
 
 
@@ -49,53 +43,33 @@ class AlignPolicy:
     byte_vocab: str | None = None  # files; default: those of the installed public tokenizers
     piece_model: str | None = None
     chunk_links: int = 1_000_000
-    known_segments: int = 200_000  # different segments a worker keeps per tokenizer
-    known_chars: int = 8_000_000
+    batch_bytes: int = 1 << 19  # of texts that are aligned at once
 
 
-class Segments:
-    """Token ids of segments, each different one encoded once; ``parts`` cuts texts into segments."""
+class Tokens:
+    """A tokenizer: ids of texts, and the bytes of each id."""
 
-    def __init__(self, parts, encode, token_bytes: list, p: AlignPolicy):
-        self.parts, self.encode, self.token_bytes, self.p = parts, encode, token_bytes, p
+    def __init__(self, encode, token_bytes: list):
+        self.encode = encode  # texts that begin with a space -> one array of ids each
         self.sizes = np.array([len(b) for b in token_bytes], np.int64)
-        self._clear()
-
-    def _clear(self):
-        self.known, self.chars = {}, 0
-        self.ids = np.zeros(0, np.int32)
-        self.starts, self.counts, self.right = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def _add(self, segments: list) -> None:
-        encoded = self.encode(segments)
-        table = self.token_bytes
-        right = [b"".join([table[i] for i in ids]) == s.encode() for s, ids in zip(segments, encoded)]
-        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments))))
-        self.chars += sum(map(len, segments))
-        counts = np.array([len(ids) for ids in encoded], np.int64)
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
-        self.right = np.concatenate([self.right, np.array(right, bool)])
-
-    def tokens(self, texts: list) -> tuple:
-        """(ids of all texts, number of tokens of each text, whether the text's bytes come out right)."""
-        if len(self.known) > self.p.known_segments or self.chars > self.p.known_chars:
-            self._clear()
-        cut = [self.parts(t) for t in texts]
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = list(chain.from_iterable(cut))
-        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            self._add(list(dict.fromkeys([flat[i] for i in missing.tolist()])))
-            codes[missing] = [self.known[flat[i]] for i in missing.tolist()]
-        ids = self.ids[spread(self.starts[codes], self.counts[codes])]
-        ends = np.cumsum(many)
-        per_text = np.diff(np.r_[0, np.cumsum(self.counts[codes])][np.r_[0, ends]])
-        wrong = np.diff(np.r_[0, np.cumsum(~self.right[codes])][np.r_[0, ends]])
-        return ids, per_text, wrong == 0
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(token_bytes), np.uint8)
+
+    def tokens(self, texts: list, raw: list) -> tuple:
+        """(ids of all texts, number of tokens of each text, whether the tokens' bytes are those of ``raw``)."""
+        encoded = self.encode(texts)
+        per_text = np.array([len(x) for x in encoded], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *encoded]).astype(np.int64)
+        sizes = self.sizes[ids]
+        ends, tokens = np.cumsum(per_text), np.r_[0, np.cumsum(sizes)]
+        long = np.diff(tokens[np.r_[0, ends]]) == [len(x) for x in raw]
+        # bytes are compared where the lengths agree
+        same = np.repeat(long, per_text)
+        made = self.letters[spread(self.starts[ids[same]], sizes[same])]
+        want = np.frombuffer(b"".join([x for x, ok in zip(raw, long.tolist()) if ok]), np.uint8)
+        wrong = np.r_[0, np.cumsum(made != want)]
+        places = np.cumsum([len(x) if ok else 0 for x, ok in zip(raw, long.tolist())], dtype=np.int64)
+        return ids, per_text, long & (np.diff(wrong[np.r_[0, places]]) == 0)
 
 
 def _byte_symbols() -> list:
@@ -107,7 +81,7 @@ def _byte_symbols() -> list:
 
 @functools.lru_cache(maxsize=2)
 def tokenizers_of(p: AlignPolicy) -> tuple:
-    """Segments of A and of B, once per worker."""
+    """A and B, once per worker."""
     import json
 
     import public_tokenizers
@@ -127,16 +101,16 @@ def tokenizers_of(p: AlignPolicy) -> tuple:
 
     model = sentencepiece.SentencePieceProcessor(model_file=p.piece_model or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = [model.id_to_piece(n) for n in range(model.get_piece_size())]
-    if any("▁" in x.lstrip("▁") for x in pieces) or len(pieces) > 1 << _B_BITS:
-        raise ValueError("pieces must not go on after white space inside, nor be more than 65,536")
+    if len(pieces) > 1 << _B_BITS:
+        raise ValueError(f"more than {1 << _B_BITS} pieces")
     b_table = []
     for n, x in enumerate(pieces):
         of_byte = model.is_byte(n)
         b_table.append(bytes([int(x[3:5], 16)]) if of_byte else x.replace("▁", " ").encode())
 
-    a = Segments(_PARTS_A, lambda xs: [byte_level.encode_ordinary(x) for x in xs], table, p)
-    # the model puts a space before what it encodes; a segment begins with one
-    b = Segments(_PARTS_B, lambda xs: model.encode([x[1:] for x in xs], num_threads=1), b_table, p)
+    a = Tokens(lambda xs: [byte_level.encode_to_numpy(x, disallowed_special=()) for x in xs], table)
+    # the model puts a space before what it encodes
+    b = Tokens(lambda xs: [np.array(x, np.int64) for x in model.encode([x[1:] for x in xs], num_threads=1)], b_table)
     return a, b
 
 
@@ -168,8 +142,9 @@ class Aligned:
                 texts.append(" " + t)
                 at.append(k)
         tokenizer_a, tokenizer_b = tokenizers_of(p)
-        a, per_a, right_a = tokenizer_a.tokens(texts)
-        b, per_b, right_b = tokenizer_b.tokens(texts)
+        bytes_ = [t.encode() for t in texts]
+        a, per_a, right_a = tokenizer_a.tokens(texts, bytes_)
+        b, per_b, right_b = tokenizer_b.tokens(texts, bytes_)
         good = right_a & right_b
         keep_a, keep_b = np.repeat(good, per_a), np.repeat(good, per_b)
         at = np.array(at, np.int64)
@@ -179,10 +154,13 @@ class Aligned:
         total = int(self.a_ends[-1]) if len(self.a_ends) else 0
         marks = np.zeros(total + 1, bool)
         marks[self.a_ends] = True
-        self.cuts = self.b_ends[marks[self.b_ends]]
+        self.cut_by = np.flatnonzero(marks[self.b_ends])  # B tokens that end a group
+        self.cuts = self.b_ends[self.cut_by]
         self.total = total
-        self.group_a = np.searchsorted(self.cuts, self.a_ends)
-        self.group_b = np.searchsorted(self.cuts, self.b_ends)
+        marks[:] = False
+        marks[self.cuts] = True
+        before = np.cumsum(marks, dtype=np.int32) - marks  # groups that end before a place
+        self.group_a, self.group_b = before[self.a_ends].astype(np.int64), before[self.b_ends].astype(np.int64)
 
     def overlaps(self) -> Csr:
         """A tokens by B tokens: bytes that they share."""
@@ -197,8 +175,7 @@ class Aligned:
     def written_groups(self) -> list:
         """``a1,a2|b1;a3|b2,b3`` of each text, as bytes."""
         groups = len(self.cuts)
-        first_a = np.searchsorted(self.group_a, np.arange(groups + 1))
-        first_b = np.searchsorted(self.group_b, np.arange(groups + 1))
+        first_a, first_b = (np.r_[0, np.cumsum(np.bincount(g, minlength=groups))] for g in (self.group_a, self.group_b))
         # a group's A tokens, then its B tokens
         place_a = np.arange(len(self.a)) + first_b[self.group_a]
         place_b = np.arange(len(self.b)) + first_a[self.group_b + 1]
@@ -235,14 +212,14 @@ class _Chunk:
         rows = linked.rows()
         pair = (made.a[rows].astype(np.int64) << _B_BITS) | made.b[linked.indices]
         doc = made.doc_a[rows]
-        order = np.lexsort((pair, doc))
-        pair, doc = pair[order], doc[order]
-        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(pair) else np.zeros(0, int)
+        both = np.sort(doc << _PAIR_BITS | pair)
+        pair, doc = both & ((1 << _PAIR_BITS) - 1), both >> _PAIR_BITS
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, int)
         over = made.overlaps()
         stats = [
             made.per_text(made.doc_a),
             made.per_text(made.doc_b),
-            np.bincount(made.doc_b[np.searchsorted(made.b_ends, made.cuts)], minlength=made.n),
+            made.per_text(made.doc_b[made.cut_by]),
             made.per_text(doc),
             made.per_text(made.doc_a[over.rows()]),
         ]
@@ -287,11 +264,16 @@ def chunks(docs: DataFrame, id_: str, text: str, p: AlignPolicy) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            chunk = chunk or _Chunk(b.column(0).type)
-            chunk.add(b.column(0), Aligned(b.column(1).cast(pa.binary()).to_pylist(), p))
-            if chunk.held >= p.chunk_links or len(chunk.digests) >= p.chunk_links:
-                yield chunk.row(number)
-                number, chunk = number + 1, None
+            texts = b.column(1).cast(pa.binary())
+            # texts by what number of whole batches is before their end
+            turn = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // p.batch_bytes
+            cuts = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1], True]).tolist()
+            for first, end in zip(cuts[:-1], cuts[1:]):
+                chunk = chunk or _Chunk(b.column(0).type)
+                chunk.add(b.column(0).slice(first, end - first), Aligned(texts.slice(first, end - first).to_pylist(), p))
+                if chunk.held >= p.chunk_links or len(chunk.digests) >= p.chunk_links:
+                    yield chunk.row(number)
+                    number, chunk = number + 1, None
         if chunk:
             yield chunk.row(number)
 

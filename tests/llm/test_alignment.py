@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swipewatch.llm import alignment
 from swipewatch.llm.csr import Csr
 
-SMALL = alignment.AlignPolicy(chunk_links=300, known_segments=50)
+SMALL = alignment.AlignPolicy(chunk_links=300, batch_bytes=100)
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_best", "count_sum", "groups_sha256")
 
 
