@@ -116,6 +116,40 @@ add(
     ORDERS,
 )
 
+
+
+def _named_windows(key, order="transaction_date"):
+    return [f"w{label} AS (PARTITION BY {key} ORDER BY {order} {_frame(seconds)})" for label, seconds in SECONDS.items()]
+
+
+def _moving_aggregates(key, source, aggs):
+    """Aggregates by name over each window; ``{w}`` stands for the window."""
+    columns = [
+        f"round({sql.format(w=f'w{label}')} + 3e-8, 6) + 0.0 AS amount_{name}_{label}" for label in SECONDS for name, sql in aggs.items()
+    ]
+    return _select(columns, _named_windows(key), source)
+
+
+_EXTREMES = {
+    "min": "min(amount) OVER {w}",
+    "max": "max(amount) OVER {w}",
+    "first": "arg_min(amount, (epoch_us(transaction_date), transaction_id)) FILTER (amount IS NOT NULL) OVER {w}",
+    "last": "arg_max(amount, (epoch_us(transaction_date), transaction_id)) FILTER (amount IS NOT NULL) OVER {w}",
+}
+# without spread skewness and kurtosis are not defined
+_SPREAD = "CASE WHEN max(amount) OVER {w} > min(amount) OVER {w} THEN "
+_MOMENTS = {
+    "mean": "avg(amount) OVER {w}",
+    "std": "stddev_samp(amount) OVER {w}",
+    "var": "var_samp(amount) OVER {w}",
+    "skew": _SPREAD + "skewness(amount) OVER {w} END",
+    "kurt": _SPREAD + "kurtosis(amount) OVER {w} END",
+}
+add("rolling_extremes", _moving_aggregates("user_id", "txn", _EXTREMES), TXN)
+add("rolling_extremes_split", _moving_aggregates("currency", "gaps", _EXTREMES), GAPS)
+add("rolling_moments", _moving_aggregates("user_id", "gaps", _MOMENTS), GAPS)
+add("rolling_moments_split", _moving_aggregates("currency", "txn", _MOMENTS), TXN)
+
 # --- series -------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from swipewatch.operators import (
     metrics,
     models,
     monitor,
+    moving,
     profile,
     quality,
     series,
@@ -139,6 +140,42 @@ def rolling_tied_times(spark, folder):
     return _as_doubles(out, orders.columns)
 
 
+def _moving(spark, folder, key, outputs, policy=None, windows=TxnConfig().windows, gaps=False):
+    """Id and the named aggregates of the amounts over the windows before each row."""
+    source = demo.transactions_with_gaps if gaps else demo.transactions
+    base = features.prepare(source(spark, folder), TxnConfig())
+    columns = [moving.Moving("__amount", outputs)]
+    kw = {"policy": policy or ScalePolicy(), "keep": ["transaction_id"]}
+    out = moving.moving(base, key, "__time_us", "__tie", windows, columns, **kw)
+    # amounts have two digits, so means may lie halfway between two roundings: they are moved off it
+    return rounded(out.select("transaction_id", *[(F.col(c) + OFF_HALVES).alias(c) for c in out.columns[1:]]))
+
+
+OFF_HALVES = 3e-8
+EXTREMES = {"min": "amount_min", "max": "amount_max", "first": "amount_first", "last": "amount_last"}
+MOMENTS = {"mean": "amount_mean", "std": "amount_std", "var": "amount_var", "skew": "amount_skew", "kurt": "amount_kurt"}
+
+
+@query
+def rolling_extremes(spark, folder):
+    return _moving(spark, folder, "user_id", EXTREMES)
+
+
+@query
+def rolling_extremes_split(spark, folder):
+    return _moving(spark, folder, "currency", EXTREMES, SPLIT_KEYS, gaps=True)
+
+
+@query
+def rolling_moments(spark, folder):
+    return _moving(spark, folder, "user_id", MOMENTS, gaps=True)
+
+
+@query
+def rolling_moments_split(spark, folder):
+    return _moving(spark, folder, "currency", MOMENTS, SPLIT_KEYS)
+
+
 # --- series -------------------------------------------------------------------------
 
 
