@@ -228,12 +228,12 @@ def _repeats(docs: DataFrame, read: DataFrame, id_: str, text: str, p: SpanPolic
 
     branches = met.where("branching").drop("source")
     sources = branches.groupBy("d0", "d1").agg(F.min(_source("first")).alias("source"))
-    branches = stored(branches.join(small(stored(sources, "sources")), ["d0", "d1"]), "branches")
+    branches = stored(branches.join(sources, ["d0", "d1"]), "branches")
     settled = branches.where(_SMALLER).select("id", "mark", "first", "n", "source")
     left = branches.where(f"NOT coalesce({_SMALLER}, false)").select("id", "mark", "first", "n")
     edges = _taken_apart(docs, left, id_, text, p)
     found = edges.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source")).where("many > 1")
-    single = edges.join(small(stored(found.drop("many"), "sources")), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
+    single = edges.join(found.drop("many"), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
     return stored(compact.unionByName(settled).unionByName(single), "repeats")
 
 
