@@ -150,6 +150,22 @@ add("rolling_extremes_split", _moving_aggregates("currency", "gaps", _EXTREMES),
 add("rolling_moments", _moving_aggregates("user_id", "gaps", _MOMENTS), GAPS)
 add("rolling_moments_split", _moving_aggregates("currency", "txn", _MOMENTS), TXN)
 
+_QUANTILES = {"median": "quantile_cont(amount, 0.5) OVER {w}", "p90": "quantile_cont(amount, 0.9) OVER {w}"}
+add("rolling_median", _moving_aggregates("user_id", "gaps", _QUANTILES), GAPS)
+add("rolling_median_split", _moving_aggregates("currency", "gaps", _QUANTILES), GAPS)
+
+
+def _different(key, value="merchant_id"):
+    columns = [
+        f"CAST(CASE WHEN count(*) OVER w{label} > 0 THEN count(DISTINCT {value}) OVER w{label} END AS DOUBLE) AS merchants_{label}"
+        for label in SECONDS
+    ]
+    return _select(columns, _named_windows(key))
+
+
+add("rolling_distinct", _different("user_id"), TXN)
+add("rolling_distinct_split", _different("currency"), TXN)
+
 # --- series -------------------------------------------------------------------------
 
 

@@ -11,12 +11,14 @@ from swipewatch import ScalePolicy, TxnConfig, jobs
 from swipewatch.functions.scalars import as_timestamp, binarize, rule_score
 from swipewatch.operators import (
     clean,
+    distinct,
     encode,
     features,
     metrics,
     models,
     monitor,
     moving,
+    order_stats,
     profile,
     quality,
     series,
@@ -176,6 +178,43 @@ def rolling_moments_split(spark, folder):
     return _moving(spark, folder, "currency", MOMENTS, SPLIT_KEYS)
 
 
+def _distinct_merchants(spark, folder, key, policy=None):
+    base = features.prepare(demo.transactions(spark, folder), TxnConfig())
+    out = distinct.rolling_distinct(
+        base, key, "merchant_id", "__time_us", "__tie", TxnConfig().windows, "merchants", policy or ScalePolicy(), ["transaction_id"]
+    )
+    return out.select("transaction_id", *[F.col(c).cast("double").alias(c) for c in out.columns[1:]])
+
+
+@query
+def rolling_distinct(spark, folder):
+    return _distinct_merchants(spark, folder, "user_id")
+
+
+@query
+def rolling_distinct_split(spark, folder):
+    return _distinct_merchants(spark, folder, "currency", SPLIT_KEYS)
+
+
+def _quantiles(spark, folder, key, policy=None):
+    base = features.prepare(demo.transactions_with_gaps(spark, folder), TxnConfig())
+    probs = {"amount_median": 0.5, "amount_p90": 0.9}
+    out = order_stats.rolling_quantiles(
+        base, key, "__amount", "__time_us", TxnConfig().windows, probs, policy or ScalePolicy(), ["transaction_id"]
+    )
+    return rounded(out.select("transaction_id", *[(F.col(c) + OFF_HALVES).alias(c) for c in out.columns[1:]]))
+
+
+@query
+def rolling_median(spark, folder):
+    return _quantiles(spark, folder, "user_id")
+
+
+@query
+def rolling_median_split(spark, folder):
+    return _quantiles(spark, folder, "currency", SPLIT_KEYS)
+
+
 # --- series -------------------------------------------------------------------------
 
 
