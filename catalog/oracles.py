@@ -166,6 +166,18 @@ def _different(key, value="merchant_id"):
 add("rolling_distinct", _different("user_id"), TXN)
 add("rolling_distinct_split", _different("currency"), TXN)
 
+_features = _select(
+    [RECENCY, ZSCORE, *_user[0], *_merchant[0], *_currency[0], *_status[0]],
+    [*USER_NAMED, *_user[1], *_merchant[1], *_currency[1], *_status[1]],
+    "counted",
+)
+add(
+    "point_in_time_features",
+    f"""SELECT f.* FROM ({_features}) f JOIN gaps USING (transaction_id)
+        WHERE transaction_date >= (SELECT max(transaction_date) - INTERVAL 7 DAYS FROM gaps)""",
+    GAPS + ", counted AS (SELECT * REPLACE (CASE WHEN amount IS NOT NULL THEN cents END AS cents) FROM gaps)",
+)
+
 # --- series -------------------------------------------------------------------------
 
 

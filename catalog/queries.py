@@ -26,7 +26,7 @@ from swipewatch.operators import (
     totals,
 )
 from swipewatch.plans.ranks import quantiles
-from swipewatch.sources import demo, ingest, retrieval, stored
+from swipewatch.sources import demo, history, ingest, retrieval, stored
 from swipewatch.sources.paths import fresh_path
 from swipewatch.sources.schemas import TRANSACTIONS
 from swipewatch.streaming import jobs as streaming
@@ -215,6 +215,17 @@ def rolling_median_split(spark, folder):
     return _quantiles(spark, folder, "currency", SPLIT_KEYS)
 
 
+@query
+def point_in_time_features(spark, folder):
+    """All features of the last week's rows, given the stored history before it and those rows alone."""
+    t = demo.transactions_with_gaps(spark, folder)
+    week = t.agg(F.expr("max(transaction_date) - INTERVAL 7 DAYS").alias("cut")).first()["cut"]
+    stored = history.StoredHistory(spark, fresh_path(spark, "history"))
+    stored.append(t.where(F.col("transaction_date") < F.lit(week)))
+    made = history.features_from_history(t.where(F.col("transaction_date") >= F.lit(week)), stored)
+    return _as_doubles(made, t.columns)
+
+
 # --- series -------------------------------------------------------------------------
 
 

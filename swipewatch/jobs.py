@@ -17,6 +17,7 @@ from .operators.metrics import confusion_matrix, report
 from .operators.models import CHOICES, TRAINERS, class_counts, fit_rows, model_metrics, score
 from .operators.split import has_times, random_split, stratify_by, time_split
 from .sources import stored
+from .sources.history import StoredHistory, features_from_history
 from .sources.ingest import ingest, save_snapshot
 from .sources.paths import exists, fresh_path
 
@@ -112,11 +113,17 @@ def run_preprocess(spark: SparkSession, table_path: str, out_path: str, **option
     return done
 
 
-def score_table(df: DataFrame, prepared_path: str, model_path: str, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+def score_table(
+    df: DataFrame,
+    prepared_path: str,
+    model_path: str,
+    policy: ScalePolicy = DEFAULT_POLICY,
+    history: StoredHistory | None = None,
+) -> DataFrame:
     """Predictions for a new transaction table with the stored settings, encoder and model.
 
-    Features come from ``df`` alone, so it should hold the look-back of the rows of interest. A
-    label is not needed; where there is one (text as in training), it is used for the fraud rates.
+    Features come from ``df`` and ``history``; without a history ``df`` should hold the look-back of the rows of
+    interest. A label is not needed; where there is one (text as in training), it is used for the fraud rates.
     """
     spark = df.sparkSession
     settings = stored.read_metadata(spark, f"{prepared_path}/settings")
@@ -126,7 +133,9 @@ def score_table(df: DataFrame, prepared_path: str, model_path: str, policy: Scal
         df = df.withColumn(cfg.label, F.lit(None).cast("int"))
     elif settings["label_classes"] is not None:
         df = apply_classes(df, cfg.label, settings["label_classes"])
-    made = add_features(df, cfg, policy=policy) if settings["time_based_split"] else df
+    made = df
+    if settings["time_based_split"]:
+        made = add_features(df, cfg, policy=policy) if history is None else features_from_history(df, history, cfg, policy)
     if settings["amount_rule"] is not None:
         made = AmountRule(**settings["amount_rule"]).apply(made, cfg.amount)
     encoder = stored.load_model(spark, f"{prepared_path}/encoder")
