@@ -178,7 +178,7 @@ def _read(docs: DataFrame, id_: str, text: str, p: SpanPolicy) -> DataFrame:
 
 def _source(first: str) -> F.Column:
     """Orders occurrences by id, null last, then place; the smallest is the source."""
-    return F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(first).alias("first"), "mark")
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(first).alias("first"))
 
 
 # whether a row's source is in a smaller document
@@ -227,24 +227,26 @@ def _repeats(docs: DataFrame, read: DataFrame, id_: str, text: str, p: SpanPolic
     compact = met.where(f"NOT branching AND ({_SMALLER})").select("id", "mark", "first", "n", "source")
 
     branches = met.where("branching").drop("source")
-    sources = branches.groupBy("d0", "d1").agg(F.min(_source("first")).alias("source"))
-    branches = stored(branches.join(sources, ["d0", "d1"]), "branches")
+    sources = branches.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source"))
+    # what occurs once has no other source; the table of the rest is written, so that Spark can split a digest's rows
+    sources = small(stored(sources.where("many > 1").drop("many"), "sources"))
+    branches = stored(branches.join(sources, ["d0", "d1"], "left"), "branches")
     settled = branches.where(_SMALLER).select("id", "mark", "first", "n", "source")
     left = branches.where(f"NOT coalesce({_SMALLER}, false)").select("id", "mark", "first", "n")
     edges = _taken_apart(docs, left, id_, text, p)
     found = edges.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source")).where("many > 1")
-    single = edges.join(found.drop("many"), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
+    single = edges.join(small(stored(found.drop("many"), "sources")), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
     return stored(compact.unionByName(settled).unionByName(single), "repeats")
 
 
 def _joined(repeats: DataFrame, p: SpanPolicy) -> DataFrame:
     """Repeats that go on at the same distance from the same source, as spans of words: (id, mark, first, end, source)."""
-    diagonal = "PARTITION BY id, mark, source.id, source.mark, first - source.first ORDER BY first"
+    diagonal = "PARTITION BY id, mark, source.id, first - source.first ORDER BY first"
     marked = repeats.selectExpr("*", f"first > lag(first + n) OVER ({diagonal}) AS fresh")
     # edges that follow one another without a gap are one path
     numbered = marked.selectExpr("*", f"count_if(coalesce(fresh, true)) OVER ({diagonal}) AS path")
     return numbered.groupBy(
-        "id", "mark", F.col("source.id").alias("source_id"), F.col("source.mark").alias("source_mark"),
+        "id", "mark", F.col("source.id").alias("source_id"),
         F.expr("first - source.first").alias("shift"), "path",
     ).agg(F.min("first").alias("first"), F.expr(f"max(first + n) + {p.window - 1}").alias("end"))
 
@@ -253,7 +255,7 @@ def repeated_spans(
     docs: DataFrame, id_: str = "doc_id", text: str = "text", p: SpanPolicy = SpanPolicy(), read: DataFrame | None = None
 ) -> DataFrame:
     """One row per repeated span of a different (id, text): id, ``mark`` (hash of the text), ``first`` and ``end`` in words,
-    ``source_id``, ``source_mark``, ``source_first``. Stored; spans of a text may overlap."""
+    ``source_id``, ``source_first`` (of a row with that id, where several share it). Stored; spans of a text may overlap."""
     read = _read(docs, id_, text, p) if read is None else read
     spans = _joined(_repeats(docs, read, id_, text, p), p).selectExpr(
         "*", "first - shift AS source_first"
