@@ -789,9 +789,10 @@ add(
 # --- models -------------------------------------------------------------------------
 
 # scores themselves are a model's; whose they are, that they are chances, and what follows from them is determined
-_TEST = "SELECT transaction_id, fraud AS label, true AS is_chance, true AS follows FROM clean WHERE NOT is_train"
-add("rf_scores", _TEST, GAPS, CLEAN)
-add("gbt_scores", _TEST, GAPS, CLEAN)
+_TEST = """SELECT transaction_id, fraud AS label, true AS is_chance, true AS follows, true AS learned
+           FROM clean WHERE NOT is_train"""
+for _name in ("rf_scores", "gbt_scores", "hist_boosting_scores", "balanced_forest_scores"):
+    add(_name, _TEST, GAPS, CLEAN)
 add(
     "stream_scores",
     "SELECT transaction_id, fraud AS label, true AS is_chance, true AS follows FROM txn",
@@ -806,7 +807,7 @@ add(
 add("model_roundtrip", "SELECT count(*) AS rows, 0e0 AS difference FROM clean WHERE NOT is_train", GAPS, CLEAN)
 add(
     "training_metrics",
-    """SELECT model, metric, true AS is_share
+    """SELECT model, metric, true AS is_share, true AS agrees
        FROM (VALUES ('random_forest'), ('boosted_trees')) m(model),
             (VALUES ('accuracy'), ('precision'), ('recall'), ('f1_score'), ('roc_auc'), ('average_precision')) n(metric)""",
 )
@@ -817,4 +818,8 @@ add(
     GAPS,
     CLEAN,
 )
-add("score_new_table", "SELECT transaction_id + 1000000 AS transaction_id, true AS is_chance FROM txn", TXN)
+add(
+    "score_new_table",
+    "SELECT transaction_id + 1000000 AS transaction_id, true AS is_chance, true AS learned FROM txn",
+    TXN,
+)
