@@ -8,7 +8,9 @@ be among them.
 
 Where in a document a template may be is voted by its own words: an occurrence at place i of a word that
 stands at place j in the template votes for a beginning at i - j. Only pieces around dense votes are
-aligned, so several copies are found, and a long document costs in proportion to its length.
+aligned, so several copies are found, and a long document costs in proportion to its length. Between the words of a
+find may stand up to as many others as the template has words; a template spread wider than that is not found. A name or
+term of another license between them ("Lesser" in the name of the GPL) speaks against the find.
 
 Which documents are looked at follows from the threshold: at most n - need of a template's n words may
 be missing, so at least one of any n - need + 1 of them must be there. These are chosen so that the
@@ -36,6 +38,8 @@ TEMPLATES = {
     "Apache-2.0/statement": "Licensed under the Apache License, Version 2.0.",
     "MIT/statement": "Released under the MIT License.",
     "GPL-3.0/statement": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-3.0/statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0/statement": "This work is licensed under the GNU Affero General Public License, version 3.",
     "CC-BY-NC-4.0/statement": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0/statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Apache-2.0/notice": (
@@ -186,6 +190,14 @@ class Templates:
     def possible(self, low: bytes) -> bool:
         return any(w in low for w in self.needed)
 
+    def tells(self, name: str, words: list, begin: int, pairs: list) -> bool:
+        """Whether all telling words of the template are matched, and no other license's stand between its words."""
+        if not self.telling[name] <= {j for _, j in pairs}:
+            return False
+        places = {begin + i for i, _ in pairs}
+        between = {words[i] for i in range(min(places), max(places)) if i not in places}
+        return not (between & TELLING) - set(self.words[name])
+
     def find(self, text: bytes) -> list:
         """(name, coverage, first word, word after the last), without overlaps, in order."""
         if not self.possible(low := text.translate(_LOWER)):
@@ -200,22 +212,24 @@ class Templates:
             template = self.words[name]
             n, need = len(template), self.need(template)
             votes = np.sort(np.asarray(votes))
-            # need matches that drift at most ``slack`` places: so many votes within so short a stretch
-            slack = max(2, n // 4)
             if len(votes) < need:
                 continue
-            dense = np.flatnonzero(votes[need - 1 :] - votes[: len(votes) - need + 1] <= slack)
-            upto = -1
-            for k in dense.tolist():
-                begin = max(0, int(votes[k]) - slack, upto)
-                if int(votes[k]) < upto - slack:
-                    continue
-                piece = words[begin : int(votes[k]) + n + 2 * slack]
-                pairs = aligned(piece, template)
-                if len(pairs) >= need and self.telling[name] <= {j for _, j in pairs}:
-                    first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
-                    found.append((name, len(pairs) / n, first, last))
-                    upto = last
+            mine = []
+            # closely set words first, so that neighbouring copies are told apart; then those with more words between
+            for slack in (max(2, n // 4), max(2, n)):
+                # need matches that drift at most ``slack`` places: so many votes within so short a stretch
+                dense = np.flatnonzero(votes[need - 1 :] - votes[: len(votes) - need + 1] <= slack)
+                upto, near = -1, list(mine)
+                for k in dense.tolist():
+                    begin, end = max(0, int(votes[k]) - slack, upto), int(votes[k]) + n + 2 * slack
+                    if int(votes[k]) < upto - slack or any(a < end and begin < b for *_, a, b in near):
+                        continue
+                    pairs = aligned(words[begin:end], template)
+                    if len(pairs) >= need and self.tells(name, words, begin, pairs):
+                        first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
+                        mine.append((name, len(pairs) / n, first, last))
+                        upto = last
+            found += mine
         taken, out = np.zeros(len(words), bool), []
         for name, share, first, last in sorted(found, key=lambda f: (-f[1], -len(self.words[f[0]]), f[0], f[2])):
             if not taken[first:last].any():

@@ -18,6 +18,11 @@ from swipewatch.llm.license import TEMPLATES, Templates
         (TEMPLATES["GPL-3.0/notice"].replace("version 3", "version 2"), []),
         (TEMPLATES["GPL-3.0/notice"], ["GPL-3.0/notice"]),
         (TEMPLATES["MIT"], ["MIT"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0/statement"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0/statement"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", []),
+        ("Licensed under the terms set out in our Apache License, Version 2.0.", ["Apache-2.0/statement"]),
+        ("Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0.", ["Apache-2.0/statement"] * 2),
     ],
 )
 def test_telling_words(text, want):
