@@ -258,12 +258,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject.
+    """The rows of ``docs`` that the classifier doesn't reject. Labels of fewer than two classes reject nothing.
 
     Statistics are computed twice, for the fit and for the decision, so that texts needn't be
     shuffled to meet their scores.
     """
-    model = fit(labelled(stored(with_statistics(docs, id_, text), "statistics"), labels, id_))
+    rows = labelled(stored(with_statistics(docs, id_, text), "statistics"), labels, id_)
+    if rows.select("label").distinct().count() < 2:
+        return docs
+    model = fit(rows)
 
     @F.pandas_udf("boolean")
     def good(texts):
