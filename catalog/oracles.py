@@ -568,6 +568,22 @@ add(
     SCORED,
     STEPS,
 )
+add(
+    "roc_corners",
+    """SELECT round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, round(score, 6) AS threshold
+       FROM (SELECT *, lag(fp) OVER o AS bf, lag(tp) OVER o AS bt, lead(fp) OVER o AS af, lead(tp) OVER o AS nt
+             FROM runs WINDOW o AS (ORDER BY score DESC))
+       WHERE bf IS NULL OR af IS NULL OR af - 2 * fp + bf <> 0 OR nt - 2 * tp + bt <> 0
+       UNION ALL SELECT 0e0, 0e0, NULL""",
+    FINE,
+    STEPS,
+)
+add(
+    "sample_by_label",
+    f"""SELECT transaction_id, fraud, round(amount, 6) AS amount, currency FROM txn
+        QUALIFY row_number() OVER (PARTITION BY fraud ORDER BY {_HASH}, transaction_id) <= 40""",
+    TXN,
+)
 _GRID = "g AS (SELECT a, b FROM range(2) x(a), range(2) y(b))"
 add(
     "confusion_matrix",

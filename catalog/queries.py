@@ -723,6 +723,20 @@ def roc_curve(spark, folder):
     return rounded(out.withColumn("threshold", F.when(F.abs("threshold") < float("inf"), F.col("threshold"))))
 
 
+@query
+def roc_corners(spark, folder):
+    """The curve without the inner points of its straight runs, found in chunks of the scores."""
+    out = metrics.corners(metrics.roc_curve(_scored_fine(spark, folder)), ScalePolicy(max_group_rows=100))
+    return rounded(out.withColumn("threshold", F.when(F.abs("threshold") < float("inf"), F.col("threshold"))))
+
+
+@query
+def sample_by_label(spark, folder):
+    """Forty rows of each class for the scatter and pair plots."""
+    out = profile.sample_by_label(demo.transactions(spark, folder), "fraud", 40, "transaction_id")
+    return rounded(out.select("transaction_id", "fraud", "amount", "currency"))
+
+
 @query
 def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(_scored(spark, folder))

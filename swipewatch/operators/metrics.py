@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_POLICY, ScalePolicy
 from ..plans.chunks import ordered_sums, plan_chunks
+from .split import MAX_CLASSES
 
 # The rows of the evaluation report, in order.
 REPORT_ROWS = ("Accuracy", "Precision", "Recall", "F1 Score", "ROC AUC", "Average Precision")
@@ -99,6 +100,33 @@ def roc_curve(df: DataFrame, label="label", score="score", policy: ScalePolicy =
     return origin.unionByName(points)
 
 
+def corners(curve: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+    """The points of :func:`roc_curve` that are no inner points of a straight run in steps of equal counts.
+
+    As many rows as the curve has corners, not as the table has different scores. The origin, the first and the last
+    step always stay.
+    """
+    steps = curve.selectExpr("0 AS __k", "-threshold AS __t", "0L AS __i", "fpr", "tpr", "threshold")
+    plan = plan_chunks(steps, "__k", "__t", "__i", policy)
+    order = "PARTITION BY __k, __chunk ORDER BY __t"
+    point = "struct(fpr, tpr)"
+    out = plan.attach(steps, "__k", "__t", "__i").selectExpr(
+        "*", f"lag({point}) OVER ({order}) AS __before", f"lead({point}) OVER ({order}) AS __after"
+    )
+    if not plan.empty:
+        ends = plan.located(plan.only_hot(steps, "__k"), "__t", "__i").groupBy("__hot", "__chunk")
+        ends = ends.agg(F.expr(f"min_by({point}, __t)").alias("first"), F.expr(f"max_by({point}, __t)").alias("last"))
+        # the ends of the chunks beside; as few rows as there are cut points
+        beside = "PARTITION BY __hot ORDER BY __chunk"
+        ends = ends.selectExpr("__hot AS __ck", "__chunk AS __cc", f"lag(last) OVER ({beside}) AS __l", f"lead(first) OVER ({beside}) AS __f")
+        out = out.join(F.broadcast(ends), F.expr("__k = __ck AND __chunk = __cc"), "left")
+        out = out.withColumns({"__before": F.expr("coalesce(__before, __l)"), "__after": F.expr("coalesce(__after, __f)")})
+    # a rate is a count over a constant, so equal steps differ by rounding only
+    turns = " OR ".join(f"abs(__after.{c} - 2 * {c} + __before.{c}) > 1e-12" for c in ("fpr", "tpr"))
+    first_step = "__before.fpr = 0 AND __before.tpr = 0"
+    return out.where(f"__before IS NULL OR __after IS NULL OR {first_step} OR {turns}").select("fpr", "tpr", "threshold")
+
+
 def evaluate(
     df: DataFrame,
     label="label",
@@ -140,11 +168,14 @@ def confusion_matrix(
 ) -> DataFrame:
     """Counts for every pair of the classes that occur, or shares of each label's rows.
 
-    ``classes`` have their rows and columns in any case. Rows without label or prediction form a
+    ``classes`` have their rows and columns in any case; a column of more than ``MAX_CLASSES`` values is refused. Rows without label or prediction form a
     class of their own, null. A label without rows has shares 0.
     """
     pairs = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
     counted = pairs.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    for side in ("label", "prediction"):
+        if pairs.select(side).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} values in {label if side == 'label' else prediction}; is this a class?")
     kind = pairs.schema["label"].dataType.simpleString()
     named = F.array(*[F.lit(c) for c in classes]).cast(f"array<{kind}>")
     # a row per class and side; the grid of all pairs is the result's form

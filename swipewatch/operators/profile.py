@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_POLICY, ScalePolicy
-from ..functions.scalars import is_missing, number
+from ..functions.scalars import hash_fraction_key, is_missing, number
 from ..plans.ranks import quantiles
 
 
@@ -121,6 +121,18 @@ def box_stats(df: DataFrame, columns=None, policy: ScalePolicy = DEFAULT_POLICY)
     return _stack(values.agg(*aggs), pairs, ["column", "q25", "q50", "q75", "whisker_low", "whisker_high", "outliers"])
 
 
+def sample_by_label(df: DataFrame, label: str, k: int, id_: str, seed: int = 42) -> DataFrame:
+    """``k`` rows of each label value, all of them if there are fewer, for plots of single points.
+
+    Those with the smallest hashes of id and seed: the same rows on any partitioning, and a sample of the union of two
+    tables comes from their samples. Tasks pass on no more than ``k`` rows per value.
+    """
+    taken = set(df.columns)
+    place = next(n for n in ("place", "__place", "___place") if n not in taken)
+    order = Window.partitionBy(label).orderBy(hash_fraction_key(F.col(id_), seed), F.col(id_))
+    return df.withColumn(place, F.row_number().over(order)).where(F.col(place) <= k).drop(place)
+
+
 def by_label(df: DataFrame, label: str, columns=None) -> DataFrame:
     """Count, mean, deviation, minimum and maximum per label value and numeric column."""
     columns = [c for c in (columns or column_roles(df)[0]) if c != label]
