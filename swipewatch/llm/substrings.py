@@ -228,15 +228,14 @@ def _repeats(docs: DataFrame, read: DataFrame, id_: str, text: str, p: SpanPolic
 
     branches = met.where("branching").drop("source")
     sources = branches.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source"))
-    # what occurs once has no other source; the table of the rest is written, so that Spark can split a digest's rows.
-    # It grows with the passages that repeat, so these joins are sort-merge joins from the start
-    sources = stored(sources.where("many > 1").drop("many"), "sources").hint("merge")
+    # what occurs once has no other source; the table of the rest is written, so that Spark can split a digest's rows
+    sources = stored(sources.where("many > 1").drop("many"), "sources")
     branches = stored(branches.join(sources, ["d0", "d1"], "left"), "branches")
     settled = branches.where(_SMALLER).select("id", "mark", "first", "n", "source")
     left = branches.where(f"NOT coalesce({_SMALLER}, false)").select("id", "mark", "first", "n")
     edges = _taken_apart(docs, left, id_, text, p)
     found = edges.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source")).where("many > 1")
-    single = edges.join(stored(found.drop("many"), "sources").hint("merge"), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
+    single = edges.join(stored(found.drop("many"), "sources"), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
     return stored(compact.unionByName(settled).unionByName(single), "repeats")
 
 
