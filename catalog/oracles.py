@@ -635,6 +635,15 @@ def _psi(c):
         FROM (SELECT transaction_date, {bin_} AS bin FROM txn) GROUP BY bin))"""
 
 
+add(
+    "drift_any_periods",
+    """SELECT feature, count_if(transaction_date < DATE '2024-01-16') AS n_base,
+              count_if(transaction_date >= DATE '2024-01-16') AS n_now, true AS is_close
+       FROM (SELECT transaction_date, unnest(['amount', 'merchant_id', 'user_id']) AS feature,
+                    unnest([amount, CAST(merchant_id AS DOUBLE), CAST(user_id AS DOUBLE)]) AS x FROM txn)
+       WHERE x IS NOT NULL GROUP BY feature""",
+    TXN,
+)
 add("psi_drift", "\nUNION ALL ".join(_psi(c) for c in ("amount", "merchant_id", "user_id")), TXN)
 add(
     "daily_metrics",

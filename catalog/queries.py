@@ -786,6 +786,19 @@ def psi_drift(spark, folder):
     return rounded(monitor.stability_index(t, ["amount", "merchant_id", "user_id"], now))
 
 
+@query
+def drift_any_periods(spark, folder):
+    """Two periods compared from stored day sketches alone; the index must be close to the exact one of the rows."""
+    t = demo.transactions(spark, folder)
+    names, path = ["amount", "merchant_id", "user_id"], fresh_path(spark, "sketches")
+    monitor.day_sketches(t, names).write.partitionBy("day").parquet(path)
+    cut = F.lit("2024-01-16").cast("date")
+    told = monitor.drift_between(spark.read.parquet(path), F.col("day") < cut, F.col("day") >= cut)
+    exact = monitor.stability_index(t, names, F.col("transaction_date") >= cut.cast("timestamp")).withColumnRenamed("psi", "exact")
+    close = F.coalesce(F.abs(F.col("psi") - F.col("exact")) <= 0.01 + 0.1 * F.col("exact"), F.lit(False))
+    return told.join(exact, "feature").select("feature", "n_base", "n_now", close.alias("is_close"))
+
+
 @query
 def daily_metrics(spark, folder):
     out = monitor.metrics_per_day(_scored(spark, folder))

@@ -69,6 +69,58 @@ def stability_index(
     return share.groupBy("feature").agg(F.sum(F.expr("(q - p) * ln(q / p)")).alias("psi"))
 
 
+SKETCH_K = 4096  # a rank read from a sketch is off by about 0.1 % of the rows at most; up to so many rows by nothing
+
+
+def day_sketches(df: DataFrame, features, time: str = "transaction_date", k: int = SKETCH_K) -> DataFrame:
+    """(day, feature, n, sketch): a mergeable quantile sketch of each feature's known values per day, in one aggregate.
+
+    To be stored, one folder per day: any two periods are compared from them by :func:`drift_between`, without the rows.
+    Rows without a time belong to no day.
+    """
+    features = list(features)
+    values = df.select(F.to_date(time).alias("day"), *[number(df, f).alias(f"x{n}") for n, f in enumerate(features)])
+    aggs = []
+    for n in range(len(features)):
+        aggs += [F.count(f"x{n}").alias(f"n{n}"), F.kll_sketch_agg_double(f"x{n}", F.lit(k)).alias(f"s{n}")]
+    wide = values.where("day IS NOT NULL").groupBy("day").agg(*aggs)
+    rows = [F.struct(F.lit(f).alias("feature"), F.col(f"n{n}").alias("n"), F.col(f"s{n}").alias("sketch")) for n, f in enumerate(features)]
+    return wide.select("day", F.inline(F.array(*rows))).where("n > 0")
+
+
+def drift_between(sketches: DataFrame, base, now, bins: int = 10, floor: float = 1e-4) -> DataFrame:
+    """(feature, n_base, n_now, psi) of two periods, which are conditions on the column ``day`` of :func:`day_sketches`.
+
+    Bins are cut at the base period's quantiles as the sketches tell them. A period may be any set of days, and the
+    two may overlap. ``psi`` is null where a period has no values.
+    """
+
+    def whole(period, name):
+        # days and features: few rows, whatever the table's size
+        found = sketches.where(period).groupBy("feature")
+        return found.agg(F.sum("n").alias(f"n_{name}"), F.kll_merge_agg_double("sketch").alias(name))
+
+    both = whole(base, "base").join(whole(now, "now"), "feature", "full")
+    there = F.col("base").isNotNull() & F.col("now").isNotNull()
+    probs = F.array(*[F.lit(j / bins) for j in range(1, bins)])
+    # a few cut values per feature; a rank is asked for constants only
+    told = both.where(there).select("feature", F.array_distinct(F.kll_sketch_get_quantile_double("base", probs)).alias("cuts"))
+    cuts = {r["feature"]: r["cuts"] for r in told.collect()}
+    for name in ("base", "now"):
+        ranks = F.lit(None).cast("array<double>")
+        for feature, values in cuts.items():
+            found = F.kll_sketch_get_rank_double(name, F.array(*[F.lit(float(v)) for v in values]))
+            ranks = F.when(there & (F.col("feature") == feature), found).otherwise(ranks)
+        both = both.withColumn(f"r_{name}", ranks)
+    share = "transform(sequence(0, size(r_{0})), j -> coalesce(get(r_{0}, j), 1D) - coalesce(get(r_{0}, j - 1), 0D))"
+    both = both.withColumns({f"p_{name}": F.expr(share.format(name)) for name in ("base", "now")})
+    # a bin that neither period has rows in says nothing
+    terms = f"""transform(filter(arrays_zip(p_base, p_now), b -> b.p_base > 0 OR b.p_now > 0),
+        b -> (greatest(b.p_now, {floor}D) - greatest(b.p_base, {floor}D)) * ln(greatest(b.p_now, {floor}D) / greatest(b.p_base, {floor}D)))"""
+    psi = F.when(there, F.expr(f"aggregate({terms}, 0D, (a, x) -> a + x)"))
+    return both.select("feature", F.coalesce("n_base", F.lit(0)).alias("n_base"), F.coalesce("n_now", F.lit(0)).alias("n_now"), psi.alias("psi"))
+
+
 def metrics_per_day(
     df: DataFrame, time="transaction_date", label="label", prediction="prediction", score="score",
     policy: ScalePolicy = DEFAULT_POLICY,
