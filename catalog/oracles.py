@@ -645,8 +645,7 @@ add(
     TXN,
 )
 add("psi_drift", "\nUNION ALL ".join(_psi(c) for c in ("amount", "merchant_id", "user_id")), TXN)
-add(
-    "daily_metrics",
+_DAILY = (
     """SELECT c.day AS day, round(hit / n, 6) AS accuracy,
          round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
          round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
@@ -665,6 +664,14 @@ add(
     """r AS (SELECT day, CAST(sum(pos) AS DOUBLE) AS pp, CAST(sum(neg) AS DOUBLE) AS nn,
        sum(neg * (tp - pos / 2e0)) AS auc, sum(pos * tp / (tp + fp)) AS ap FROM rn GROUP BY day)""",
 )
+add("daily_metrics", *_DAILY)
+# only labels of the first seven days count
+add(
+    "stream_performance",
+    _DAILY[0],
+    SCORED.replace("FROM txn", "FROM txn WHERE transaction_id % 216 <= 168"),
+    *_DAILY[2:],
+)
 
 # --- encoding -----------------------------------------------------------------------
 

@@ -805,6 +805,21 @@ def daily_metrics(spark, folder):
     return rounded(out.withColumn("day", F.col("day").cast("string")))
 
 
+@query
+def stream_performance(spark, folder):
+    """Daily metrics of a stream of scores whose labels come hours to nine days later; seven days are waited for."""
+    scored, root = _scored(spark, folder), fresh_path(spark, "performance")
+    scored.drop("label").write.parquet(f"{root}/scores")
+    later = F.make_dt_interval(hours=F.col("transaction_id") % 216)
+    labels = scored.select("transaction_id", "label", (F.col("transaction_date") + later).alias("labelled_at"))
+    labels.write.parquet(f"{root}/labels")
+    streams = [streaming.read_stream(spark, f"{root}/{n}", spark.read.parquet(f"{root}/{n}").schema) for n in ("scores", "labels")]
+    streaming.labelled_stream(*streams, f"{root}/joined", f"{root}/checkpoint").awaitTermination()
+    judged = spark.read.parquet(f"{root}/joined").where("label IS NOT NULL")
+    out = monitor.metrics_per_day(judged)
+    return rounded(out.withColumn("day", F.col("day").cast("string")))
+
+
 # --- encoding and models ------------------------------------------------------------
 
 

@@ -44,6 +44,37 @@ def score_stream(stream: DataFrame, encoder, model, out_path: str, checkpoint: s
     )
 
 
+def labelled_stream(
+    scores: DataFrame,
+    labels: DataFrame,
+    out_path: str,
+    checkpoint: str,
+    limit: str = "7 days",
+    late: str = "1 hour",
+    id_: str = TxnConfig.id,
+    time: str = TxnConfig.time,
+    labelled_at: str = "labelled_at",
+):
+    """Scored transactions with labels that arrive up to ``limit`` after them; appended to a table.
+
+    A row is written when its label comes, or without one when none can come any more: both streams have passed its time,
+    the limit and ``late``. Until then it is state, so state holds no more than the limit. Labels from before their transaction
+    or beyond the limit are not used. The table read by ``monitor.metrics_per_day`` is the model's performance.
+    """
+    s = scores.withWatermark(time, late)
+    m = labels.withColumnRenamed(id_, "__labelled_id").withWatermark(labelled_at, late)
+    near = F.expr(f"{id_} = __labelled_id AND {labelled_at} >= {time} AND {labelled_at} <= {time} + INTERVAL {limit}")
+    joined = s.join(m, near, "left_outer").drop("__labelled_id")
+    return (
+        joined.writeStream.format("parquet")
+        .option("path", out_path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def activity_stream(
     stream: DataFrame, out_path: str, checkpoint: str, width="1 hour", late="1 hour", cfg: TxnConfig = TxnConfig()
 ):
