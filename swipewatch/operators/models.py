@@ -50,14 +50,21 @@ def class_counts(df: DataFrame, label="label") -> dict:
 def fit_rows(df: DataFrame, most: int, label="label", id_: str | None = None) -> DataFrame:
     """At most about ``most`` rows to fit a model on: those with the smallest hashes, each class its share.
 
-    The bound is a parameter of the caller's choice; scoring always covers all rows.
+    A class so small that its share would be nothing keeps the row with its smallest hash. The bound is a parameter of
+    the caller's choice; scoring always covers all rows.
     """
     counts = class_counts(df, label)
     total = sum(counts.values())
     if total <= most:
         return df
     hashed = F.pmod(F.xxhash64(id_ or label, *([] if id_ else df.columns)), F.lit(1_000_000))
-    return df.filter(hashed < int(1_000_000 * most / total))
+    share = int(1_000_000 * most / total)
+    least = {r[label]: r["h"] for r in df.groupBy(label).agg(F.min(hashed).alias("h")).collect()}  # a row per class
+    kept = hashed < share
+    for c, h in least.items():
+        if h >= share:
+            kept = kept | (F.col(label).eqNullSafe(F.lit(c)) & (hashed == h))
+    return df.filter(kept)
 
 
 def positive_weight(counts: dict) -> float:

@@ -185,3 +185,11 @@ def test_infinite_values_are_described(spark):
     assert profile.describe(df).first()["q75"] == float("inf")
     assert profile.box_stats(df).count() == 1
     assert sum(r["n"] for r in profile.histogram(df, "x", 4).collect()) == 3
+
+
+def test_a_rare_class_keeps_a_row(spark):
+    from swipewatch.operators.models import fit_rows
+
+    df = spark.range(20_000).selectExpr("id AS transaction_id", "IF(id = 7, 1, 0) AS label")
+    found = {r["label"]: r["count"] for r in fit_rows(df, 500, id_="transaction_id").groupBy("label").count().collect()}
+    assert found[1] == 1 and 400 < found[0] < 600
