@@ -818,6 +818,20 @@ add(
           ('windows', '[''1h'', ''24h'', ''7d'', ''30d'']')) v(setting, value)""",
 )
 
+_WIDE = [("name", "'t' || CAST(transaction_id AS VARCHAR)"), ("currency", "currency"), ("merchant", "CAST(merchant_id AS VARCHAR)")]
+_OFFSETS = ["0"]
+for _, _value in _WIDE:
+    _OFFSETS.append(f"{_OFFSETS[-1]} + (SELECT count(DISTINCT {_value}) FROM txn)")
+_NUMBERS = ", ".join(
+    f"CASE WHEN {v} IS NOT NULL THEN dense_rank() OVER (ORDER BY {v} NULLS LAST) - 1 + {o} END" for (_, v), o in zip(_WIDE, _OFFSETS)
+)
+add(
+    "wide_one_hot",
+    f"""SELECT transaction_id, array_to_string(list_filter([{_NUMBERS}], lambda x: x IS NOT NULL), ',') AS slots,
+               CAST({_OFFSETS[-1]} AS INTEGER) AS width FROM txn""",
+    TXN,
+)
+
 # --- models -------------------------------------------------------------------------
 
 # scores themselves are a model's; whose they are, that they are chances, and what follows from them is determined

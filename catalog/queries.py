@@ -25,6 +25,7 @@ from swipewatch.operators import (
     split,
     totals,
     trees,
+    vocabulary,
 )
 from swipewatch.plans.ranks import quantiles
 from swipewatch.sources import demo, history, ingest, retrieval, stored
@@ -901,6 +902,15 @@ def preprocess_metadata(spark, folder):
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(found.items())], "setting string, value string")
 
 
+@query
+def wide_one_hot(spark, folder):
+    """Slots of a column with as many categories as rows and of two small ones; vocabularies are tables."""
+    t = demo.transactions(spark, folder).withColumn("name", F.concat(F.lit("t"), F.col("transaction_id").cast("string")))
+    known = {c: vocabulary.vocabulary(t, c) for c in ("name", "currency", "merchant_id")}
+    out, width = vocabulary.one_hot_slots(t, known)
+    return out.select("transaction_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"), F.lit(width).alias("width"))
+
+
 # models are fitted on at most so many labelled rows, so that the queries end in minutes; every
 # other setting is the package's, and all test rows are scored
 FIT_ROWS = 2_000
