@@ -750,6 +750,25 @@ add(
     TXN,
     ACTIVITY,
 )
+add(
+    "stream_alerts",
+    """SELECT user_id, 'busy' AS kind, make_timestamp(w * 21600000000) AS at, count(*) AS value FROM closed
+       GROUP BY user_id, w HAVING count(*) > 2
+       UNION ALL
+       SELECT user_id, 'silent', make_timestamp(t), NULL FROM gaps
+       WHERE later - t > 259200000000
+          OR later IS NULL AND ((t + 259200000000) // 21600000000 + 1) * 21600000000 <= mark
+       UNION ALL
+       SELECT user_id, 'returned', make_timestamp(later), (later - t) // 1000000 FROM gaps
+       WHERE later - t > 259200000000 AND later - t <= 691200000000""",
+    TXN,
+    """timed AS (SELECT user_id, epoch_us(transaction_date) AS t FROM txn
+                 WHERE user_id IS NOT NULL AND transaction_date IS NOT NULL),
+       passed AS (SELECT (max(t) // 1000 - 3600000) * 1000 AS mark FROM timed),
+       closed AS (SELECT user_id, t, t // 21600000000 AS w, mark FROM timed, passed
+                  WHERE (t // 21600000000 + 1) * 21600000000 <= mark),
+       gaps AS (SELECT user_id, t, mark, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS later FROM closed)""",
+)
 
 # --- preprocessing ------------------------------------------------------------------
 

@@ -31,6 +31,7 @@ from swipewatch.plans.ranks import quantiles
 from swipewatch.sources import demo, history, ingest, retrieval, stored
 from swipewatch.sources.paths import fresh_path
 from swipewatch.sources.schemas import TRANSACTIONS
+from swipewatch.streaming import alerts
 from swipewatch.streaming import jobs as streaming
 
 QUERIES = {}
@@ -1153,3 +1154,15 @@ def stream_activity(spark, folder):
     stream = demo.transactions_from_events(_event_stream(spark, folder))
     streaming.activity_stream(stream, out, fresh_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query
+def stream_alerts(spark, folder):
+    """The month arrives in two parts; the stream is stopped in between and goes on from its state."""
+    t = demo.transactions(spark, folder)
+    arrivals, checkpoint, out = (fresh_path(spark, n) for n in ("arrivals", "checkpoint", "alerts"))
+    p = alerts.AlertPolicy(width="6h", max_txns=2, silence="3d", forget="8d")
+    for low, high in ((1, 14), (15, 31)):
+        t.filter(F.dayofmonth("transaction_date").between(low, high)).write.mode("append").parquet(arrivals)
+        alerts.alert_stream(streaming.read_stream(spark, arrivals, t.schema), out, checkpoint, p).awaitTermination()
+    return spark.read.parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
