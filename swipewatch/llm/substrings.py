@@ -9,9 +9,9 @@ occurrences of an edge stand in stretches of one anchor.
 2. Stretches are grouped by anchor, map-side combined. Where all occurrences of an anchor have one digest, the
    graph doesn't branch there: the stretch is compacted and stands for all its edges at once. The occurrence in
    the document with the smallest id is its source.
-3. At anchors with several digests the graph branches. Each digest's stretch gets its own source. In documents
-   that don't have their words from a smaller one yet, the stretches are taken apart into edges, and the edges
-   are grouped by digest.
+3. At anchors with several digests the graph branches. Each digest's stretch gets its own source. The sources
+   themselves are taken apart into edges, once however often their document repeats them, and the edges are
+   grouped by digest.
 4. Stretches and edges whose source is a smaller document have coordinates there, and the words at both coordinates
    have one digest. Those that go on at the same distance from the same source are one long repeated span.
    Its words go.
@@ -186,7 +186,8 @@ _SMALLER = "id IS NULL AND source.id IS NOT NULL OR source.id < id"
 
 
 def _taken_apart(docs: DataFrame, wanted: DataFrame, id_: str, text: str, p: SpanPolicy) -> DataFrame:
-    """(id, mark, first, d0, d1) of each edge in the stretches ``wanted`` (id, mark, first, n), stored."""
+    """(id, mark, stretch, first, d0, d1) of each edge in the stretches ``wanted`` (id, mark, first, n), stored;
+    ``stretch`` is the first edge of its stretch."""
     asked = _per_text(wanted, "asked", "first", "n")
     rows = _texts(docs, id_, text).alias("t").join(asked, F.expr(_SAME))
     rows = text_batches(rows.select("t.id", "t.mark", "t.text", "asked"))
@@ -196,16 +197,16 @@ def _taken_apart(docs: DataFrame, wanted: DataFrame, id_: str, text: str, p: Spa
         for b in batches:
             for k, t in enumerate(b.column(2).cast(pa.binary())):
                 line, asked = Line(t.as_py().split()), b.column(3)[k].values
-                firsts = np.concatenate(
-                    [np.arange(f, f + n) for f, n in zip(asked.field(0).to_pylist(), asked.field(1).to_pylist())]
-                )
+                starts, sizes = (asked.field(c).to_numpy() for c in (0, 1))
+                firsts = np.concatenate([np.arange(f, f + n) for f, n in zip(starts.tolist(), sizes.tolist())])
                 digests = b"".join([line.digest(f, f + p.window) for f in firsts.tolist()])
                 parts = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 whose = [pa.array([b.column(c)[k].as_py()] * len(firsts), b.column(c).type) for c in (0, 1)]
-                columns = [*whose, pa.array(firsts.astype(np.int32)), pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "first", "d0", "d1"])
+                places = [pa.array(a.astype(np.int32)) for a in (np.repeat(starts, sizes), firsts)]
+                columns = [*whose, *places, pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "stretch", "first", "d0", "d1"])
 
-    return stored(rows.mapInArrow(run, f"id {kind}, mark long, first int, d0 long, d1 long"), "edges")
+    return stored(rows.mapInArrow(run, f"id {kind}, mark long, stretch int, first int, d0 long, d1 long"), "edges")
 
 
 def _repeats(docs: DataFrame, read: DataFrame, id_: str, text: str, p: SpanPolicy) -> DataFrame:
@@ -232,10 +233,20 @@ def _repeats(docs: DataFrame, read: DataFrame, id_: str, text: str, p: SpanPolic
     sources = stored(sources.where("many > 1").drop("many"), "sources")
     branches = stored(branches.join(sources, ["d0", "d1"], "left"), "branches")
     settled = branches.where(_SMALLER).select("id", "mark", "first", "n", "source")
-    left = branches.where(f"NOT coalesce({_SMALLER}, false)").select("id", "mark", "first", "n")
-    edges = _taken_apart(docs, left, id_, text, p)
+    # the rest have their source in their own document, or none: a digest is taken apart at its source only
+    left = branches.where(f"NOT coalesce({_SMALLER}, false)")
+    firsts = left.where("source IS NULL OR source.first = first")
+    again = left.where("source.first < first").select("id", "mark", "first", "d0", "d1").alias("t")
+    edges = _taken_apart(docs, firsts.select("id", "mark", "first", "n"), id_, text, p)
     found = edges.groupBy("d0", "d1").agg(F.count("*").alias("many"), F.min(_source("first")).alias("source")).where("many > 1")
-    single = edges.join(stored(found.drop("many"), "sources"), ["d0", "d1"]).where(_SMALLER).select("id", "mark", "first", F.lit(1).alias("n"), "source")
+    single = edges.join(stored(found.drop("many"), "sources"), ["d0", "d1"]).where(_SMALLER)
+    single = stored(single.select("id", "mark", "stretch", "first", F.lit(1).alias("n"), "source"), "single")
+    # what was found at the source holds wherever its document has the same words again
+    told = firsts.where("source IS NOT NULL").select("id", "mark", F.col("first").alias("stretch"), "d0", "d1").alias("c")
+    told = told.join(single.alias("t"), F.expr(f"{_SAME} AND t.stretch = c.stretch"))
+    told = told.groupBy("d0", "d1", F.expr("t.first - t.stretch").alias("step")).agg(F.min("t.source").alias("source"))
+    repeated = again.join(told, ["d0", "d1"]).selectExpr("id", "mark", "first + step AS first", "1 AS n", "source")
+    single = single.drop("stretch").unionByName(repeated)
     return stored(compact.unionByName(settled).unionByName(single), "repeats")
 
 
