@@ -27,6 +27,7 @@ from .rolling import quoted
 _VALID = "(__k IS NOT NULL AND __t IS NOT NULL)"
 _MOMENTS = {"mean": 1, "var": 2, "std": 2, "skew": 3, "kurt": 4}
 AGGREGATES = ("min", "max", "first", "last", *_MOMENTS)
+TASK_EVENTS = 200_000  # every window sorts the events of a task, so that many are dealt to one
 
 
 @dataclass(frozen=True)
@@ -71,8 +72,10 @@ def moving(
     plan = plan_chunks(source, key, t, i, policy) if plan is None else plan
     events = plan.attach(_events(df, key, t, i, windows, columns, last, keep), "__k", "__t", "__i", where=_VALID)
     if plan.empty:
-        # windows are told by blocks of the key; one exchange serves all of them
-        events = events.repartition("__k", "__chunk")
+        # windows are told by blocks of the key; one exchange serves all of them. The number of tasks goes by that
+        # of events: a fixed number, or one by the bytes of the exchange, lets the sorts of a task grow with the input
+        tasks = max(2, -(-plan.total * (1 + len(windows)) // TASK_EVENTS))
+        events = events.repartition(tasks, "__k", "__chunk")
     hot = None if plan.empty else _events(source, key, t, i, windows, columns, last, None)
     for n, (_, length) in enumerate(windows, start=1):
         events = _one_window(events, n, length, columns, plan, hot)
@@ -197,8 +200,9 @@ def _one_window(events: DataFrame, n: int, length: int, columns, plan: ChunkPlan
     group = "PARTITION BY __k, __chunk, __b"
     before = f"OVER ({group} ORDER BY __t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     not_left = f"OVER ({group} ORDER BY __t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    # deviations are taken from a value of the block itself
-    rows = _with(rows, {f"__o{k}": f"coalesce(min(__x{k}) OVER ({group}), 0D)" for k, c in enumerate(columns) if c.degree})
+    # deviations are taken from a value of the block itself; in the order of ``before``, which saves a sort
+    whole = f"OVER ({group} ORDER BY __t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    rows = _with(rows, {f"__o{k}": f"coalesce(min(__x{k}) {whole}, 0D)" for k, c in enumerate(columns) if c.degree})
     parts = {}
     for k, c in enumerate(columns):
         parts |= {f"__p{k}{f}": x for f, x in _raw(c, k, 0, before, f"__o{k}").items()}

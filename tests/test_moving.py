@@ -141,3 +141,13 @@ def test_a_million_rows_of_one_key(spark):
                  policy=ScalePolicy(max_group_rows=150_000), keep=["transaction_id"])
     r = out.where("transaction_id >= 10007").agg(F.count("*").alias("n"), F.min("lo_4d"), F.max("lo_4d")).first()
     assert tuple(r) == (1_000_000 - 10_007, 0.0, 0.0)
+
+
+def test_tasks_go_by_the_number_of_events(spark, monkeypatch):
+    """A task sorts as many events whatever the size of the table; more rows make more tasks."""
+    monkeypatch.setattr("swipewatch.operators.moving.TASK_EVENTS", 500)
+    rows = spark.range(2000).selectExpr("id AS transaction_id", "id % 100 AS k", "id * 1000000 AS t", "id AS i", "cast(id AS double) AS x")
+    made = moving(rows, "k", "t", "i", ("1h", "2h"), [Moving("x", {"min": "lo", "mean": "mean"})], keep=["transaction_id"])
+    # an event for each row and for both windows
+    assert "RoundRobin" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    assert made.count() == 2000
