@@ -245,7 +245,8 @@ def _add_older(rows, older) -> DataFrame:
     )
     changed = _moment_updates()
     kept = [c for c in rows.columns if c not in changed]
-    joined = rows.join(named, F.expr("__k = __ok"), "left")
+    # one row per key: their number goes by the input, so they are not left to a broadcast
+    joined = rows.join(named.hint("merge"), F.expr("__k = __ok"), "left")
     return joined.selectExpr(*kept, *[f"{x} AS {n}" for n, x in changed.items()])
 
 

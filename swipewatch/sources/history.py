@@ -107,22 +107,28 @@ def _union(a: DataFrame, b: DataFrame | None) -> DataFrame:
     return a if b is None else a.unionByName(b.select(*a.columns))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """Keys and instants go by the input. Many joins of such sides are in one plan here, each just small enough to be broadcast;
+    together they would not fit the driver, so none is."""
+    return df.hint("merge")
+
+
 def _before(points: DataFrame, rows: DataFrame, days: DataFrame, policy: ScalePolicy) -> DataFrame:
     """(k, x, sums over all rows of the key before ``x``) for ``points`` (k, day, x)."""
     zeros = [f"0L AS {c}" for c in _SUMS]
     asked = points.select("k", "day", "x").distinct()
     own_days = asked.select("k", "day").distinct()
     # within the day of the point
-    near = rows.join(own_days, ["k", "day"], "left_semi").selectExpr("struct(k, day) AS g", "t", "i", *_SUMS, "false AS asks")
+    near = rows.join(_large(own_days), ["k", "day"], "left_semi").selectExpr("struct(k, day) AS g", "t", "i", *_SUMS, "false AS asks")
     both = near.unionByName(asked.selectExpr("struct(k, day) AS g", "x AS t", f"{LONG_MIN}L AS i", *zeros, "true AS asks"))
     inside = ordered_sums(both, "g", "t", "i", {f"in_{c}": c for c in _SUMS}, plan_chunks(both, "g", "t", "i", policy))
     inside = inside.where("asks").selectExpr("g.k AS k", "g.day AS day", "t AS x", *[f"in_{c}" for c in _SUMS])
     # whole days before it
-    past = days.join(asked.select("k").distinct(), "k", "left_semi").selectExpr("k", "day AS t", "0L AS i", *_SUMS, "false AS asks")
+    past = days.join(_large(asked.select("k").distinct()), "k", "left_semi").selectExpr("k", "day AS t", "0L AS i", *_SUMS, "false AS asks")
     both = past.unionByName(own_days.selectExpr("k", "day AS t", f"{LONG_MIN}L AS i", *zeros, "true AS asks"))
     whole = ordered_sums(both, "k", "t", "i", {f"day_{c}": c for c in _SUMS}, plan_chunks(both, "k", "t", "i", policy))
     whole = whole.where("asks").selectExpr("k", "t AS day", *[f"day_{c}" for c in _SUMS])
-    return inside.join(whole, ["k", "day"]).selectExpr("k", "x", *[f"in_{c} + day_{c} AS {c}" for c in _SUMS])
+    return inside.join(_large(whole), ["k", "day"]).selectExpr("k", "x", *[f"in_{c} + day_{c} AS {c}" for c in _SUMS])
 
 
 def _windows_of(new: DataFrame, family: str, stored: StoredHistory, cfg: TxnConfig, policy: ScalePolicy) -> DataFrame:
@@ -136,7 +142,7 @@ def _windows_of(new: DataFrame, family: str, stored: StoredHistory, cfg: TxnConf
     wanted = sorted(r["day"] for r in points.select("day").distinct().collect())  # days, not rows
     rows = _measured(_union(new, stored.rows(wanted)), family)
     days = _union(day_sums(new, family), stored.days(family))
-    sums = points.join(_before(points, rows, days, policy), ["k", "x"])
+    sums = points.join(_large(_before(points, rows, days, policy)), ["k", "x"])
     at = {s: n for n, s in enumerate(shifts)}
     wide = sums.groupBy("k", "t").agg(
         *[F.sum(F.when(F.col("j") == n, F.col(c))).alias(f"{c}{n}") for n in range(len(shifts)) for c in _SUMS]
@@ -156,7 +162,7 @@ def _windows_of(new: DataFrame, family: str, stored: StoredHistory, cfg: TxnConf
 def _moments_before(days: DataFrame, asked: DataFrame) -> DataFrame:
     """Summary of all days before the one in ``k`` (key, day), for the pairs in ``asked``."""
     points = asked.selectExpr("user AS k", "day", "true AS asks").distinct()
-    mine = days.join(points.select("k").distinct(), "k", "left_semi").withColumn("asks", F.lit(False))
+    mine = days.join(_large(points.select("k").distinct()), "k", "left_semi").withColumn("asks", F.lit(False))
     both = mine.unionByName(points, allowMissingColumns=True)
     # rows are days of one user here: few, whatever the user's transactions
     past = "(PARTITION BY k ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -194,7 +200,7 @@ def features_from_history(
         frame = frame.withColumn("__user_day", F.expr(f"IF({quoted(cfg.user)} IS NULL OR __time_us IS NULL, NULL, __user_day)"))
         past = stored.rows(sorted(r["day"] for r in today.select("day").distinct().collect()))
         if past is not None:
-            past = past.join(today, ["user", "day"], "left_semi").selectExpr(
+            past = past.join(_large(today), ["user", "day"], "left_semi").selectExpr(
                 "struct(user AS k, day) AS __user_day", "t AS __time_us", "i AS __tie", "amount AS __amount", "false AS __here"
             )
             frame = frame.unionByName(past, allowMissingColumns=True)
@@ -210,5 +216,5 @@ def features_from_history(
             if key in columns:
                 told = _windows_of(new, family, stored, cfg, policy)
                 told = told.select("__k", "__t", *[c for c in told.columns if c in wanted])
-                out = out.join(told, F.expr(f"{quoted(key)} = __k AND __time_us = __t"), "left").drop("__k", "__t")
+                out = out.join(_large(told), F.expr(f"{quoted(key)} = __k AND __time_us = __t"), "left").drop("__k", "__t")
     return out.select(*columns, *wanted)

@@ -72,3 +72,18 @@ def test_only_the_days_of_the_edges_are_read(spark, folder):
     plan = stored.rows([day, day - 1])
     assert {r["day"] for r in plan.select("day").distinct().collect()} <= {day, day - 1}
     assert all(f"day={day}" in f or f"day={day - 1}" in f for f in plan.inputFiles())
+
+
+def test_no_side_that_goes_by_the_input_is_broadcast(spark, tmp_path):
+    """Small as these tables are, keys and instants meet by sort-merge joins: together they may not fit the driver."""
+    rows = spark.range(300).selectExpr(
+        "id AS transaction_id", "id % 7 AS user_id", "id % 3 AS merchant_id",
+        "timestamp_micros(1704067200000000 + id * 3600000000) AS transaction_date", "cast(id AS double) AS amount",
+        "'USD' AS currency", "'approved' AS status", "cast(id % 2 AS int) AS fraud",
+    )
+    stored = StoredHistory(spark, str(tmp_path / "history"))
+    stored.append(rows.where("transaction_id < 200"))
+    made = features_from_history(rows.where("transaction_id >= 200"), stored)
+    assert made.count() == 100
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
