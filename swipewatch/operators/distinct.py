@@ -19,9 +19,16 @@ from ..functions.scalars import window_label, window_micros
 from ..plans.chunks import LONG_MAX, plan_chunks
 from .rolling import quoted
 
+TASK_EVENTS = 500_000  # a task sorts about so many
+
 _VALID = "__k IS NOT NULL AND __t IS NOT NULL"
 
 
+def _dealt(df: DataFrame, events: int, key: str) -> DataFrame:
+    """Dealt by key and chunk; more events make more tasks, not longer ones."""
+    return df.repartition(max(2, -(-events // TASK_EVENTS)), key, "__chunk")
+
+
 def occurrences(df: DataFrame, key: str, value: str, t: str, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     """(__k, __t, __next): each instant at which a key has a value, and the next instant at which it has the same one."""
     seen = df.selectExpr(f"{quoted(key)} AS __k", f"{quoted(value)} AS __v", f"{quoted(t)} AS __t")
@@ -29,7 +36,7 @@ def occurrences(df: DataFrame, key: str, value: str, t: str, policy: ScalePolicy
     seen = seen.selectExpr("struct(__k, __v) AS __kv", "__t", "0L AS __i")
     plan = plan_chunks(seen, "__kv", "__t", "__i", policy)
     order = "PARTITION BY __kv, __chunk ORDER BY __t"
-    out = plan.attach(seen, "__kv", "__t", "__i").selectExpr("*", f"lead(__t) OVER ({order}) AS __next")
+    out = _dealt(plan.attach(seen, "__kv", "__t", "__i"), plan.total, "__kv").selectExpr("*", f"lead(__t) OVER ({order}) AS __next")
     if not plan.empty:
         hot = plan.located(plan.only_hot(seen, "__kv"), "__t", "__i")
         firsts = hot.groupBy("__hot", "__chunk").agg(F.min("__t").alias("__first"))
@@ -72,6 +79,12 @@ def rolling_distinct(
     changes = events.select("__k", F.col("t").alias("__t"), *[c if c[0] == "d" else nothing.alias(c) for c in names]).unionByName(
         present.selectExpr("__k", "t AS __t", *[f"0L AS d{m}" for m in range(len(windows))], *counts)
     )
+    narrow = df.selectExpr(f"{quoted(key)} AS __k", f"{quoted(t)} AS __t", f"{quoted(i)} AS __i")
+    plan = plan_chunks(narrow, "__k", "__t", "__i", policy)
+    if not plan.empty:
+        # nobody asks after a key's last row; of a hot key the last chunk would hold all that leaves after it
+        ends = plan.only_hot(narrow, "__k").groupBy("__hot").agg(F.max("__t").alias("__end"))
+        changes = changes.join(F.broadcast(ends), F.expr("__k = __hot"), "left").where("__end IS NULL OR __t < __end").drop("__hot", "__end")
     # one event per key and instant
     changes = changes.groupBy("__k", "__t").agg(*[F.sum(c).alias(c) for c in names])
     payload = f"struct({', '.join(quoted(c) for c in keep)})"
@@ -81,10 +94,9 @@ def rolling_distinct(
     for c in names:
         asking = asking.withColumn(c, nothing)
     both = asking.unionByName(told)
-    narrow = df.selectExpr(f"{quoted(key)} AS __k", f"{quoted(t)} AS __t", f"{quoted(i)} AS __i")
-    plan = plan_chunks(narrow, "__k", "__t", "__i", policy)
     before = "(PARTITION BY __k, __chunk ORDER BY __t, __i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    out = plan.attach(both, "__k", "__t", "__i", where=f"({_VALID})")
+    # a row asks, and is at most as many changes as there are windows and one, for itself and for its value
+    out = _dealt(plan.attach(both, "__k", "__t", "__i", where=f"({_VALID})"), plan.total * (3 + 2 * len(windows)), "__k")
     out = out.selectExpr("__k", "__t", "__chunk", "__row", *[f"coalesce(sum({c}) OVER {before}, 0L) AS {c}" for c in names])
     out = out.where("__row IS NOT NULL")
     if not plan.empty:

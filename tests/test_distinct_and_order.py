@@ -100,3 +100,14 @@ def test_a_hot_key_of_many_rows(spark):
     assert tuple(r) == (200_000 - 60_540, 504.0, 504.0)
     d = rolling_distinct(base, "key", "value", "t", "id", ["60540s"], "n", policy, keep=["id"])
     assert tuple(d.where("id >= 1009").agg(F.min("n_60540s"), F.max("n_60540s")).first()) == (1009, 1009)
+
+
+def test_what_leaves_after_the_last_row_of_a_hot_key_is_not_kept(spark, monkeypatch):
+    """Tasks go by the number of events, and no chunk holds the changes that nobody asks for."""
+    monkeypatch.setattr("swipewatch.operators.distinct.TASK_EVENTS", 1000)
+    rows = spark.range(1000).selectExpr("id AS transaction_id", "1L AS k", "id % 7 AS v", "id * 1000000 AS t", "id AS i")
+    made = rolling_distinct(rows, "k", "v", "t", "i", ("5s", "30d"), "seen", ScalePolicy(max_group_rows=100), ["transaction_id"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert ", 7), REPARTITION_BY_NUM" in plan and "__end" in plan
+    found = [tuple(r) for r in made.orderBy("transaction_id").collect()]
+    assert found == [(n, None if not n else min(n, 5), None if not n else min(n, 7)) for n in range(1000)]
