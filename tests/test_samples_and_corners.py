@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swipewatch import ScalePolicy
-from swipewatch.operators import metrics, profile
+from swipewatch.operators import metrics, models, profile
 
 
 def test_sample_is_the_same_on_any_partitioning(spark):
@@ -50,3 +50,13 @@ def test_a_score_is_no_class(spark):
     df = spark.range(2000).select((F.col("id") % 2).alias("label"), (F.col("id") / 7).alias("prediction"))
     with pytest.raises(ValueError, match="prediction"):
         metrics.confusion_matrix(df)
+
+
+def test_bounded_fit_rows_are_written_once(spark):
+    """A fit reads its rows many times: they come from a table of their own, not from the whole input again."""
+    rows = spark.range(5000).selectExpr("id AS transaction_id", "cast(id % 5 = 0 AS int) AS label", "cast(id AS double) AS x")
+    made = models.fit_rows(rows, 500, id_="transaction_id")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Range" not in plan
+    assert 300 < made.count() < 700 and {r[0] for r in made.select("label").distinct().collect()} == {0, 1}
+    assert models.fit_rows(rows, 5000).count() == 5000
