@@ -8,7 +8,9 @@ be among them.
 
 Where in a document a template may be is voted by its own words: an occurrence at place i of a word that
 stands at place j in the template votes for a beginning at i - j. Only pieces around dense votes are
-aligned, so several copies are found, and a long document costs in proportion to its length. Between the words of a
+aligned, so several copies are found, and a long document costs in proportion to its length. Common words vote for nearly
+every place, so a piece is aligned only if it has enough of the template's words, each as often as the template at most, and
+all its telling words: no alignment can match more. The document as a whole is asked first. Between the words of a
 find may stand up to as many others as the template has words; a template spread wider than that is not found. A name or
 term of another license between them ("Lesser" in the name of the GPL) speaks against the find.
 
@@ -167,6 +169,8 @@ class Templates:
         for name, words in self.words.items():
             numbers = {x for m in _VERSION.findall(texts[name].encode()) for x in m if x}
             self.telling[name] = {j for j, w in enumerate(words) if w in TELLING or w in numbers}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.told = {name: Counter(words[j] for j in self.telling[name]) for name, words in self.words.items()}
         shared = Counter(w for words in self.words.values() for w in set(words))
         needed = set()
         for words in sorted(self.words.values(), key=len):
@@ -179,10 +183,12 @@ class Templates:
                 free -= count[w]
         # inside another one: the longer one is there only if the shorter one is
         self.needed = sorted(w for w in needed if not any(o != w and o in w for o in needed))
-        self.votes = {}
+        self.places = {}
         for name, words in self.words.items():
+            self.places[name] = mine = {}
             for j, w in enumerate(words):
-                self.votes.setdefault(w, []).append((name, j))
+                mine.setdefault(w, []).append(j)
+        self.known = frozenset(w for count in self.counts.values() for w in count)
 
     def need(self, words: list) -> int:
         return max(1, int(np.ceil(self.coverage * len(words) - 1e-9)))
@@ -190,6 +196,22 @@ class Templates:
     def possible(self, low: bytes) -> bool:
         return any(w in low for w in self.needed)
 
+    def enough(self, name: str, places: dict) -> bool:
+        """Whether a document with these places of words has enough of the template's words and all its telling ones."""
+        if any(len(places.get(w, ())) < c for w, c in self.told[name].items()):
+            return False
+        return sum(min(c, len(places[w])) for w, c in self.counts[name].items() if w in places) >= self.need(self.words[name])
+
+    def likely(self, name: str, at: dict, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for each of the pieces from ``begin`` to ``end``; ``at`` holds the places of the template's words."""
+        matched, told = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+        for w, places in at.items():
+            inside = np.searchsorted(places, end) - np.searchsorted(places, begin)
+            matched += np.minimum(inside, self.counts[name][w])
+            if w in self.told[name]:
+                told &= inside >= self.told[name][w]
+        return told & (matched >= self.need(self.words[name]))
+
     def tells(self, name: str, words: list, begin: int, pairs: list) -> bool:
         """Whether all telling words of the template are matched, and no other license's stand between its words."""
         if not self.telling[name] <= {j for _, j in pairs}:
@@ -203,32 +225,38 @@ class Templates:
         if not self.possible(low := text.translate(_LOWER)):
             return []
         words = _WORD.findall(low)
-        starts = {}
+        places = {}
         for i, w in enumerate(words):
-            for name, j in self.votes.get(w, ()):
-                starts.setdefault(name, []).append(i - j)
+            if w in self.known:
+                places.setdefault(w, []).append(i)
         found = []
-        for name, votes in starts.items():
-            template = self.words[name]
+        for name, template in self.words.items():
             n, need = len(template), self.need(template)
-            votes = np.sort(np.asarray(votes))
-            if len(votes) < need:
+            if not self.enough(name, places):
                 continue
+            at = {w: np.asarray(places[w]) for w in self.counts[name] if w in places}
+            votes = np.sort(np.concatenate([at[w] - j for w in at for j in self.places[name][w]]))
             mine = []
             # closely set words first, so that neighbouring copies are told apart; then those with more words between
             for slack in (max(2, n // 4), max(2, n)):
                 # need matches that drift at most ``slack`` places: so many votes within so short a stretch
                 dense = np.flatnonzero(votes[need - 1 :] - votes[: len(votes) - need + 1] <= slack)
-                upto, near = -1, list(mine)
+                starts = votes[dense]
+                dense = dense[self.likely(name, at, np.maximum(starts - slack, 0), starts + n + 2 * slack)]
+                upto, near, failed = -1, list(mine), None
                 for k in dense.tolist():
                     begin, end = max(0, int(votes[k]) - slack, upto), int(votes[k]) + n + 2 * slack
                     if int(votes[k]) < upto - slack or any(a < end and begin < b for *_, a, b in near):
                         continue
+                    if (begin, end) == failed:
+                        continue
                     pairs = aligned(words[begin:end], template)
                     if len(pairs) >= need and self.tells(name, words, begin, pairs):
                         first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
                         mine.append((name, len(pairs) / n, first, last))
                         upto = last
+                    else:
+                        failed = begin, end
             found += mine
         taken, out = np.zeros(len(words), bool), []
         for name, share, first, last in sorted(found, key=lambda f: (-f[1], -len(self.words[f[0]]), f[0], f[2])):
