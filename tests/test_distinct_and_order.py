@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from swipewatch import ScalePolicy
+from swipewatch.operators import order_stats
 from swipewatch.operators.distinct import rolling_distinct
-from swipewatch.operators.order_stats import rolling_quantiles, wavelet_select
+from swipewatch.operators.order_stats import rolling_quantiles, signed_select, wavelet_select
 
 WINDOWS = {"10s": 10, "100s": 100}
 
@@ -111,3 +112,39 @@ def test_what_leaves_after_the_last_row_of_a_hot_key_is_not_kept(spark, monkeypa
     assert ", 7), REPARTITION_BY_NUM" in plan and "__end" in plan
     found = [tuple(r) for r in made.orderBy("transaction_id").collect()]
     assert found == [(n, None if not n else min(n, 5), None if not n else min(n, 7)) for n in range(1000)]
+
+
+def test_signed_select():
+    dice = np.random.default_rng(2)
+    for width in (1, 2, 5, 33):
+        start = dice.integers(0, 4, width)
+        held, pieces, signs, counts = start.copy(), [], [], [start.copy()]
+        for _ in range(60):
+            c = int(dice.integers(0, width))
+            sign = int(dice.integers(1, 3)) if held[c] == 0 or dice.random() < 0.5 else -1
+            held[c] += sign
+            pieces.append(c), signs.append(sign), counts.append(held.copy())
+        asked = [(at, r) for at, n in enumerate(counts) for r in range(n.sum())]
+        found = signed_select(np.array(pieces), np.array(signs), start, *(np.array(a) for a in zip(*asked)))
+        for (at, r), c, rest in zip(asked, *found):
+            assert counts[at][:c].sum() + rest == r and 0 <= rest < counts[at][c]
+
+
+@pytest.mark.parametrize("rows_of_a_piece", [1_000_000, 5])
+def test_long_keys_are_divided_once(spark, monkeypatch, rows_of_a_piece):
+    """Pieces that fit a task are not divided again, however small the limit; longer ones are."""
+    divided, whole = [], order_stats._divided
+    monkeypatch.setattr(order_stats, "_divided", lambda *a: divided.append(1) or whole(*a))
+    monkeypatch.setattr(order_stats, "PIECE_ROWS", rows_of_a_piece)
+    monkeypatch.setattr(order_stats, "PARTS", 4)
+    monkeypatch.setattr(order_stats, "CHUNK_SHARE", 1)
+    rows = [(d, "hot" if d % 5 else "a", d % 150, float(d * 7919 % 211)) for d in range(400)]
+    out = rolling_quantiles(table(spark, rows), "key", "value", "t", WINDOWS, {"m": 0.5, "top": 0.9}, ScalePolicy(max_group_rows=5))
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and bool(divided) == (rows_of_a_piece == 5)
+    for row in rows:
+        for label, w in WINDOWS.items():
+            xs = [r[3] for r in seen(rows, row, w)]
+            for prefix, p in (("m", 0.5), ("top", 0.9)):
+                want = pytest.approx(float(np.quantile(xs, p)), abs=1e-9) if xs else None
+                assert got[row[0]][f"{prefix}_{label}"] == want
