@@ -8,12 +8,13 @@ ever subtracted: a deviation of 1 around a mean of 10**9 keeps its digits, and a
 
 All windows and columns share one exchange on the key. Hot keys are cut into ordered chunks (``plans.chunks``): then a
 block may lie in several chunks, and what its other chunks hold comes from totals per chunk of such blocks only, of which
-there are at most about two for each chunk and window.
+there are at most about two for each chunk and window. What leaves after a hot key's last row, a long window's whole content,
+is a chunk of its own: its rows see no more of it than its totals, so that no task holds it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT_POLICY, ScalePolicy
 from ..functions.scalars import window_label, window_micros
-from ..plans.chunks import LONG_MAX, ChunkPlan, plan_chunks
+from ..plans.chunks import LONG_MAX, LONG_MIN, ChunkPlan, plan_chunks
 from .rolling import quoted
 
 _VALID = "(__k IS NOT NULL AND __t IS NOT NULL)"
@@ -70,12 +71,16 @@ def moving(
             raise ValueError(f"unknown moving aggregates {sorted(unknown)}; use {AGGREGATES}")
     source, keep = df if source is None else source, list(keep or df.columns)
     plan = plan_chunks(source, key, t, i, policy) if plan is None else plan
+    if not plan.empty:
+        plan = _closed(plan, source, key, t)
     events = plan.attach(_events(df, key, t, i, windows, columns, last, keep), "__k", "__t", "__i", where=_VALID)
-    if plan.empty:
-        # windows are told by blocks of the key; one exchange serves all of them. The number of tasks goes by that
-        # of events: a fixed number, or one by the bytes of the exchange, lets the sorts of a task grow with the input
-        tasks = max(2, -(-plan.total * (1 + len(windows)) // TASK_EVENTS))
-        events = events.repartition(tasks, "__k", "__chunk")
+    if not plan.empty:
+        events = events.join(F.broadcast(_tails(plan)), F.expr("__k = __ek"), "left")
+        events = events.where("__kind = 0 OR __end IS NULL OR __chunk < __end").drop("__ek", "__end")
+    # windows are told by blocks of the key; one exchange serves all of them. The number of tasks goes by that
+    # of events: a fixed number, or one by the bytes of the exchange, lets the sorts of a task grow with the input
+    tasks = max(2, -(-plan.total * (1 + len(windows)) // TASK_EVENTS))
+    events = events.repartition(tasks, "__k", "__chunk")
     hot = None if plan.empty else _events(source, key, t, i, windows, columns, last, None)
     for n, (_, length) in enumerate(windows, start=1):
         events = _one_window(events, n, length, columns, plan, hot)
@@ -87,6 +92,19 @@ def moving(
     return events.selectExpr(*out)
 
 
+def _closed(plan: ChunkPlan, source: DataFrame, key: str, t: str) -> ChunkPlan:
+    """``plan`` with a cut after the last row of each hot key; one number for each of them comes back."""
+    rows = plan.only_hot(source.selectExpr(f"{quoted(key)} AS __k", f"{quoted(t)} AS __t"), "__k")
+    last = {r["__hot"]: r["last"] for r in rows.groupBy("__hot").agg(F.max("__t").alias("last")).collect()}
+    return replace(plan, points={k: sorted({*points, (last[k] + 1, LONG_MIN)}) for k, points in plan.points.items()})
+
+
+def _tails(plan: ChunkPlan) -> DataFrame:
+    """The chunk after the last row of each hot key of a closed plan."""
+    schema = T.StructType([T.StructField("__ek", plan.key_type), T.StructField("__end", T.IntegerType())])
+    return plan.spark.createDataFrame([(k, len(points)) for k, points in plan.points.items()], schema)
+
+
 def _events(df, key, t, i, windows, columns, last, keep) -> DataFrame:
     """Enter events (kind 0, with the row) and leave events (kind n for the n-th window)."""
     t, key, i = quoted(t), quoted(key), quoted(i)

@@ -151,3 +151,19 @@ def test_tasks_go_by_the_number_of_events(spark, monkeypatch):
     # an event for each row and for both windows
     assert "RoundRobin" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
     assert made.count() == 2000
+
+
+def test_what_leaves_after_the_last_row_of_a_hot_key_is_not_dealt(spark, monkeypatch):
+    """A long window's leave events all lie behind the last row; its rows need their totals only."""
+    monkeypatch.setattr("swipewatch.operators.moving.TASK_EVENTS", 1000)
+    rows = spark.range(1000).selectExpr("id AS transaction_id", "1L AS k", "id * 1000000 AS t", "id AS i", "cast(id AS double) AS x")
+    columns = [Moving("x", {"min": "lo", "max": "hi", "mean": "mean"})]
+    made = moving(rows, "k", "t", "i", ("5s", "30d"), columns, policy=ScalePolicy(max_group_rows=100), keep=["transaction_id"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert ", 3), REPARTITION_BY_NUM" in plan and "__end" in plan
+    found = {r["transaction_id"]: r for r in made.collect()}
+    assert len(found) == 1000 and found[0]["lo_30d"] is None
+    for n in range(1, 1000):
+        r = found[n]
+        assert (r["lo_5s"], r["hi_5s"], r["lo_30d"], r["hi_30d"]) == (max(0, n - 5), n - 1, 0, n - 1)
+        assert r["mean_30d"] == pytest.approx((n - 1) / 2)
