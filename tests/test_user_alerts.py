@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 
+from swipewatch.config import TxnConfig
 from swipewatch.sources.paths import fresh_path
-from swipewatch.streaming.alerts import AlertPolicy, alert_stream
+from swipewatch.streaming.alerts import AlertPolicy, AlertState, alert_stream, read_alerts
 from swipewatch.streaming.jobs import read_stream
 
 SCHEMA = "transaction_id long, user_id string, transaction_date timestamp"
@@ -70,3 +71,28 @@ def test_alerts_over_restarts(spark, batches_per_run):
 def test_forgetting_comes_after_silence(spark):
     with pytest.raises(ValueError):
         alert_stream(spark.readStream.format("rate").load(), "x", "y", AlertPolicy(silence="7d", forget="1d"))
+
+
+def test_no_step_and_no_store_per_user(spark):
+    """A batch is joins of whole tables: no state store of the stream is asked user by user."""
+    root = fresh_path(spark, "many_users")
+    rows = spark.range(4000).selectExpr("id AS transaction_id", "cast(id % 2000 AS string) AS user_id", "timestamp_seconds(id) AS transaction_date")
+    rows.write.parquet(f"{root}/in")
+    run = alert_stream(read_stream(spark, f"{root}/in", rows.schema), f"{root}/out", f"{root}/checkpoint", AlertPolicy(late="1s", width="1s"))
+    run.awaitTermination()
+    assert not [s for progress in run.recentProgress for s in progress["stateOperators"]]
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    root = fresh_path(spark, "repeated_alerts")
+    state = AlertState(f"{root}/out", f"{root}/state", AlertPolicy("1h", 1, "5h", "30h", "1h"), TxnConfig())
+    for batch, seconds in enumerate([[1, 2, 5 * HOUR], [3 * HOUR, 11 * HOUR], [40 * HOUR]]):
+        rows = spark.createDataFrame([(0, "a", START + dt.timedelta(seconds=s)) for s in seconds], SCHEMA)
+        seen = []
+        for _ in range(2):
+            state.process(rows, batch)
+            found = read_alerts(spark, f"{root}/out").selectExpr("kind", "cast(at AS string)", "value").collect()
+            seen.append(sorted((r["kind"], r["at"], r["value"]) for r in found))
+        assert seen[0] == seen[1]
+    # the row at 3 h came after its window was closed; the silence of 11 h is told by the row at 40 h
+    assert [(kind, value) for kind, _, value in seen[-1]] == [("busy", 2), ("returned", 6 * HOUR), ("silent", None), ("silent", None)]
