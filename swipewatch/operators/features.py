@@ -43,7 +43,7 @@ def _measures(cfg: TxnConfig, family: str, has_label: bool) -> list:
     return [Measure(_C, {"count": f"{family}_txn_count"})]
 
 
-def _family(df, source, cfg, family, plan, last, has_label, older, keep):
+def _family(df, source, cfg, family, plan, last, has_label, older, keep, past, since):
     key = getattr(cfg, family)
     history = History(_A, "user_amount_zscore", "user_time_since_last_txn") if family == "user" else None
     return roll(
@@ -59,6 +59,8 @@ def _family(df, source, cfg, family, plan, last, has_label, older, keep):
         last=last,
         older=older if family == "user" else None,
         keep=keep,
+        past=past,
+        since=since,
     )
 
 
@@ -86,13 +88,16 @@ def add_features(
     families=("user", "merchant", "currency", "status"),
     policy: ScalePolicy = DEFAULT_POLICY,
     older: DataFrame | None = None,
+    past: DataFrame | None = None,
+    since: int | None = None,
 ) -> DataFrame:
     """Input columns plus the features of ``families``; no row sees itself or a later row.
 
     Families run narrowest first, so that the wide ones are not carried through the other
     exchanges; the output is put back in the documented order. Without a time or amount
     column the input comes back unchanged. ``older`` is the summary of user rows that are no
-    longer part of ``df`` (see :func:`summarize_users`).
+    longer part of ``df`` (see :func:`summarize_users`). ``past`` holds rows with times before ``since`` (microseconds) that
+    only windows look back to; all rows of ``df`` with a time are at or after it.
     """
     if cfg.time not in df.columns or cfg.amount not in df.columns:
         return df
@@ -105,11 +110,15 @@ def add_features(
     # one narrow pass: the size decides the plan, the last instant trims useless events
     total, last = base.agg(F.count("*"), F.max(_T)).first()
     plans = plan_chunks_for(base, [getattr(cfg, f) for f in present], _T, _I, policy, total)
+    looked_at = None if past is None else prepare(past, cfg)
     out = base
     for family in present:
         # the last family has no further use for the helper columns
         keep = [c for c in out.columns if family != present[-1] or c not in _HELPERS]
-        out = _family(out, base, cfg, family, plans[getattr(cfg, family)], last, has_label, older, keep)
+        key, before = getattr(cfg, family), looked_at
+        if before is not None:
+            before = before.join(base.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
+        out = _family(out, base, cfg, family, plans[key], last, has_label, older, keep, before, since)
     wanted = [n for n in feature_names(columns, cfg) if n in out.columns]
     return out.select(*columns, *wanted)
 

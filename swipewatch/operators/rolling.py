@@ -73,6 +73,8 @@ def roll(
     last: int | None = None,
     older: DataFrame | None = None,
     keep=None,
+    past: DataFrame | None = None,
+    since: int | None = None,
 ) -> DataFrame:
     """``df`` with the rolling columns of ``measures`` and, optionally, the history columns.
 
@@ -83,6 +85,8 @@ def roll(
     ``older`` (``k, n, mean, m2, last_t, lo, hi`` per key) sums up rows that precede all of ``df``.
     ``keep`` names the columns to carry along (default: all). They travel as one struct, which
     is a single empty slot in leave events, as long as all of them are read afterwards.
+    ``past`` (key, ``t``, ``i`` and measure columns) holds rows before ``since``, all rows of ``df`` are at or after it. They are
+    not rolled again: per key their totals at ``since`` are one event, and they leave a window if that happens from then on.
     """
     windows = [(window_label(w), window_micros(w)) for w in windows]
     for m in measures:
@@ -92,10 +96,13 @@ def roll(
     source, keep = df if source is None else source, list(keep or df.columns)
     plan = plan_chunks(source, key, t, i, policy) if plan is None else plan
 
-    events = _events(df, key, t, i, windows, measures, history, last, payload=keep)
+    before = () if past is None else _past_events(past, key, t, windows, measures, history, last, since)
+    events = _with_past(_events(df, key, t, i, windows, measures, history, last, payload=keep), before)
     events = plan.attach(events, "__k", "__t", "__i", where=_VALID)
 
     totals = _running_totals(windows, measures)
+    if before:
+        totals = {name: f"IF(__open IS NULL, {x}, __open.{name})" for name, x in totals.items()}
     if history:
         # this (t, i) order also satisfies the order by t below: one sort serves both
         events = events.selectExpr(
@@ -114,7 +121,8 @@ def roll(
         )
     rows = events.filter("__kind = 0")
     if not plan.empty:
-        hot = plan.only_hot(_events(source, key, t, i, windows, measures, history, last, payload=None), "__k")
+        again = _with_past(_events(source, key, t, i, windows, measures, history, last, payload=None), before)
+        hot = plan.only_hot(again, "__k")
         rows = _add_carry(rows, plan.located(hot, "__t", "__i"), plan, totals, history)
     if history and older is not None:
         rows = _add_older(rows, older)
@@ -151,6 +159,51 @@ def _events(df, key, t, i, windows, measures, history, last, payload) -> DataFra
     return df.selectExpr(*first).selectExpr(*second)
 
 
+def _past_events(past, key, t, windows, measures, history, last, since) -> tuple:
+    """Of rows before ``since``: their events from then on, and one event per key with its totals until then."""
+    past = past.filter(F.col(key).isNotNull() & F.col(t).isNotNull())
+    t, key = quoted(t), quoted(key)
+    delays = sorted({m.delay for m in measures if m.delay > 0}) if windows else []
+    others = [(w, n) for n, (_, w) in enumerate(windows, start=1)] if measures else []
+    others = sorted(others + [(d, -n) for n, d in enumerate(delays, start=1)])
+    if not others:
+        return ()
+    kinds = ", ".join(f"struct({n} AS kind, {shift}L AS shift)" for shift, n in others)
+    gone = " + ".join(f"IF({t} + {shift}L < {since}L, 1, 0)" for shift, _ in others)
+    come = " + ".join(f"IF({t} + {shift}L <= {last}L, 1, 0)" for shift, _ in others) if last is not None else str(len(others))
+    values = [f"{quoted(m.column)} AS __m{n}" for n, m in enumerate(measures)]
+    # sorted by shift, so these events are a piece of the constant array
+    kinds = f"slice(array({kinds}), 1 + {gone}, greatest(0, {come} - ({gone})))"
+    leaves = past.selectExpr(f"{key} AS __k", f"{t} AS __t0", *values, f"explode({kinds}) AS __e").selectExpr(
+        "__k", "__e.kind AS __kind", "__t0 + __e.shift AS __t", f"{LONG_MAX - 1}L AS __i", *[f"__m{n}" for n in range(len(measures))]
+    )
+    sums = {}
+    for w, (_, length) in enumerate(windows, start=1):
+        inside = f"{t} >= {since - length}L"
+        for n, m in enumerate(measures):
+            if m.delay >= length:
+                continue
+            seen = f"{inside} AND {t} < {since - m.delay}L"
+            value = quoted(m.column)
+            sums[f"__n{n}_{w}"] = f"count_if({value} IS NOT NULL AND {seen})"
+            if {"sum", "mean"} & set(m.outputs):
+                sums[f"__s{n}_{w}"] = f"coalesce(sum(IF({seen}, {value}, NULL)), 0L)"
+        if any("count" in m.outputs for m in measures):
+            sums[f"__r_{w}"] = f"count_if({inside})"
+    found = past.groupBy(F.expr(key).alias("__k")).agg(*[F.expr(x).alias(name) for name, x in sums.items()])
+    opening = found.selectExpr(
+        "__k", f"{len(others) + 1} AS __kind", f"{since - 1}L AS __t", f"{LONG_MAX - 1}L AS __i",
+        f"struct({', '.join(sums)}) AS __open",
+    )
+    return leaves, opening
+
+
+def _with_past(events: DataFrame, before: tuple) -> DataFrame:
+    for part in before:
+        events = events.unionByName(part, allowMissingColumns=True)
+    return events
+
+
 def _running_totals(windows, measures) -> dict:
     """Signed contribution of an event to each running total, by column name."""
     delays = sorted({m.delay for m in measures if m.delay > 0})
