@@ -6,7 +6,8 @@ from conftest import TXN_SCHEMA, by_id
 from pyspark.sql import functions as F
 
 from swipewatch import ScalePolicy
-from swipewatch.operators import clean, split
+from swipewatch.operators import clean, encode, split
+from swipewatch.plans import ranks
 from swipewatch.plans.ranks import quantiles
 from swipewatch.sources import demo
 
@@ -132,3 +133,28 @@ def test_class_of_one_row(spark):
         split.random_split(df, 0.5, label="fraud")
     assert split.stratify_by(df, "fraud") == "fraud"
     assert split.stratify_by(df.filter("fraud = 0"), "fraud") is None
+
+
+def test_ranks_of_many_columns_with_few_passes(spark):
+    """No aggregate of counts is too wide for generated code, and one round of sketches leads to the ranks."""
+    n, width = 60_000, 45
+    df = spark.range(n).selectExpr(*[f"cast(pmod(id * {2 * c + 7919}, {n}) AS double) AS c{c}" for c in range(width)])
+    seen, found = [], type(df).agg
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "agg", lambda self, *a: seen.append(len(a)) or found(self, *a))
+        rules, _ = encode.fit_numeric(df, df.columns)
+    want = [statistics.median(c * 1.0 for c in col) for col in zip(*[tuple(r) for r in df.collect()])]
+    assert [r.median for r in rules] == want
+    assert [r.scale for r in rules] == pytest.approx([statistics.pstdev(range(n))] * width, rel=1e-2)
+    # counts, one round of sketches, then counts and deviations in batches
+    assert max(k for k in seen if k != width) <= 4 * ranks.BATCH and len(seen) == 2 + 2 * 3
+
+
+def test_ranks_beyond_every_number(spark):
+    """Values that are no number are the largest ones, and a column may hold nothing else."""
+    nan, tiny = float("nan"), ScalePolicy(exact_sort_rows=1)
+    rows = [(float(v) if v < 1500 else nan, nan, -math.inf if v % 2 else math.inf) for v in range(4000)]
+    got = quantiles(spark.createDataFrame(rows, "x double, y double, z double"), ["x", "y", "z"], [0.0, 0.25, 1.0], tiny)
+    assert got["x"][0.0] == 0.0 and got["x"][0.25] == pytest.approx(999.75) and math.isnan(got["x"][1.0])
+    assert all(math.isnan(v) for v in got["y"].values())
+    assert got["z"] == {0.0: -math.inf, 0.25: -math.inf, 1.0: math.inf}
