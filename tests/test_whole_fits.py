@@ -53,6 +53,7 @@ def fitted(monkeypatch):
 @pytest.mark.parametrize(
     "name, fits",
     [
+        ("balanced_forest_scores", ["balanced_forest", "random_forest"]),
         ("rf_scores", ["random_forest"]),
     ],
 )
