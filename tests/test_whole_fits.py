@@ -54,6 +54,7 @@ def fitted(monkeypatch):
     "name, fits",
     [
         ("balanced_forest_scores", ["balanced_forest", "random_forest"]),
+        ("gbt_scores", ["boosted_trees"]),
         ("hist_boosting_scores", ["boosted", "random_forest"]),
         ("rf_scores", ["random_forest"]),
     ],
