@@ -58,6 +58,7 @@ def fitted(monkeypatch):
         ("hist_boosting_scores", ["boosted", "random_forest"]),
         ("rf_scores", ["random_forest"]),
         ("score_new_table", ["random_forest"]),
+        ("training_metrics", ["boosted_trees", "random_forest"]),
     ],
 )
 def test_fits_on_all_training_rows(spark, table, fitted, name, fits):
